@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from quarrymill.llm import exact_dedup
+from quarrymill.llm import bpe, exact_dedup, packing
 
 
 def queries() -> dict:
-    return {"op6_exact_dedup": exact_dedup.op6_exact_dedup}
+    return {
+        "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op7_packing": packing.op7_packing,
+        "op10_bpe": bpe.op10_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
