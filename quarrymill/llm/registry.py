@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from quarrymill.llm import bpe, exact_dedup, packing
+from quarrymill.llm import bpe, exact_dedup, lm_scoring, packing, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
+        "op4_lm_scoring": lm_scoring.op4_lm_scoring,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_packing": packing.op7_packing,
         "op10_bpe": bpe.op10_bpe,
