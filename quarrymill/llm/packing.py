@@ -10,18 +10,19 @@ their length and looks each number up in the plan.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrymill.llm import vocab
+from quarrymill.llm.batches import small
 from quarrymill.llm.memory import Recent
 from quarrymill.llm.ranks import gapless
 from quarrymill.session import materialise, table
@@ -34,10 +35,10 @@ REMEMBERED, LONGEST_KEPT = 300_000, 48
 #: Rows that are numbered together, about.
 ROWS_A_BUCKET, LEAST_BUCKETS = 500_000, 64
 
-#: How the vocabulary splits lower-cased words (fixed value); used where letters are ASCII or
-#: Latin-1, the library does all other words by itself.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-SIMPLE = regex.compile(r"[!-~À-ÿ]+")
+#: How the vocabulary splits lower-cased texts of ASCII and Latin-1 letters (fixed value); the
+#: library itself splits and lower-cases all others.
+LATIN = re.compile(r"[a-zß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+OUTSIDE_LATIN = re.compile(r"[^\t-\r -~À-ÖØ-öø-ÿ]")
 
 
 class WordIds:
@@ -55,22 +56,20 @@ class WordIds:
         self.words = Recent(self.word, REMEMBERED, LONGEST_KEPT)
         self.pieces = Recent(self.piece, REMEMBERED, LONGEST_KEPT)
 
-    def library(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+    def word(self, word: bytes) -> bytes:
+        """Ids of any word."""
+        return array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
 
     def piece(self, piece: str) -> bytes:
-        """Ids of one piece of the split."""
+        """Ids of one piece of the split, lower-cased."""
         tokens = self.merges.tokenize("".join(map(self.symbols.__getitem__, piece.encode())))
         return array("I", [t.id for t in tokens]).tobytes()
 
-    def word(self, word: bytes) -> bytes:
-        text = word.decode()
-        if SIMPLE.fullmatch(text) and "<|" not in text:
-            return b"".join(map(self.pieces.__getitem__, PIECES.findall(text.lower())))
-        return self.library(text)
-
-    def encode(self, text: bytes) -> bytes:
-        return b"".join(map(self.words.__getitem__, text.split()))
+    def encode(self, text: str) -> bytes:
+        """The text's ids as little-endian unsigned 32-bit integers."""
+        if OUTSIDE_LATIN.search(text) or "<|" in text:
+            return b"".join(map(self.words.__getitem__, text.encode().split()))
+        return b"".join(map(self.pieces.__getitem__, LATIN.findall(text.lower())))
 
 
 _made: dict[int, WordIds] = {}
@@ -99,7 +98,7 @@ def cut_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = _words(source)
-        for batch in batches:
+        for batch in small(batches):
             rows, pieces, starts, lengths, crcs = [], [], [], [], []
             for row, body in enumerate(batch.column(1).to_pylist()):
                 ids = made.encode(body) + end
@@ -114,7 +113,7 @@ def cut_documents(
             columns += [pa.array(x, pa.int64()) for x in (starts, lengths, crcs)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
