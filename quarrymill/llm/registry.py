@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from quarrymill.llm import bpe, exact_dedup, lm_scoring, packing, toxicity
+from quarrymill.llm import bpe, exact_dedup, license_scan, lm_scoring, packing, sharding, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
+        "op3_license_scan": license_scan.op3_license_scan,
         "op4_lm_scoring": lm_scoring.op4_lm_scoring,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_packing": packing.op7_packing,
+        "op9_sharding": sharding.op9_sharding,
         "op10_bpe": bpe.op10_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact_dedup.ORACLE}
+    return {
+        "op3_license_scan": license_scan.ORACLE,
+        "op6_exact_dedup": exact_dedup.ORACLE,
+    }
