@@ -11,6 +11,7 @@ border never joins them; that is read off the two merge trees and remembered.
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -21,13 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrymill.llm import vocab
+from quarrymill.llm.batches import small
 from quarrymill.llm.memory import Recent
 from quarrymill.session import table
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Entries of a worker's memories of pieces, of chunks and of token pairs.
-REMEMBERED = 300_000
-#: Longer chunks are encoded without being remembered.
+#: Entries of a worker's memories of pieces and of token pairs.
+REMEMBERED = 250_000
+#: Longer pieces are encoded without being remembered.
 LONGEST_KEPT = 64
 #: The split of byte-level BPE (fixed value, as the vocabulary was made with it).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -55,19 +57,18 @@ class PrefixEncoder:
                 raise ValueError(f"token {whole} comes from two merges")
             self.halves[whole] = pair = ids[left], ids[right]
             self.merge[pair] = self.born[whole] = rank
-        self.special = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
-        self.bytes_of |= {i: t for t, i in self.special.items()}
-        self.special_at = regex.compile(b"|".join(map(regex.escape, self.special)) or b"(?!)")
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
+        self.special_at = re.compile("|".join(map(re.escape, self.special)) or "(?!)")
         self.automaton = ahocorasick.Automaton()
         for token, i in ids.items():
             self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
         self.automaton.make_automaton()
-        self.ids, self.pattern = ids, regex.compile(PATTERN)
+        self.ids = ids
         self.whole: dict[int, bool] = {}
         self.meeting: dict[int, int] = {}
         self.borders: tuple[dict, dict] = {}, {}
         self.pieces = Recent(self.packed, REMEMBERED, LONGEST_KEPT)
-        self.chunks = Recent(self.chunk, REMEMBERED, LONGEST_KEPT)
 
     def border(self, token: int, side: int) -> tuple[list[int], list[int]]:
         """The nodes of the token's merge tree on one side from the byte up, and the rank of
@@ -99,7 +100,7 @@ class PrefixEncoder:
                 i += 1
             else:
                 j += 1
-        if len(self.meeting) >= 3 * REMEMBERED:
+        if len(self.meeting) >= 2 * REMEMBERED:
             self.meeting.clear()
         self.meeting[a << 32 | b] = found
         return found
@@ -144,20 +145,13 @@ class PrefixEncoder:
         """The piece's ids as little-endian unsigned 32-bit integers."""
         return array("I", self.encode_piece(piece.encode())).tobytes()
 
-    def chunk(self, chunk: bytes) -> bytes:
-        """Ids of a stretch that starts and ends where the split always cuts."""
-        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(chunk.decode())))
+    def plain(self, text: str) -> bytes:
+        """Packed ids of a text without special tokens."""
+        split = LATIN if not OUTSIDE_LATIN.search(text) else ANY
+        return b"".join(map(self.pieces.__getitem__, split.findall(text)))
 
-    def plain(self, text: bytes) -> bytes:
-        """Ids of a text without special tokens. The split always cuts before a space that a
-        visible character follows, so such stretches are encoded (and remembered) apart."""
-        if odd_space(text):
-            return self.chunk(text)
-        first, *rest = text.split(b" ")
-        return self.chunk(first) + b"".join(map(self.chunks.__getitem__, map(b" ".__add__, rest)))
-
-    def encode(self, text: bytes) -> bytes:
-        """All ids of a UTF-8 text, packed."""
+    def encode(self, text: str) -> bytes:
+        """All ids of a text, packed."""
         if not any(s in text for s in self.special):
             return self.plain(text)
         found, at = [], 0
@@ -171,21 +165,12 @@ class PrefixEncoder:
         return b"".join(map(self.bytes_of.__getitem__, array("I", ids))).decode("utf-8", "replace")
 
 
-#: A space that white space follows, or white space outside the usual (fixed values: Unicode).
-BLANK_RUNS = [b" " + c for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")]
-RARE_BLANKS = [b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80"]
-GENERAL_BLANKS = regex.compile(rb"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]")
-
-
-def odd_space(text: bytes) -> bool:
-    """Whether the split may not cut before every space of the text."""
-    if text.endswith(b" ") or any(x in text for x in BLANK_RUNS):
-        return True
-    return not text.isascii() and (any(x in text for x in RARE_BLANKS[4:]) or bool(GENERAL_BLANKS.search(text))) or any(
-        x in text for x in RARE_BLANKS[:4]
-    )
-
-
+#: The split for any text, and a faster one for texts of ASCII and Latin-1 letters alone.
+ANY = regex.compile(PATTERN)
+OUTSIDE_LATIN = re.compile(r"[^\t-\r -~À-ÖØ-öø-ÿ]")
+LATIN = re.compile(
+    r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+|\s+(?!\S)|\s+"
+)
 _made: dict[int, PrefixEncoder] = {}
 
 
@@ -199,9 +184,12 @@ def encoder(source) -> PrefixEncoder:
     return _made[key]
 
 
-def encode(docs: DataFrame, path: str | None = None, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def encode(
+    docs: DataFrame, path: str | None = None, text: str = "text", id_col: str = "doc_id", decoded: bool = False
+) -> DataFrame:
     """``doc_id, n_tokens, ids`` for each row: ``ids`` holds the token ids as little-endian
-    unsigned 32-bit integers (`ids_array` unpacks them).
+    unsigned 32-bit integers (`ids_array` unpacks them). With ``decoded`` the ids are decoded
+    in the same pass.
 
     Equal to the `tokenizers` library without added special tokens; special tokens that a text
     spells out become their ids, as there. A null or empty text has no ids. Rows that repeat
@@ -209,17 +197,20 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", id_col:
     result and other columns are not read.
     """
     source = vocab.ship(docs.sparkSession, path or vocab.tokenizer_path(VOCABULARY))
+    names = ["doc_id", "n_tokens", "ids"] + ["decoded"] * decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = encoder(source)
-        for batch in batches:
+        for batch in small(batches):
             ids = [made.encode(t) for t in batch.column(1).to_pylist()]
-            counts = pa.array([len(x) // 4 for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), counts, pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+            found = [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+            if decoded:
+                found.append(pa.array([made.decode(x) for x in ids], pa.string()))
+            yield pa.RecordBatch.from_arrays(found, names)
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids binary" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -230,7 +221,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = encoder(source)
-        for batch in batches:
+        for batch in small(batches):
             texts = [None if x is None else made.decode(x) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, "decoded"])
 
@@ -249,7 +240,7 @@ def ids_array(ids):
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = decode(encode(table(spark, sf_dir, "documents")))
+    texts = encode(table(spark, sf_dir, "documents"), decoded=True)
     return texts.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
