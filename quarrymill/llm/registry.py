@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrymill.llm import bpe, exact_dedup, license_scan, lm_scoring, packing, sharding, toxicity
+from quarrymill.llm import bpe, exact_dedup, license_scan, lm_scoring, packing, sharding, topk, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_lm_scoring": lm_scoring.op4_lm_scoring,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_packing": packing.op7_packing,
+        "op8_topk": topk.op8_topk,
         "op9_sharding": sharding.op9_sharding,
         "op10_bpe": bpe.op10_bpe,
     }
@@ -21,4 +22,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_license_scan": license_scan.ORACLE,
         "op6_exact_dedup": exact_dedup.ORACLE,
+        "op8_topk": topk.ORACLE,
     }
