@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrymill.llm import bpe, exact_dedup, license_scan, lm_scoring, packing, sharding, topk, toxicity
+from quarrymill.llm import bpe, exact_dedup, license_scan, lm_scoring, ngram_join, packing, sharding, topk, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_toxicity": toxicity.op1_toxicity,
         "op3_license_scan": license_scan.op3_license_scan,
         "op4_lm_scoring": lm_scoring.op4_lm_scoring,
+        "op5_ngram_join": ngram_join.op5_ngram_join,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_packing": packing.op7_packing,
         "op8_topk": topk.op8_topk,
