@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quarrymill.llm import bpe, exact_dedup, license_scan, lm_scoring, ngram_join, packing, sharding, topk, toxicity
+from quarrymill.llm import bpe, exact_dedup, license_scan, line_dedup, lm_scoring, ngram_join, packing, sharding, topk, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
+        "op2_line_dedup": line_dedup.op2_line_dedup,
         "op3_license_scan": license_scan.op3_license_scan,
         "op4_lm_scoring": lm_scoring.op4_lm_scoring,
         "op5_ngram_join": ngram_join.op5_ngram_join,
