@@ -1,0 +1 @@
+"""Inputs are whole files and there is no streaming operator; batch plans are in the other subpackages."""
