@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,3 +42,20 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, unless their Python path has it or it was sent.
+
+    ``addPyFile`` serves the archive from the driver, so nothing has to be shared for it.
+    """
+    here = Path(__file__).resolve().parent
+    if str(here.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    if any(f.endswith(f"/{here.name}.zip") for f in spark.sparkContext.listFiles):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="spark-package-")) / f"{here.name}.zip"
+    with zipfile.ZipFile(archive, "w") as packed:
+        for file in sorted(here.rglob("*.py")):
+            packed.write(file, file.relative_to(here.parent))
+    spark.sparkContext.addPyFile(str(archive))
