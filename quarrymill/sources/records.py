@@ -105,8 +105,8 @@ def load_questions(spark: SparkSession, path: str, split: str | None = None) ->
     ``question_id`` defaults to split and line number, the split to the file's stem; the answer may
     be a label, digits or an index; further fields are kept as JSON in ``metadata``.
     """
-    lines = read_lines(spark, path)
-    pairs = json_pairs(_field("options"))
+    lines = read_lines(spark, path).withColumn("pairs", json_pairs(_field("options")))
+    pairs = F.col("pairs")
     kind = _kind("answer_idx")
     ready = lines.select(
         "file", "line", "value", "status",
@@ -170,11 +170,11 @@ def load_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 def load_annotations(spark: SparkSession, path: str) -> DataFrame:
     """Scope annotations of JSON lines, with ``reject``: all fields are required, ids unique."""
-    lines = read_lines(spark, path)
+    lines = read_lines(spark, path).withColumn("pairs", json_pairs(_field("options")))
     keys = F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>"))
     texts = [_field(n).alias(n) for n in ANNOTATION_FIELDS if n not in ("options", "evidence_expected", "matched_terms")]
     ready = lines.select(
-        "file", "line", "status", *texts, F.transform(json_pairs(_field("options")), lambda o: F.struct(o["label"], o["text"])).alias("options"),
+        "file", "line", "status", *texts, F.transform("pairs", lambda o: F.struct(o["label"].alias("label"), o["text"].alias("text"))).alias("options"),
         _field("evidence_expected").try_cast("boolean").alias("evidence_expected"), F.from_json(_field("matched_terms"), "array<string>").alias("matched_terms"),
         F.array_except(F.array(*[F.lit(n) for n in ANNOTATION_FIELDS]), keys).alias("missing"),
     )
