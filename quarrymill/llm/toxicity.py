@@ -30,9 +30,9 @@ from quarrymill.session import table
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 6)
 #: Hashed features in all, and the most that the model uses.
-SPACE, MOST_FEATURES = 1 << 20, 4096
+SPACE, MOST_FEATURES = 1 << 20, 2048
 #: Bounds of the two training samples (rows). Above them rows are taken by a hash of the id.
-MOST_POSITIVES, MOST_UNLABELLED = 20_000, 40_000
+MOST_POSITIVES, MOST_UNLABELLED = 10_000, 20_000
 #: A feature is used from this many positives and this z score (positives against unlabelled).
 LEAST_POSITIVES, LEAST_Z = 3, 5.0
 THRESHOLD = 0.3
@@ -82,19 +82,24 @@ def _rows(kept: frozenset[int]):
     return run
 
 
-def fit(rows: list[tuple[bool, list[int]]], kept: list[int], prior: float) -> Model:
-    """The non-negative risk's logistic model over binary features, by full-batch Adam."""
+def fit(rows: pa.Table, kept: list[int], prior: float) -> Model:
+    """The non-negative risk's logistic model over binary features, by full-batch Adam.
+
+    ``rows``: (positive, found), ``found`` with the row's features out of ``kept``.
+    """
     at = {f: k for k, f in enumerate(kept)}
-    sizes = np.array([len(x) for _, x in rows])
-    column = np.array([at[f] for _, x in rows for f in x], np.int64)
-    row = np.repeat(np.arange(len(rows)), sizes)
-    positive = np.array([p for p, _ in rows], bool)
+    place = np.zeros(SPACE, np.int32)
+    place[kept] = np.arange(len(kept))
+    positive = rows["positive"].to_numpy().astype(bool)
+    found = rows["found"].combine_chunks()
+    column = place[found.flatten().to_numpy()]
+    row = np.repeat(np.arange(len(positive), dtype=np.int32), found.value_lengths().to_numpy())
     n_p, n_u = max(1, positive.sum()), max(1, (~positive).sum())
     theta = np.zeros(len(kept) + 1)
     theta[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, STEPS + 1):
-        z = np.bincount(row, theta[column], len(rows)) + theta[-1]
+        z = np.bincount(row, theta[column], len(positive)) + theta[-1]
         soft, up = np.logaddexp(0, z), 1 / (1 + np.exp(-np.clip(z, -50, 50)))
         unseen = soft[~positive].sum() / n_u - prior * soft[positive].sum() / n_p
         by_z = np.where(positive, -prior / n_p * up, up / n_u)  # of the risk on unseen negatives
@@ -107,7 +112,7 @@ def fit(rows: list[tuple[bool, list[int]]], kept: list[int], prior: float) -> Mo
         m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
         theta = theta - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     # The constant is settled by the prior: over unlabelled text the mean score is the prior.
-    z = np.bincount(row, theta[column], len(rows))[~positive]
+    z = np.bincount(row, theta[column], len(positive))[~positive]
     low, high = -50.0, 50.0
     for _ in range(80 if len(z) else 0):
         middle = (low + high) / 2
@@ -136,7 +141,8 @@ def train(texts: DataFrame, labels: DataFrame, text: str = "text", id_col: str =
     if not seen["p"]:
         return Model(float(np.log(prior / (1 - prior))), {}, prior)
     part = lambda most, n: F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(min(1.0, most / max(1, n)) * (1 << 20)) + 1
-    positives = rows.join(marked.filter("_label = 1"), "_id", "left_semi").filter(part(MOST_POSITIVES, seen["p"]))
+    confirmed = F.broadcast(marked.filter("_label = 1").select("_id").filter(part(MOST_POSITIVES, seen["p"])))  # by that bound
+    positives = rows.join(confirmed, "_id", "left_semi")
     unlabelled = rows.filter(part(MOST_UNLABELLED, seen["n"]))
     sample = positives.select(F.lit(True).alias("positive"), "body").unionByName(
         unlabelled.select(F.lit(False).alias("positive"), "body")
@@ -148,9 +154,10 @@ def train(texts: DataFrame, labels: DataFrame, text: str = "text", id_col: str =
     both = (F.col("p") + F.col("u") + 1) / (n_p + n_u)
     z = (F.col("p") / n_p - F.col("u") / n_u) / F.sqrt(both * F.greatest(1 - both, F.lit(1e-6)) * (1 / n_p + 1 / n_u))
     chosen = counts.filter(F.col("p") >= LEAST_POSITIVES).select("feature", z.alias("z")).filter(F.col("z") >= LEAST_Z)
+    # What reaches the driver is bounded by MOST_FEATURES and the samples' bounds.
     kept = [r["feature"] for r in chosen.orderBy(F.desc("z"), "feature").limit(MOST_FEATURES).collect()]
     matrix = sample.mapInArrow(_rows(frozenset(kept)), "positive boolean, found array<int>")
-    return fit([(r["positive"], list(r["found"])) for r in matrix.collect()], kept, prior)
+    return fit(matrix.toArrow(), kept, prior)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", id_col: str = "doc_id") -> DataFrame:
