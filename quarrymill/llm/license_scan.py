@@ -33,22 +33,24 @@ NOTICES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("mit", "released under the mit license"),
 ]
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The one character beyond ASCII whose lower case is an ASCII letter, and a word character that
+#: stands in for it, since it is not to match that letter (fixed values: Unicode).
+KELVIN, NOT_K = "\u212a", "\u0138"
 
 
 def words(text: Column) -> Column:
-    """The words of a text, in its own case."""
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    """The words of a text, lower-cased."""
+    cut = F.split(F.lower(F.replace(text, F.lit(KELVIN), F.lit(NOT_K))), BETWEEN)
+    before, after = (F.element_at(cut, 1) == "").cast("int"), (F.element_at(cut, -1) == "").cast("int")
+    return F.slice(cut, before + 1, F.greatest(F.size(cut) - before - after, F.lit(0)))
 
 
-def grams(words_: Column) -> Column:
-    """An array with the ``K`` words from each position on; the last ones are short of words."""
-    return F.arrays_zip(*[F.slice(words_, k + 1, F.greatest(F.size(words_) - k, F.lit(0))).alias(f"w{k}") for k in range(K)])
-
-
-def gram_hash(prefix: str = "") -> Column:
-    return F.xxhash64(*[F.lower(F.col(f"{prefix}w{k}")) for k in range(K)])
+def gram_rows(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` (``words`` and ``keys``) with a row for each group of ``K`` words: ``place, w0.., gram``."""
+    several = F.arrays_zip(*[F.slice("words", k + 1, F.greatest(F.size("words") - (K - 1), F.lit(0))).alias(f"w{k}") for k in range(K)])
+    cut = df.select(*keys, F.posexplode(several).alias("place", "g")).select(*keys, "place", "g.*")
+    return cut.withColumn("gram", F.xxhash64(*[F.col(f"w{k}") for k in range(K)]))
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -57,24 +59,19 @@ def templates(spark: SparkSession) -> DataFrame:
         F.struct(F.lit(i).alias("template"), F.lit(label).alias("label"), F.lit(i < len(BASE)).alias("base"), F.lit(phrase).alias("phrase"))
         for i, (label, phrase) in enumerate([*BASE, *NOTICES])
     ]
-    listed = spark.range(1).select(F.explode(F.array(*rows)).alias("t")).select("t.*").withColumn("words", words(F.col("phrase")))
-    cut = listed.select("template", "label", "base", F.size("words").alias("size"), F.posexplode(grams(F.col("words"))).alias("at", "g"))
-    cut = cut.select("template", "label", "base", "size", "at", "g.*").filter(F.col(f"w{K - 1}").isNotNull())
-    return cut.select("template", "label", "base", "size", "at", *[F.col(f"w{k}").alias(f"t{k}") for k in range(K)], gram_hash().alias("gram"))
+    listed = spark.range(1).select(F.explode(F.array(*rows)).alias("t")).select("t.*", words(F.col("t.phrase")).alias("words"))
+    cut = gram_rows(listed.withColumn("size", F.size("words")), "template", "label", "base", "size")
+    return cut.withColumnsRenamed({"place": "at", **{f"w{k}": f"t{k}" for k in range(K)}})
 
 
 def diagonals(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Votes by diagonal: ``doc_id, text_hash, template, label, base, size, start, mask`` where
     ``mask`` has a bit for each word group of the template that was found."""
     body = F.coalesce(F.col(text), F.lit(""))
-    cut = docs.select(
-        F.col(id_col).alias("doc_id"), F.xxhash64(body).alias("text_hash"), F.posexplode(grams(words(body))).alias("place", "g")
-    )
-    cut = cut.select("doc_id", "text_hash", "place", "g.*").filter(F.col(f"w{K - 1}").isNotNull())
-    same = [F.translate(F.col(f"w{k}"), UPPER, LOWER) == F.col(f"t{k}") for k in range(K)]
-    found = cut.withColumn("gram", gram_hash()).join(F.broadcast(templates(docs.sparkSession)), "gram")
-    for words_are_equal in same:  # the hash alone does not decide
-        found = found.filter(words_are_equal)
+    cut = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(body).alias("text_hash"), words(body).alias("words"))
+    found = gram_rows(cut, "doc_id", "text_hash").join(F.broadcast(templates(docs.sparkSession)), "gram")
+    for k in range(K):  # the hash alone does not decide
+        found = found.filter(F.col(f"w{k}") == F.col(f"t{k}"))
     keys = ["doc_id", "text_hash", "template", "label", "base", "size"]
     return found.groupBy(*keys, (F.col("place") - F.col("at")).alias("start")).agg(F.expr("bit_or(shiftleft(1L, at))").alias("mask"))
 
@@ -152,7 +149,7 @@ tg AS (
 ),
 d AS (
     SELECT doc_id,
-           regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
     FROM documents
 ),
 u AS (SELECT doc_id, unnest(w) AS a, generate_subscripts(w, 1) - 1 AS i FROM d),
