@@ -20,11 +20,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
+from quarrymill.llm import prefixes
 from quarrymill.llm.batches import small
 from quarrymill.llm.components import components
 from quarrymill.llm.shingles import Shingler, signature
+from quarrymill.llm.sizes import sized
 from quarrymill.session import materialise, table
 
 WORDS, PERCENT = 5, 80
@@ -32,14 +33,6 @@ FRAGMENTS = 8
 #: Frequent shingles only get a place at the end of the order, which any choice leaves right: they
 #: are looked for in one of so many documents, and at most ``MOST_FREQUENT`` are taken.
 SAMPLED, SEEN, MOST_FREQUENT = 16, 16, 100_000
-#: Ids are broadcast up to this number; beyond it they are joined by a shuffle.
-MOST_BROADCAST = 2_000_000
-
-
-def _least(n: int, percent: int) -> int:
-    """Of n shingles, how many at least a linked set shares."""
-    return -(-percent * n // 100)
-
 
 def _candidates(words: int, percent: int):
     """Texts to their first shingles in plain order, as far as prefixes may reach."""
@@ -47,7 +40,7 @@ def _candidates(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(words)
         for batch in small(batches):
-            found = [s[: 2 * (len(s) - _least(len(s), percent) + 1)] for s in map(shingles, batch.column(0).to_pylist())]
+            found = [s[: 2 * (len(s) - prefixes.least(len(s), percent) + 1)] for s in map(shingles, batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.empty(0, np.int64)]))], ["shingle"])
 
     return run
@@ -59,7 +52,7 @@ def _sets(words: int, percent: int, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, (known, place) = Shingler(words), frequent.value
         for batch in small(batches):
-            sizes, names, prefixes = [], [], []
+            sizes, names, cut = [], [], []
             for body in batch.column(1).to_pylist():
                 s = shingles(body)
                 n = len(s)
@@ -70,10 +63,10 @@ def _sets(words: int, percent: int, frequent):
                     last = known[at] == s
                     if last.any():
                         s = np.concatenate([s[~last], s[last][np.argsort(place[at[last]])]])
-                prefixes.append(s[: n - _least(n, percent) + 1] if n else s)
+                cut.append(s[: n - prefixes.least(n, percent) + 1] if n else s)
             classes = [int.from_bytes(x[:8], "little", signed=True) for x in names]
             columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(classes, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "n", "name", "class", "prefix"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(cut, pa.list_(pa.int64()))], ["doc_id", "n", "name", "class", "prefix"])
 
     return run
 
@@ -124,54 +117,44 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, text
     sets = materialise(
         rows.mapInArrow(_sets(words, percent, frequent), f"doc_id {kind}, n bigint, name binary, class bigint, prefix array<bigint>"), "sets"
     )
-    full = sets.filter("n > 0")
-    classes = full.groupBy("name", "class").agg(
-        F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.min_by("prefix", "doc_id").alias("prefix"), F.any_value("prefix").alias("any_prefix")
-    )
-    places = classes.select("class", "n", F.posexplode(F.coalesce("prefix", "any_prefix")).alias("i", "shingle"))
-    met = full.select(F.explode("prefix").alias("shingle"), "class").groupBy("shingle")
-    met = met.agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("shingle")
-    # Of the shingles before this one only shared ones can be common to two sets.
-    before = Window.partitionBy("class").orderBy("i")
-    shared = places.join(met, "shingle").withColumn("k", F.row_number().over(before) - 1)
-    shared = materialise(shared.filter(F.col("k") + F.col("n") - F.col("i") >= _share(F.col("n"), percent)), "shared")
-
-    leads = shared.groupBy("shingle").agg(F.min(F.struct((F.col("i") - F.col("k")).alias("d"), "class", "n")).alias("lead"))
-    led = shared.join(leads, "shingle").filter("class <> lead.class")
+    # One row per class; any of a class's prefixes will do, they are equal.
+    classes = sets.filter("n > 0").groupBy("name", "class").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.any_value("prefix").alias("prefix"))
+    classes = materialise(classes, "classes")
+    shared = prefixes.places(classes, percent)
+
+    leads = shared.groupBy("token").agg(F.min(F.struct((F.col("i") - F.col("k")).alias("d"), "class", "n")).alias("lead"))
+    led = shared.join(leads, "token").filter((F.col("class") != F.col("lead.class")) & prefixes.sizes_fit(F.col("n"), F.col("lead.n"), percent))
     stars = led.groupBy(F.col("class").alias("a"), F.col("lead.class").alias("b")).agg(
         F.count(F.lit(1)).alias("s"), F.first("n").alias("n_a"), F.first("lead.n").alias("n_b")
     )
-    stars = stars.filter(_possible(percent)).groupBy("a").agg(F.max(F.struct("s", "b", "n_a", "n_b")).alias("best"))
+    stars = stars.filter(prefixes.possible(percent)).groupBy("a").agg(F.max(F.struct("s", "b", "n_a", "n_b")).alias("best"))
     chosen = materialise(stars.select("a", "best.b", "best.n_a", "best.n_b"), "stars")
-    linked = components(_verified(chosen, rows, sets, words, percent))
+    linked = components(_verified(chosen, rows, classes, words, percent))
 
     placed = shared.join(linked.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     placed = materialise(placed, "placed")
-    groups = placed.groupBy("shingle").agg(
+    groups = placed.groupBy("token").agg(
         F.min_by("root", F.struct(F.col("i") - F.col("k"), "class")).alias("main"), F.min("root").alias("x"), F.max("root").alias("y")
     )
-    mixed = placed.join(groups.filter("x <> y").select("shingle", "main"), "shingle")
-    other = mixed.filter("root <> main")
-    a, b = other.alias("a"), mixed.alias("b")
-    need = F.ceil(percent * (F.col("a.n") + F.col("b.n")) / F.lit(100 + percent))
-    reach = F.least("a.k", "b.k") + F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i"))
+    mixed = placed.join(groups.filter("x <> y").select("token", "main"), "token")
+    a, b = mixed.filter("root <> main").alias("a"), mixed.alias("b")
+    n_a, n_b = F.col("a.n"), F.col("b.n")
     across = a.join(
         b,
-        (F.col("a.shingle") == F.col("b.shingle"))
+        (F.col("a.token") == F.col("b.token"))
         & (F.col("a.root") != F.col("b.root"))
         & ((F.col("b.root") == F.col("b.main")) | (F.col("a.class") < F.col("b.class")))
-        & (100 * F.col("a.n") >= percent * F.col("b.n"))
-        & (100 * F.col("b.n") >= percent * F.col("a.n"))
-        & (reach >= need),
+        & prefixes.sizes_fit(n_a, n_b, percent)
+        & (prefixes.reach("a", "b") >= prefixes.needed(n_a, n_b, percent)),
     )
     pairs = across.groupBy(F.col("a.class").alias("a"), F.col("b.class").alias("b")).agg(
         F.count(F.lit(1)).alias("s"), F.first("a.n").alias("n_a"), F.first("b.n").alias("n_b")
     )
-    pairs = materialise(pairs.filter(_possible(percent)).drop("s"), "pairs")
-    new = _verified(pairs, rows, sets, words, percent)
+    pairs = materialise(pairs.filter(prefixes.possible(percent)).drop("s"), "pairs")
+    new = _verified(pairs, rows, classes, words, percent)
     roots = components(new.unionByName(linked.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
-    named = sets.filter("n > 0").groupBy("name", "class").agg(F.min("doc_id").alias("first_id"))
+    named = classes.select("name", "class", "first_id")
     named = named.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     named = materialise(named, "named")
     ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -183,26 +166,13 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, text
     )
 
 
-def _share(n, percent: int):
-    return F.ceil(F.lit(percent) * n / F.lit(100))
-
-
-def _possible(percent: int):
-    """Whether a pair with ``s`` common shingles in its prefixes may still reach the threshold."""
-    beyond = lambda n: _share(n, percent) - 1  # noqa: E731  what a prefix leaves of a set
-    rest = F.greatest(beyond(F.col("n_a")), beyond(F.col("n_b")))
-    return F.col("s") + rest >= F.ceil(percent * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent))
-
-
-def _verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (``a, b, n_a, n_b``) of classes that reach the threshold, as ``a, b``.
 
     Only sets that a pair names are made again from their texts, one text per class.
     """
     wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    one = materialise(sets.groupBy("class").agg(F.min("doc_id").alias("doc_id")).join(wanted, "class", "left_semi").select("doc_id").distinct(), "wanted")
-    if one.count() <= MOST_BROADCAST:
-        one = F.broadcast(one)
+    one = sized(classes.join(wanted, "class", "left_semi").select(F.col("first_id").alias("doc_id")).distinct())
     bodies = rows.join(one, "doc_id", "left_semi").select("body").distinct()
     parts = materialise(bodies.mapInArrow(_fragments(words), "class bigint, fragment int, shingles array<bigint>"), "parts").dropDuplicates(["class", "fragment"])
     first = pairs.join(parts.select(F.col("class").alias("a"), "fragment", F.col("shingles").alias("x")), "a")
