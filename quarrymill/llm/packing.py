@@ -31,7 +31,7 @@ VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 4096
 END = 1
 #: Entries of a worker's memories of words and of pieces; longer words are not kept.
-REMEMBERED, LONGEST_KEPT = 300_000, 48
+REMEMBERED, LONGEST_KEPT = 120_000, 48
 #: Rows that are numbered together, about.
 ROWS_A_BUCKET, LEAST_BUCKETS = 500_000, 64
 

@@ -24,7 +24,7 @@ class Shingler:
 
     def __init__(self, size: int = 5):
         self.size = size
-        self.words = Recent(xxhash.xxh64_intdigest, 300_000)
+        self.words = Recent(xxhash.xxh64_intdigest, 120_000)
 
     def __call__(self, text: bytes) -> np.ndarray:
         """The sorted distinct shingles (as signed numbers) of a UTF-8 text: A-Z lower-cased, words

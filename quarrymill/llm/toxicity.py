@@ -61,7 +61,7 @@ def features(text: str, of_word) -> set[int]:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with each feature, among positives and unlabelled (columns: positive, body)."""
-    found, of_word = np.zeros((2, SPACE), np.int64), Recent(word_features, 200_000).__getitem__
+    found, of_word = np.zeros((2, SPACE), np.int64), Recent(word_features, 100_000).__getitem__
     for batch in small(batches):
         for positive, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             found[int(positive), list(features(body, of_word))] += 1
@@ -74,7 +74,7 @@ def _rows(kept: frozenset[int]):
     """Turns (positive, body) into (positive, kept features)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_word = Recent(lambda w: tuple(x for x in word_features(w) if x in kept), 200_000).__getitem__
+        of_word = Recent(lambda w: tuple(x for x in word_features(w) if x in kept), 100_000).__getitem__
         for batch in small(batches):
             found = [sorted(features(body, of_word)) for body in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["positive", "found"])
@@ -169,7 +169,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", id_col: str = "doc_
     weights, bias = model.weights, model.bias
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_word = Recent(lambda w: tuple(x for x in word_features(w) if x in weights), 300_000).__getitem__
+        of_word = Recent(lambda w: tuple(x for x in word_features(w) if x in weights), 100_000).__getitem__
         for batch in small(batches):
             z = [sum(map(weights.__getitem__, sorted(features(t, of_word)))) + bias for t in batch.column(1).to_pylist()]
             found = 1 / (1 + np.exp(-np.clip(np.array(z, float), -500, 500)))
