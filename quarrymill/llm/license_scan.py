@@ -4,7 +4,10 @@ Every rolling group of ``K`` words of a text is joined, over its hash, with the
 words in the templates (a broadcast: the templates are a list in the code). A match votes for a
 diagonal: text position less template position, that is, where the template would start. Votes are
 gathered by diagonal; neighbouring diagonals, which a word put in or left out sets apart, are merged
-into spans, and a span is verified by the share of the template's words that it covers.
+into spans. A span is verified on both sides: words of the template that it lacks and words of the text
+in it that no vote explains both lower its score, and the words that tell the licence from its
+neighbours (the template's core) must stand in it in one piece. Of spans inside each other the
+longer one counts, so that of neighbouring licences the best cover wins.
 """
 
 from __future__ import annotations
@@ -33,6 +36,39 @@ NOTICES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("mit", "released under the mit license"),
 ]
+#: The core of each of ``NOTICES``, in their order (fixed values).
+CORES = [
+    "all rights reserved",
+    "apache license version 2",
+    "redistribution and use in source and binary forms",
+    "cc by nc 4 0",
+    "gnu general public license version 3",
+    "a copy of this software",
+    "the mit license",
+]
+#: Labels, notices and cores of neighbouring licences. They are no part of the SQL.
+NEIGHBOURS = [
+    ("agpl-3", "licensed under the gnu affero general public license version 3", "gnu affero general public license version 3"),
+    ("apache-1.1", "licensed under the apache software license version 1 1", "apache software license version 1 1"),
+    ("boost-1", "distributed under the boost software license version 1 0", "boost software license version 1 0"),
+    ("boost-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software", "any person or organization obtaining a copy"),
+    ("cc-by", "licensed under cc by 4 0", "cc by 4 0"),
+    ("cc-by-nc-nd", "licensed under cc by nc nd 4 0", "cc by nc nd 4 0"),
+    ("cc-by-nc-sa", "licensed under cc by nc sa 4 0", "cc by nc sa 4 0"),
+    ("cc-by-nd", "licensed under cc by nd 4 0", "cc by nd 4 0"),
+    ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa 4 0"),
+    ("epl-1", "made available under the terms of the eclipse public license v1 0", "eclipse public license v1 0"),
+    ("epl-2", "made available under the terms of the eclipse public license 2 0", "eclipse public license 2 0"),
+    ("gpl-2", "licensed under the gnu general public license version 2", "gnu general public license version 2"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee is hereby granted"),
+    ("lgpl-2", "licensed under the gnu lesser general public license version 2", "gnu lesser general public license version 2"),
+    ("lgpl-2", "licensed under the gnu library general public license version 2", "gnu library general public license version 2"),
+    ("lgpl-2.1", "licensed under the gnu lesser general public license version 2 1", "gnu lesser general public license version 2 1"),
+    ("lgpl-3", "licensed under the gnu lesser general public license version 3", "gnu lesser general public license version 3"),
+    ("mpl-1.1", "subject to the mozilla public license version 1 1", "mozilla public license version 1 1"),
+    ("mpl-2", "subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2 0"),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "software released into the public domain"),
+]
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The one character beyond ASCII whose lower case is an ASCII letter, and a word character that
 #: stands in for it, since it is not to match that letter (fixed values: Unicode).
@@ -53,65 +89,125 @@ def gram_rows(df: DataFrame, *keys: str) -> DataFrame:
     return cut.withColumn("gram", F.xxhash64(*[F.col(f"w{k}") for k in range(K)]))
 
 
+def core_mask(phrase: str, core: str) -> int:
+    """A bit for each word group of ``phrase`` that lies in ``core``."""
+    whole, part = phrase.split(), core.split()
+    first = next(i for i in range(len(whole)) if whole[i : i + len(part)] == part)
+    return sum(1 << (first + i) for i in range(len(part) - (K - 1)))
+
+
 def templates(spark: SparkSession) -> DataFrame:
-    """Each template's word groups: ``template, label, base, size, at, t0.. , gram``."""
+    """Each template's word groups: ``template, label, base, size, core, at, t0.. , gram``; a base
+    phrase is all core."""
+    listed = [(label, phrase, phrase) for label, phrase in BASE]
+    listed += [(label, phrase, core) for (label, phrase), core in zip(NOTICES, CORES, strict=True)] + NEIGHBOURS
     rows = [
-        F.struct(F.lit(i).alias("template"), F.lit(label).alias("label"), F.lit(i < len(BASE)).alias("base"), F.lit(phrase).alias("phrase"))
-        for i, (label, phrase) in enumerate([*BASE, *NOTICES])
+        F.struct(
+            F.lit(i).alias("template"), F.lit(label).alias("label"), F.lit(i < len(BASE)).alias("base"), F.lit(phrase).alias("phrase"),
+            F.lit(core_mask(phrase, core)).cast("bigint").alias("core"),
+        )
+        for i, (label, phrase, core) in enumerate(listed)
     ]
     listed = spark.range(1).select(F.explode(F.array(*rows)).alias("t")).select("t.*", words(F.col("t.phrase")).alias("words"))
-    cut = gram_rows(listed.withColumn("size", F.size("words")), "template", "label", "base", "size")
+    cut = gram_rows(listed.withColumn("size", F.size("words")), "template", "label", "base", "size", "core")
     return cut.withColumnsRenamed({"place": "at", **{f"w{k}": f"t{k}" for k in range(K)}})
 
 
 def diagonals(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Votes by diagonal: ``doc_id, text_hash, template, label, base, size, start, mask`` where
+    """Votes by diagonal: ``doc_id, text_hash, template, label, base, size, core, start, mask`` where
     ``mask`` has a bit for each word group of the template that was found."""
     body = F.coalesce(F.col(text), F.lit(""))
     cut = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(body).alias("text_hash"), words(body).alias("words"))
     found = gram_rows(cut, "doc_id", "text_hash").join(F.broadcast(templates(docs.sparkSession)), "gram")
     for k in range(K):  # the hash alone does not decide
         found = found.filter(F.col(f"w{k}") == F.col(f"t{k}"))
-    keys = ["doc_id", "text_hash", "template", "label", "base", "size"]
+    keys = ["doc_id", "text_hash", "template", "label", "base", "size", "core"]
     return found.groupBy(*keys, (F.col("place") - F.col("at")).alias("start")).agg(F.expr("bit_or(shiftleft(1L, at))").alias("mask"))
 
 
+def _covered(mask: Column) -> Column:
+    """A bit for each word of the word groups in ``mask``."""
+    found = mask
+    for k in range(1, K):
+        found = found.bitwiseOR(F.shiftleft(mask, k))
+    return found
+
+
 def spans(votes: DataFrame) -> DataFrame:
-    """Merged diagonals: ``doc_id, text_hash, template, label, first, last, cover, n_base``."""
+    """Merged diagonals: ``doc_id, text_hash, template, label, first, last, low, high, cover, score,
+    cored, n_base, first_base, last_base``.
+
+    ``low`` and ``high`` are the first and last word of the text in the span, ``cover`` is the share
+    of the template's words that it has, and ``score`` the same over the template's words and the
+    span's words that no vote explains.
+    """
     keys = ["doc_id", "text_hash", "template", "label", "base", "size"]
     along = Window.partitionBy("doc_id", "text_hash", "template").orderBy("start")
     apart = F.coalesce(F.col("start") - F.lag("start").over(along) > NEAR, F.lit(True))
     numbered = votes.withColumn("apart", apart.cast("int")).withColumn("span", F.sum("apart").over(along))
-    whole = F.col("base") & (F.bit_count("mask") == F.col("size") - (K - 1))
-    merged = numbered.groupBy(*keys, "span").agg(
+    cored = F.col("mask").bitwiseAND(F.col("core")) == F.col("core")
+    places = F.filter(F.sequence(F.lit(0), F.col("size").cast("int") - 1), lambda i: F.getbit(_covered(F.col("mask")), i) == 1)
+    by_word = numbered.withColumn("cored", cored).select(*keys, "span", "start", "mask", "cored", F.posexplode(places).alias("nth", "at"))
+    whole = F.col("base") & F.col("cored")
+    by_word = by_word.groupBy(*keys, "span", (F.col("start") + F.col("at")).alias("word")).agg(
         F.bit_or("mask").alias("mask"),
         F.min("start").alias("first"),
         F.max("start").alias("last"),
-        F.count_if(whole).alias("n_base"),
+        F.bool_or("cored").alias("cored"),
+        F.count_if(whole & (F.col("nth") == 0)).alias("n_base"),
         F.min(F.when(whole, F.col("start"))).alias("first_base"),
         F.max(F.when(whole, F.col("start"))).alias("last_base"),
     )
-    covered = F.col("mask")
-    for k in range(1, K):
-        covered = covered.bitwiseOR(F.shiftleft("mask", k))
-    return merged.withColumn("cover", F.bit_count(covered) / F.col("size"))
+    merged = by_word.groupBy(*keys, "span").agg(
+        F.bit_or("mask").alias("mask"),
+        F.min("first").alias("first"),
+        F.max("last").alias("last"),
+        F.min("word").alias("low"),
+        F.max("word").alias("high"),
+        F.count(F.lit(1)).alias("explained"),
+        F.bool_or("cored").alias("cored"),
+        F.sum("n_base").alias("n_base"),
+        F.min("first_base").alias("first_base"),
+        F.max("last_base").alias("last_base"),
+    )
+    found = F.bit_count(_covered(F.col("mask")))
+    strange = F.col("high") - F.col("low") + 1 - F.col("explained")
+    return merged.withColumns({"cover": found / F.col("size"), "score": found / (F.col("size") + strange)})
+
+
+def counted(found: DataFrame) -> DataFrame:
+    """The spans with ``counts``: they have a core and ``LEAST_COVER`` as score, and lie in no longer
+    span of which that is true; of spans of the same words the best score counts."""
+    good = F.col("cored") & (F.col("score") >= LEAST_COVER)
+    of_text = ["doc_id", "text_hash"]
+    high, score = F.when(good, F.col("high")), F.when(good, F.col("score"))
+    earlier = Window.partitionBy(*of_text).orderBy("low").rangeBetween(Window.unboundedPreceding, -1)
+    beaten = (
+        (F.max(high).over(earlier) >= F.col("high")),
+        (F.max(high).over(Window.partitionBy(*of_text, "low")) > F.col("high")),
+        (F.max(score).over(Window.partitionBy(*of_text, "low", "high")) > F.col("score")),
+    )
+    marked = found.withColumns({f"_beaten{i}": F.coalesce(b, F.lit(False)) for i, b in enumerate(beaten)})
+    return marked.withColumn("counts", good & ~F.col("_beaten0") & ~F.col("_beaten1") & ~F.col("_beaten2"))
 
 
 def license_scan(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score`` for each row.
 
     Words are runs of ASCII letters and digits and of all characters beyond ASCII, A-Z lowered.
-    ``score`` is the largest share of a template that a span of the text covers. A text that is
+    ``base_labels`` are those of base phrases, ``labels`` also those of spans that count. ``score``
+    is the largest share of a template that a span of the text covers, where words of the span that
+    the template lacks count like missing ones. A text that is
     null or empty has no words, no labels and score 0. Rows that repeat an id are each scanned by
     their own text; rows that repeat as a whole get equal results. An empty table gives an empty
     result; other columns are not read.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(body).alias("text_hash"), F.size(words(body)).cast("bigint").alias("n_words"))
-    is_base, counts = F.col("n_base") > 0, (F.col("n_base") > 0) | (F.col("cover") >= LEAST_COVER)
+    is_base, counts = F.col("n_base") > 0, (F.col("n_base") > 0) | F.col("counts")
     joined = lambda keep: F.array_join(F.array_sort(F.collect_set(F.when(keep, F.col("label")))), ",")  # noqa: E731  bounded by the labels
     by_doc = (
-        spans(diagonals(docs, text, id_col))
+        counted(spans(diagonals(docs, text, id_col)))
         .groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
         .agg(
             F.sum("n_base").alias("n_base"),
@@ -119,7 +215,7 @@ def license_scan(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
             F.max("last_base").cast("bigint").alias("last_word"),
             joined(is_base).alias("base_labels"),
             joined(counts).alias("labels"),
-            F.max("cover").alias("score"),
+            F.max("score").alias("score"),
         )
     )
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))

@@ -1,7 +1,9 @@
 import collections
+import os
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from quarrymill.llm import license_scan, sharding, topk, toxicity
@@ -18,6 +20,28 @@ def test_license_places(make, odd, empty):
     assert license_scan.license_scan(odd).count() == 11 and license_scan.license_scan(empty).count() == 0
 
 
+def test_license_neighbours(make):
+    gnu = "licensed under the gnu {}general public license version {}"
+    texts = [gnu.format("", 2), gnu.format("lesser ", 3), gnu.format("affero ", 3), gnu.format("", 3), gnu.format("", 5), gnu.format("lesser ", "2.1"), gnu.format("unknown ", 3)]
+    texts += ["x " + gnu.format("", 2) + " or " + gnu.format("", 3), "Licensed under the very GNU General Public License version 3", "Released under the MIT no attribution"]
+    texts += ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software", "Licensed under CC BY-SA 4.0", "Mozilla Public License, version 2.0"]
+    got = {r.doc_id: r for r in license_scan.license_scan(make(texts)).collect()}
+    assert [got[i].labels for i in range(7)] == ["gpl-2", "lgpl-3", "agpl-3", "gpl-3", "", "lgpl-2.1", ""]
+    assert [got[i].labels for i in range(7, 13)] == ["gpl-2,gpl-3", "gpl-3", "", "boost-1", "cc-by-sa", ""]
+    assert got[8].score == 0.9 and all(got[i].score == 1.0 for i in (0, 1, 2, 3, 5, 7, 10, 11)) and all(got[i].base_labels == "" for i in range(13))
+
+
+def test_license_scan_equals_its_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no standard tables here")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet')")
+    want = sorted(db.execute(license_scan.ORACLE).fetchall())
+    assert sorted(tuple(r) for r in license_scan.op3_license_scan(spark, folder).collect()) == want
+
+
 def test_shards_are_even_and_keep_copies(make):
     rng = np.random.default_rng(1)
     texts = ["x" * int(n) for n in rng.integers(0, 400, 1500)] + ["copy" * 5] * 20 + ["hot text" * 20] * 800
