@@ -6,6 +6,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +16,8 @@ from quarrymill.functions.answers import judged, parse_answer, parse_citations
 #: What a row is told when its answer can't be used.
 NO_LABEL = "model response did not contain one valid option label"
 NO_CITATIONS = "model response did not contain valid citations"
+#: Rows whose prompts a judge holds as Python strings at a time.
+JUDGED = 16
 
 
 def as_callable(model) -> Callable[[str], str]:
@@ -80,9 +83,33 @@ def outcome(rows: DataFrame, cited: bool = True) -> DataFrame:
 
 
 def judge(rows: DataFrame, prompts: dict, make: Callable) -> DataFrame:
-    """``rows`` with a judge's scores within [0, 1], one per prompt (name: column)."""
-    for name, prompt in prompts.items():
-        asked = generate(rows.withColumn("_prompt", prompt), make, "_prompt")
-        scored = asked.withColumn(name, judged(F.coalesce("raw_response", F.lit("")), five=name == "context_relevance"))
-        rows = scored.drop("_prompt", "raw_response", "call_error", "latency_ms")
-    return rows
+    """``rows`` with a judge's scores within [0, 1], one per prompt (name: column).
+
+    All prompts are asked in one pass, a few rows at a time: contexts may be long, and a pass for
+    each prompt holds a batch of them in a Python worker of its own.
+    """
+    schema = T.StructType([*rows.schema, T.StructField("_said", T.ArrayType(T.StringType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        call = as_callable(make())
+        for batch in batches:
+            for start in range(0, max(1, batch.num_rows), JUDGED):
+                part = batch.slice(start, JUDGED)
+                said = [[_said(call, text) for text in texts] for texts in part.column(part.num_columns - 1).to_pylist()]
+                columns = [*part.columns[:-1], pa.array(said, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, [*part.schema.names[:-1], "_said"])
+
+    asked = rows.withColumn("_prompts", F.array(*prompts.values())).mapInArrow(run, schema)
+    scores = {
+        name: judged(F.coalesce(F.col("_said")[i], F.lit("")), five=name == "context_relevance") for i, name in enumerate(prompts)
+    }
+    return asked.withColumns(scores).drop("_said")
+
+
+def _said(call: Callable[[str], str], text: str, catch: tuple = (OSError, RuntimeError, ValueError)) -> str | None:
+    """A model's response, null after an exception of the kinds in ``catch``."""
+    try:
+        response = call(text)
+        return response if isinstance(response, str) else str(response)
+    except catch:
+        return None

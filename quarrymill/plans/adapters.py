@@ -61,12 +61,12 @@ def result_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def exchanges(spark: SparkSession, sf: str) -> DataFrame:
-    """``conversations``: each assistant turn as an answer to the turn before, with the turns
+    """``conversations``: each assistant turn as an answer to the turn before, with all turns
     before as contexts and citations by turn."""
     c = table(spark, sf, "conversations")
     from pyspark.sql import Window
 
-    so_far = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-3, -1)
+    so_far = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     previous = Window.partitionBy("conv_id").orderBy("turn")
     rows = c.withColumns({"contexts": F.collect_list("text").over(so_far), "question": F.lag("text").over(previous)})
     rows = rows.filter((F.col("role") == "assistant") & F.col("question").isNotNull())

@@ -243,7 +243,7 @@ def _letter_model():
 
 
 def judge_scores(spark: SparkSession, sf: str) -> DataFrame:
-    rows = A.exchanges(spark, sf).withColumn("context", F.array_join("contexts", "\n"))
+    rows = A.exchanges(spark, sf).withColumn("context", F.array_join("contexts", "\n")).drop("contexts")
     asked = prompts.judge_prompts(F.col("question"), F.col("answer"), F.col("context"))
     return generate.judge(rows, asked, _letter_model).select("conv_id", "turn", *asked)
 

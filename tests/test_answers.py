@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions import answers, grounding, overlap, prompts, scope, text
 from quarrymill.operators import generate, report, validate
+from quarrymill.plans import adapters
 
 
 @pytest.mark.parametrize(
@@ -25,6 +26,14 @@ def test_strict_answers(said, want):
     assert answers.answer_of(said, ["A", "B", "C"]) == want
 
 
+def test_exchanges_have_all_turns_before(spark, tmp_path):
+    turns = [("c", t, "assistant" if t % 2 else "user", f"text{t}") for t in range(12)] + [("d", 0, "assistant", "alone")]
+    spark.createDataFrame(turns, "conv_id string, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.turn: r for r in adapters.exchanges(spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 3, 5, 7, 9, 11}
+    assert all(r.contexts == [f"text{t}" for t in range(n)] and r.question == f"text{n - 1}" for n, r in got.items())
+
+
 def test_citations():
     assert answers.citations_of('{"citations": ["c1", "c1", "c2"]}', ["c1", "c2"]) == ["c1", "c2"]
     assert answers.citations_of('{"citations": []}', ["c1"]) == []
