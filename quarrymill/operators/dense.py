@@ -34,9 +34,10 @@ def vector_checks(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     )
 
 
-def retrieve(chunks: DataFrame, questions: DataFrame, k: int = 3) -> DataFrame:
+def retrieve(chunks: DataFrame, questions: DataFrame, k: int = 3, but_own: bool = False) -> DataFrame:
     """``question_id, chunk_id, pos, rank, score``: the k chunks (``pos, chunk_id, embedding``) of
-    largest cosine for each question (``question_id, embedding``), ties by position.
+    largest cosine for each question (``question_id, embedding``), ties by position. ``but_own``:
+    questions are chunks too, and those whose ``pos`` is the ``question_id`` are left out for it.
 
     Both sides are normalised, then blocks of chunks meet tiles of questions through a shuffle; a
     block keeps its best k of each question by a matrix product, ties at the cut by position.
@@ -58,9 +59,11 @@ def retrieve(chunks: DataFrame, questions: DataFrame, k: int = 3) -> DataFrame:
             return pd.DataFrame(columns=names)
         block = block.sort_values("pos")
         cosines = (np.stack(tile["v"].to_numpy()) @ np.stack(block["v"].to_numpy()).T).round(PLACES)
+        if but_own:
+            cosines[tile["question_id"].to_numpy()[:, None] == block["pos"].to_numpy()[None, :]] = -np.inf
         best = np.argsort(-cosines, axis=1, kind="stable")[:, :k]
         n = best.shape[1]
-        return pd.DataFrame(
+        found = pd.DataFrame(
             {
                 "question_id": tile["question_id"].repeat(n).to_numpy(),
                 "chunk_id": block["chunk_id"].to_numpy()[best.ravel()],
@@ -68,6 +71,7 @@ def retrieve(chunks: DataFrame, questions: DataFrame, k: int = 3) -> DataFrame:
                 "score": np.take_along_axis(cosines, best, axis=1).ravel(),
             }
         )
+        return found[found["score"] != -np.inf]
 
     met = left.groupBy("block", "tile").cogroup(right.groupBy("block", "tile"))
     kept = met.applyInPandas(local, f"question_id {kinds['question_id']}, chunk_id {kinds['chunk_id']}, pos bigint, score double")

@@ -1,9 +1,11 @@
 import math
 
+import numpy as np
 import pytest
 
 from quarrymill.operators import bm25, dense
 from quarrymill.operators import ranking_metrics as M
+from quarrymill.plans import queries
 
 CHUNKS = [(0, "c1", "T", "sleep and rest"), (1, "c2", "T", "anxiety and worry are common"), (2, "c3", "T", "bones heal in six weeks")]
 
@@ -27,6 +29,23 @@ def test_bm25_goldens(spark, index):
     assert math.isclose(rows[0].score, 0.9555011667565294, abs_tol=1e-9) and rows[1].score == 0
 
 
+def test_dense_topk_searches_all_but_its_own(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(60, 5)).round(3)
+    vectors[20] = vectors[10] * 2
+    vectors[31] = vectors[30]
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    cosines = (units @ units.T).round(6)
+    got = {(r.question_id, r["rank"]): (int(r.chunk_id), r.score) for r in queries.dense_topk(spark, str(tmp_path)).collect()}
+    assert set(got) == {(q, n) for q in range(0, 60, 10) for n in (1, 2, 3)}
+    for q in range(0, 60, 10):
+        best = sorted((i for i in range(60) if i != q), key=lambda i: (-cosines[q, i], i))[:3]
+        assert [got[q, n][0] for n in (1, 2, 3)] == best
+    assert got[10, 1][0] == 20 and got[20, 1][0] == 10 and got[30, 1][0] == 31
+
+
 @pytest.mark.parametrize("k", [1, 2, 3, 9])
 def test_top_k_is_full(spark, index, k):
     for text in ("anxiety", "", "zzz", "and and"):
