@@ -173,7 +173,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, words: int,
     """
     wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
     one = sized(classes.join(wanted, "class", "left_semi").select(F.col("first_id").alias("doc_id")).distinct())
-    bodies = rows.join(one, "doc_id", "left_semi").select("body").distinct()
+    bodies = rows.alias("r").join(one.alias("o"), F.col("r.doc_id").eqNullSafe(F.col("o.doc_id")), "left_semi").select("body").distinct()
     parts = materialise(bodies.mapInArrow(_fragments(words), "class bigint, fragment int, shingles array<bigint>"), "parts").dropDuplicates(["class", "fragment"])
     first = pairs.join(parts.select(F.col("class").alias("a"), "fragment", F.col("shingles").alias("x")), "a")
     second = first.join(parts.select(F.col("class").alias("b"), "fragment", F.col("shingles").alias("y")), ["b", "fragment"])

@@ -79,6 +79,13 @@ def test_ngram_join_odd(odd, empty):
     assert sum(got.values()) == 11 and ngram_join.ngram_join(empty).count() == 0
 
 
+def test_ngram_join_links_by_texts_without_id(make):
+    words = [f"w{i}" for i in range(120)]
+    docs = make([(0, " ".join(words[:100])), (None, " ".join(words[8:108])), (2, " ".join(words[16:116])), (None, "other " * 9 + "end"), (5, "quite another text of some words")])
+    got = collections.Counter((r.doc_id, r.component_id) for r in ngram_join.ngram_join(docs).collect())
+    assert got == {(0, 0): 1, (None, 0): 1, (2, 0): 1, (None, None): 1, (5, 5): 1}
+
+
 def test_components(spark):
     chain = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(100, 101), (101, 100), (7, 7)], "a bigint, b bigint")
     got = {r.node: r.root for r in components.components(chain).collect()}
