@@ -11,14 +11,22 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark then deletes the shuffle files of a query once it has ended.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Where that is unset (one machine,
-    tests) a temporary folder is made and the setting is filled in.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset a temporary folder is
+    made and the setting is filled in, but only if the session runs on this one machine: a
+    cluster's executors would each write to a disk of their own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share (master {master})")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -28,15 +36,37 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a re-read, not a re-run of the plan before.
-    The folder is deleted when the driver ends.
+    Shuffle files of the write go with its end, the table when it is released or the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_UP)
+        else:
+            spark.conf.set(CLEAN_UP, before)
+    where, files = _hadoop(spark, path)
+    files.deleteOnExit(where)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.written_to = path
+    return written
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` returned and that no later plan reads."""
+    for df in tables:
+        where, files = _hadoop(df.sparkSession, df.written_to)
+        files.delete(where, True)
+
+
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    """A Hadoop path and its file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
