@@ -1,15 +1,21 @@
-"""N-gram Jaccard join with vertical partitioning, down to connected components.
-
-A text is its set of hashed word shingles; equal sets are one class. The shingles have a global
-order, frequent ones last, which is cut twice. The first cut leaves each set's *prefix*, so long
-that two sets that reach the threshold share a shingle of it: overlaps of prefixes are counted on
-their own, by shingle, and pairs whose count cannot reach the threshold any more are gone. The
-rest of the order is cut into fragments; the overlap of a remaining pair is counted in each
-fragment by itself and summed per pair.
-
-Pairs inside a large group of near copies are not spelt out. First each set is held against one
-leader it shares most with; what is linked to the same leader is connected, and only pairs across
-components are looked for afterwards. Every such pair is, so no link between components is lost.
+"""N-gram Jaccard join by vertical partitioning, down to connected components.
+
+A text is its set of hashed word shingles; equal sets are one class, which the smallest row number
+of its rows names. The shingles' global order is that of their hashes. Pivots cut it into a
+quarter, a quarter and a half, and the fragments are gone through one by one, twice:
+
+- *What a class shares at all.* In each fragment shingles that one class alone has are counted per
+  class. They can't be common, so a class is dropped as soon as they are more than the threshold
+  leaves; later fragments only hold what is left, and most texts are gone after the first one.
+- *What a pair shares.* Of a candidate pair the overlap is counted in each fragment by itself and
+  summed; the pair is dropped as soon as its sum and what the rest may add is too little.
+
+Candidates come from what the first pass leaves. Its shingles are ordered by rarity (shingles of
+one class first), and linked sets share one that is so early in both that enough can follow; the
+first that they share is, so any common one that passes makes a pair. Pairs inside a large group
+of near copies are not spelt out: each class is first held against one leader only, what is linked
+to the same leader is connected, and only pairs across components are looked for afterwards.
+All of these are, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -18,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrymill.llm import prefixes
@@ -26,69 +32,50 @@ from quarrymill.llm.batches import small
 from quarrymill.llm.components import components
 from quarrymill.llm.shingles import Shingler, signature
 from quarrymill.llm.sizes import sized
-from quarrymill.session import materialise, table
+from quarrymill.session import materialise, release, table
 
 WORDS, PERCENT = 5, 80
-FRAGMENTS = 8
-#: Frequent shingles only get a place at the end of the order, which any choice leaves right: they
-#: are looked for in one of so many documents, and at most ``MOST_FREQUENT`` are taken.
-SAMPLED, SEEN, MOST_FREQUENT = 16, 16, 100_000
+#: Pivots of the order of signed 64-bit hashes: a quarter, a quarter and a half.
+PIVOTS = np.array([-(1 << 62), 0], np.int64)
+FRAGMENTS = range(len(PIVOTS) + 1)
 
-def _candidates(words: int, percent: int):
-    """Texts to their first shingles in plain order, as far as prefixes may reach."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(words)
-        for batch in small(batches):
-            found = [s[: 2 * (len(s) - prefixes.least(len(s), percent) + 1)] for s in map(shingles, batch.column(0).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.empty(0, np.int64)]))], ["shingle"])
+def _cut(shingles: np.ndarray) -> list[np.ndarray]:
+    return np.split(shingles, np.searchsorted(shingles, PIVOTS))
 
-    return run
 
-
-def _sets(words: int, percent: int, frequent):
-    """(doc_id, body) to (doc_id, n, name, class, prefix)."""
+def _sets(words: int):
+    """(row, doc_id, body) to (row, doc_id, n, of, name, shingles): set sizes, in all and by
+    fragment, the set's name, and its first fragment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, (known, place) = Shingler(words), frequent.value
+        shingles = Shingler(words)
         for batch in small(batches):
-            sizes, names, cut = [], [], []
-            for body in batch.column(1).to_pylist():
+            sizes, parts, names, first = [], [], [], []
+            for body in batch.column(2).to_pylist():
                 s = shingles(body)
-                n = len(s)
-                sizes.append(n)
+                cut = _cut(s)
+                sizes.append(len(s))
+                parts.append([len(x) for x in cut])
                 names.append(signature(s))
-                if len(known) and n:
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    last = known[at] == s
-                    if last.any():
-                        s = np.concatenate([s[~last], s[last][np.argsort(place[at[last]])]])
-                cut.append(s[: n - prefixes.least(n, percent) + 1] if n else s)
-            classes = [int.from_bytes(x[:8], "little", signed=True) for x in names]
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(classes, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(cut, pa.list_(pa.int64()))], ["doc_id", "n", "name", "class", "prefix"])
+                first.append(cut[0])
+            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(parts, pa.list_(pa.int64()))]
+            columns += [pa.array(names, pa.binary()), pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n", "of", "name", "shingles"])
 
     return run
 
 
-def _fragments(words: int):
-    """Texts to (class, fragment, shingles)."""
+def _later(words: int):
+    """Texts to (name, f1, f2): the set's name and its later fragments."""
+    names = ["name", *(f"f{k}" for k in FRAGMENTS[1:])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(words)
-        edges = np.linspace(-(2.0**63), 2.0**63, FRAGMENTS + 1)[1:-1].astype(np.int64)
         for batch in small(batches):
-            classes, numbers, parts = [], [], []
-            for body in batch.column(0).to_pylist():
-                s = shingles(body)
-                name = int.from_bytes(signature(s)[:8], "little", signed=True)
-                for k, part in enumerate(np.split(s, np.searchsorted(s, edges))):
-                    if len(part):
-                        classes.append(name)
-                        numbers.append(k)
-                        parts.append(part)
-            columns = [pa.array(classes, pa.int64()), pa.array(numbers, pa.int32()), pa.array(parts, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["class", "fragment", "shingles"])
+            found = [(signature(s), *_cut(s)[1:]) for s in map(shingles, batch.column(0).to_pylist())]
+            columns = list(zip(*found, strict=True)) or [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), *(pa.array(c, pa.list_(pa.int64())) for c in columns[1:])], names)
 
     return run
 
@@ -98,67 +85,35 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, text
     ``100 * intersection >= percent * union`` of their sets of shingles of ``words`` words, and a
     component's id is the smallest id in it.
 
-    Shingles are compared by 64-bit hashes. A text of fewer words is one shingle; a null, empty or
-    blank text has none and is a component of its own. Rows that repeat are linked like other equal
-    texts. Null ids are never a component's id unless all of it are null. An empty table gives an
+    Shingles are compared by 64-bit hashes, sets of them by 128-bit ones. A text of fewer words is
+    one shingle; a null, empty or blank text has none and is a component of its own. Very long
+    texts are read whole. Rows that repeat are linked like other equal texts. Rows without an id
+    are linked too; null is a component's id only if all of it are null. An empty table gives an
     empty result; other columns are not read.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-
-    sampled = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).select("body")
-    often = sampled.mapInArrow(_candidates(words, percent), "shingle bigint").groupBy("shingle").count()
-    often = often.filter(F.col("count") >= SEEN).orderBy(F.desc("count"), "shingle").limit(MOST_FREQUENT).collect()
-    known = np.array([r["shingle"] for r in often], np.int64)
-    by_value = np.argsort(known)
-    frequent = spark.sparkContext.broadcast((known[by_value], -by_value))  # the most frequent last
-
+    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "body")
     sets = materialise(
-        rows.mapInArrow(_sets(words, percent, frequent), f"doc_id {kind}, n bigint, name binary, class bigint, prefix array<bigint>"), "sets"
+        numbered.mapInArrow(_sets(words), f"row bigint, doc_id {kind}, n bigint, of array<bigint>, name binary, shingles array<bigint>"), "sets"
     )
-    # One row per class; any of a class's prefixes will do, they are equal.
-    classes = sets.filter("n > 0").groupBy("name", "class").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.any_value("prefix").alias("prefix"))
+    sizes = [F.max(F.col("of")[k]).alias(f"of{k}") for k in FRAGMENTS]
+    classes = sets.filter("n > 0").groupBy("name").agg(F.min("row").alias("class"), F.min("doc_id").alias("first_id"), F.max("n").alias("n"), *sizes)
     classes = materialise(classes, "classes")
-    shared = prefixes.places(classes, percent)
-
-    leads = shared.groupBy("token").agg(F.min(F.struct((F.col("i") - F.col("k")).alias("d"), "class", "n")).alias("lead"))
-    led = shared.join(leads, "token").filter((F.col("class") != F.col("lead.class")) & prefixes.sizes_fit(F.col("n"), F.col("lead.n"), percent))
-    stars = led.groupBy(F.col("class").alias("a"), F.col("lead.class").alias("b")).agg(
-        F.count(F.lit(1)).alias("s"), F.first("n").alias("n_a"), F.first("lead.n").alias("n_b")
-    )
-    stars = stars.filter(prefixes.possible(percent)).groupBy("a").agg(F.max(F.struct("s", "b", "n_a", "n_b")).alias("best"))
-    chosen = materialise(stars.select("a", "best.b", "best.n_a", "best.n_b"), "stars")
-    linked = components(_verified(chosen, rows, classes, words, percent))
 
-    placed = shared.join(linked.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    placed = materialise(placed, "placed")
-    groups = placed.groupBy("token").agg(
-        F.min_by("root", F.struct(F.col("i") - F.col("k"), "class")).alias("main"), F.min("root").alias("x"), F.max("root").alias("y")
-    )
-    mixed = placed.join(groups.filter("x <> y").select("token", "main"), "token")
-    a, b = mixed.filter("root <> main").alias("a"), mixed.alias("b")
-    n_a, n_b = F.col("a.n"), F.col("b.n")
-    across = a.join(
-        b,
-        (F.col("a.token") == F.col("b.token"))
-        & (F.col("a.root") != F.col("b.root"))
-        & ((F.col("b.root") == F.col("b.main")) | (F.col("a.class") < F.col("b.class")))
-        & prefixes.sizes_fit(n_a, n_b, percent)
-        & (prefixes.reach("a", "b") >= prefixes.needed(n_a, n_b, percent)),
-    )
-    pairs = across.groupBy(F.col("a.class").alias("a"), F.col("b.class").alias("b")).agg(
-        F.count(F.lit(1)).alias("s"), F.first("a.n").alias("n_a"), F.first("b.n").alias("n_b")
-    )
-    pairs = materialise(pairs.filter(prefixes.possible(percent)).drop("s"), "pairs")
-    new = _verified(pairs, rows, classes, words, percent)
+    shared, alive = _shared(rows, sets, classes, words, percent)
+    places = materialise(_places(shared, alive, percent), "places")
+    stars = materialise(_stars(places, percent), "stars")
+    linked = components(_verified(stars, shared, alive, percent))
+    pairs = materialise(_across(places, linked, percent).join(stars, ["a", "b"], "left_anti"), "pairs")
+    new = _verified(pairs, shared, alive, percent)
     roots = components(new.unionByName(linked.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    release(*shared, alive, places, stars, pairs)
 
-    named = classes.select("name", "class", "first_id")
-    named = named.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    named = materialise(named, "named")
-    ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    owners = named.join(ids, "root").select("name", "component_id")
+    members = materialise(classes.join(roots.withColumnRenamed("node", "class"), "class").select("name", "root", "first_id"), "members")
+    least = members.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    joined = members.join(least, "root").select("name", "component_id")
+    owners = classes.select("name", "first_id").join(joined, "name", "left").select("name", F.coalesce("component_id", "first_id").alias("component_id"))
     return (
         sets.select("doc_id", "n", "name")
         .join(owners, "name", "left")
@@ -166,20 +121,111 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, text
     )
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (``a, b, n_a, n_b``) of classes that reach the threshold, as ``a, b``.
-
-    Only sets that a pair names are made again from their texts, one text per class.
-    """
-    wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    one = sized(classes.join(wanted, "class", "left_semi").select(F.col("first_id").alias("doc_id")).distinct())
-    bodies = rows.alias("r").join(one.alias("o"), F.col("r.doc_id").eqNullSafe(F.col("o.doc_id")), "left_semi").select("body").distinct()
-    parts = materialise(bodies.mapInArrow(_fragments(words), "class bigint, fragment int, shingles array<bigint>"), "parts").dropDuplicates(["class", "fragment"])
-    first = pairs.join(parts.select(F.col("class").alias("a"), "fragment", F.col("shingles").alias("x")), "a")
-    second = first.join(parts.select(F.col("class").alias("b"), "fragment", F.col("shingles").alias("y")), ["b", "fragment"])
-    partial = second.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("x", "y")).alias("o"))
-    sums = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("o").alias("o"))
-    return materialise(sums.filter(100 * F.col("o") >= percent * (F.col("n_a") + F.col("n_b") - F.col("o"))).select("a", "b"), "verified")
+def _shared(rows: DataFrame, sets: DataFrame, classes: DataFrame, words: int, percent: int) -> tuple[list[DataFrame], DataFrame]:
+    """The first pass: for each fragment the shingles (``class, shingle``) that several classes
+    have, and the classes that may be linked: ``class, n``, and ``met0, met1, ...``, how many of
+    their shingles are shared, by fragment."""
+    alive, shared, later = classes, [], None
+    for k in FRAGMENTS:
+        if k == 0:
+            pieces = sets.select(F.col("row").alias("class"), "shingles")
+        else:
+            if later is None:
+                later = materialise(_reread(rows, alive, words), "later")
+            pieces = later.select("class", F.col(f"f{k}").alias("shingles"))
+        pieces = pieces.join(sized(alive.select("class")), "class", "left_semi").select("class", F.explode("shingles").alias("shingle"))
+        several = pieces.groupBy("shingle").count().filter("count > 1").select("shingle")
+        shared.append(materialise(pieces.join(several, "shingle", "left_semi").select("class", "shingle"), "shared"))
+        met = shared[-1].groupBy("class").agg(F.count(F.lit(1)).alias(f"met{k}"))
+        now = alive.join(met, "class", "left").fillna(0, [f"met{k}"])
+        alone = sum((F.col(f"of{i}") - F.col(f"met{i}") for i in range(k + 1)), F.lit(0))
+        now = materialise(now.filter(F.col("n") - alone >= prefixes.share(F.col("n"), percent)), "alive")
+        if alive is not classes:
+            release(alive)
+        alive = now
+    release(later)
+    return shared, alive
+
+
+def _reread(rows: DataFrame, alive: DataFrame, words: int) -> DataFrame:
+    """The later fragments of classes, one row per class, from one text of each."""
+    one = sized(alive.select("first_id").distinct())
+    bodies = rows.alias("r").join(one.alias("o"), F.col("r.doc_id").eqNullSafe(F.col("o.first_id")), "left_semi").select("body")
+    lists = ", ".join(f"f{k} array<bigint>" for k in FRAGMENTS[1:])
+    found = bodies.mapInArrow(_later(words), f"name binary, {lists}").join(alive.select("name", "class"), "name").drop("name")
+    return found.dropDuplicates(["class"])  # ids may repeat
+
+
+def _places(shared: list[DataFrame], alive: DataFrame, percent: int) -> DataFrame:
+    """Where classes may meet first: ``token, class, n, i`` for the shared shingles of their
+    prefixes; ``i`` is the place in the order by rarity."""
+    left = shared[0]
+    for more in shared[1:]:
+        left = left.unionByName(more)
+    left = left.join(alive.select("class", "n"), "class")
+    counts = left.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    own = Window.partitionBy("class")  # a text's own shingles
+    placed = left.join(counts, "shingle").withColumn("i", F.row_number().over(own.orderBy("df", "shingle")) - 1)
+    placed = placed.withColumn("i", F.col("i") + F.col("n") - F.count(F.lit(1)).over(own))
+    return placed.filter(F.col("n") - F.col("i") >= prefixes.share(F.col("n"), percent)).select(F.col("shingle").alias("token"), "class", "n", "i")
+
+
+def _may_start(n_a: Column, i_a: Column, n_b: Column, i_b: Column, percent: int) -> Column:
+    """Length and positional filter: whether two sets whose first common shingle stands at these
+    places can reach the threshold."""
+    return prefixes.sizes_fit(n_a, n_b, percent) & (F.least(n_a - i_a, n_b - i_b) >= prefixes.needed(n_a, n_b, percent))
+
+
+def _stars(places: DataFrame, percent: int) -> DataFrame:
+    """One pair (``a < b``) for each class that may be linked to a leader: of the leaders of its
+    shingles - the class that has the shingle earliest - the one it shares most shingles with."""
+    leads = places.groupBy("token").agg(F.min(F.struct("i", "n", "class")).alias("l"))
+    led = places.join(leads, "token").filter(F.col("class") != F.col("l.class"))
+    led = led.withColumn("starts", _may_start(F.col("n"), F.col("i"), F.col("l.n"), F.col("l.i"), percent))
+    found = led.groupBy(F.col("class"), F.col("l.class").alias("lead")).agg(F.count(F.lit(1)).alias("s"), F.max("starts").alias("starts"))
+    best = found.filter("starts").groupBy("class").agg(F.max(F.struct("s", "lead")).alias("x"))
+    return best.select(F.least("class", "x.lead").alias("a"), F.greatest("class", "x.lead").alias("b")).distinct()
+
+
+def _across(places: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
+    """Pairs (``a < b``) of classes in different components that may be linked."""
+    placed = places.join(linked.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    placed = materialise(placed, "placed")
+    mixed = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("token")
+    placed = placed.join(mixed, "token", "left_semi")
+    # The smaller set's first common shingle stands earlier still: enough for a set of its own size must follow.
+    early = F.col("n") - F.col("i") >= prefixes.needed(F.col("n"), F.col("n"), percent)
+    a, b = placed.filter(early).alias("a"), placed.alias("b")
+    n_a, n_b = F.col("a.n"), F.col("b.n")
+    found = a.join(
+        b,
+        (F.col("a.token") == F.col("b.token"))
+        & (F.col("a.root") != F.col("b.root"))
+        & ((n_a < n_b) | ((n_a == n_b) & (F.col("a.class") < F.col("b.class"))))
+        & _may_start(n_a, F.col("a.i"), n_b, F.col("b.i"), percent),
+    )
+    return found.select(F.least("a.class", "b.class").alias("a"), F.greatest("a.class", "b.class").alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, shared: list[DataFrame], alive: DataFrame, percent: int) -> DataFrame:
+    """The pairs (``a, b``) that reach the threshold: overlaps are counted fragment by fragment."""
+    for side in "ab":
+        known = alive.select(F.col("class").alias(side), F.col("n").alias(f"n_{side}"), *(F.col(f"met{k}").alias(f"met{k}_{side}") for k in FRAGMENTS))
+        pairs = pairs.join(known, side)
+    pairs = materialise(pairs.withColumn("o", F.lit(0).cast("bigint")), "pairs")
+    for k in FRAGMENTS:
+        ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+        lists = shared[k].join(ends, "class", "left_semi").groupBy("class").agg(F.collect_list("shingle").alias("shingles"))
+        lists = materialise(lists, "lists")
+        both = pairs.join(lists.select(F.col("class").alias("a"), F.col("shingles").alias("x")), "a", "left")
+        both = both.join(lists.select(F.col("class").alias("b"), F.col("shingles").alias("y")), "b", "left")
+        summed = both.withColumn("o", F.col("o") + F.coalesce(F.size(F.array_intersect("x", "y")), F.lit(0))).drop("x", "y")
+        rest = [sum((F.col(f"met{j}_{side}") for j in FRAGMENTS[k + 1 :]), F.lit(0)) for side in "ab"]
+        kept = summed.filter(F.col("o") + F.least(*rest) >= prefixes.needed(F.col("n_a"), F.col("n_b"), percent))
+        now = materialise(kept, "pairs")
+        release(pairs, lists)
+        pairs = now
+    return pairs.select("a", "b")
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,9 +63,7 @@ def test_exact_dedup_tells_clashing_digests_apart(make):
     assert sorted(map(tuple, weak.select(columns).collect())) == sorted(map(tuple, exact_dedup.exact_dedup(docs).select(columns).collect()))
 
 
-def test_ngram_join_against_all_pairs(make, monkeypatch):
-    monkeypatch.setattr(ngram_join, "SAMPLED", 1)  # so that frequent shingles are found in a small table
-    monkeypatch.setattr(ngram_join, "SEEN", 5)
+def test_ngram_join_against_all_pairs(make):
     texts = near_texts()
     want = components_of({i: shingle_set(t) for i, t in enumerate(texts)})
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(make(texts)).collect()}
@@ -86,6 +84,26 @@ def test_ngram_join_links_by_texts_without_id(make):
     assert got == {(0, 0): 1, (None, 0): 1, (2, 0): 1, (None, None): 1, (5, 5): 1}
 
 
+def test_ngram_join_links_a_large_group_of_near_copies(make):
+    rng = random.Random(7)
+    base, texts = [f"w{k}" for k in range(150)], []
+    for i in range(1200):
+        words = list(base)
+        for _ in range(rng.choice([1, 2, 3, 6])):  # of 1 to 3 changed words most are linked to the base, of 6 none
+            words[rng.randrange(150)] = f"v{i}x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    texts.append(" ".join(base))
+    sets = {i: shingle_set(t) for i, t in enumerate(texts)}
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(make(texts)).collect()}
+    hub = sets[1200]
+    near = [i for i, s in sets.items() if 100 * len(s & hub) >= 80 * len(s | hub)]
+    assert len(near) > 600 and {got[i] for i in near} == {min(near)}
+    far = [i for i in sets if i not in set(near)]
+    assert len(far) > 200 and {i: got[i] for i in far[:40]} == {
+        i: min([i, *(min(near) if got[j] == min(near) else j for j, s in sets.items() if 100 * len(s & sets[i]) >= 80 * len(s | sets[i]))]) for i in far[:40]
+    }
+
+
 def test_components(spark):
     chain = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(100, 101), (101, 100), (7, 7)], "a bigint, b bigint")
     got = {r.node: r.root for r in components.components(chain).collect()}
