@@ -23,8 +23,10 @@ def exact_dedup(
     text: str = "text",
     id_col: str = "doc_id",
     digest: Column | None = None,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256``.
+    """One row per row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256``, and the
+    columns that ``carry`` names.
 
     Two texts are equal when they are identical; of equal texts the row with the largest id
     stays. ``digest`` replaces SHA-256 as the grouping digest: a weaker one costs time only,
@@ -33,7 +35,8 @@ def exact_dedup(
     Edge cases: a null text counts as empty, and empty texts are one group. A row whose id is
     null never wins against a row with an id; a group of null ids alone has a null ``keep_id``
     and keeps all its rows. Rows that repeat an id count one by one in ``group_size`` and share
-    ``kept``. An empty table gives an empty result. Other columns are not read.
+    ``kept``. Very long texts are compared whole. An empty table gives an empty result. Other
+    columns are not read.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     sha = F.unhex(F.sha2(body, 256))
@@ -43,6 +46,7 @@ def exact_dedup(
         sha.alias("sha"),
         (sha if digest is None else digest).alias("digest"),
         F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int").alias("salt"),
+        F.struct(*carry).alias("carry") if carry else F.lit(None).alias("carry"),
     )
     salted = rows.groupBy("digest", "salt", "body").agg(
         F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("n")
@@ -79,6 +83,7 @@ def exact_dedup(
         "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
+        *(f"carry.{name}" for name in carry),
     )
 
 

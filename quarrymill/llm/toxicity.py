@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrymill.llm.batches import small
 from quarrymill.llm.memory import Recent
@@ -35,7 +36,7 @@ SPACE, MOST_FEATURES = 1 << 20, 4096
 MOST_POSITIVES, MOST_UNLABELLED = 20_000, 40_000
 #: A feature is used from this many positives and this z score (positives against unlabelled).
 LEAST_POSITIVES, LEAST_Z = 3, 5.0
-THRESHOLD = 0.3
+THRESHOLD, LEAST_PRIOR = 0.3, 1e-4
 STEPS, RATE, L2, BACK = 400, 0.1, 1e-4, 1.0
 
 
@@ -122,14 +123,18 @@ def fit(rows: pa.Table, kept: list[int], prior: float) -> Model:
     return Model(float(bias), {f: float(theta[k]) for f, k in at.items()}, prior)
 
 
-def train(texts: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "toxic") -> Model:
+def train(
+    texts: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "toxic", prior: float | None = None
+) -> Model:
     """A model from confirmed positives (``label`` 1 in ``labels``) and from ``texts`` without
-    labels. The class prior is the share of positives among the labelled rows.
+    labels. ``prior`` is the share of positives among all texts; without it that among the labelled
+    rows is taken, which is right only if rows were not picked for labelling by their toxicity.
 
     The samples hold at most about ``MOST_POSITIVES`` and ``MOST_UNLABELLED`` rows, chosen by a
     hash of the id; all of them while there are no more. Null texts count as empty; rows with a
     null label are unlabelled; ids that repeat in ``labels`` count as positive when one of them is.
-    Without positives the model scores everything with a small constant.
+    Very long texts are read whole, and other columns are not read. Without positives, or without
+    a feature that tells them apart, the model scores everything with a small constant.
     """
     marked = labels.groupBy(F.col(id_col).alias("_id")).agg(F.max(label).alias("_label"))
     marked = marked.filter("_id is not null and _label is not null")
@@ -137,9 +142,10 @@ def train(texts: DataFrame, labels: DataFrame, text: str = "text", id_col: str =
     seen = rows.select("_id").join(marked, "_id", "left").agg(
         F.count(F.lit(1)).alias("n"), F.count("_label").alias("known"), F.count_if(F.col("_label") == 1).alias("p")
     ).first()
-    prior = min(0.9, max(1e-4, seen["p"] / max(1, seen["known"])))
+    prior = min(0.9, max(LEAST_PRIOR, seen["p"] / max(1, seen["known"]) if prior is None else prior))
+    nothing = Model(float(np.log(LEAST_PRIOR / (1 - LEAST_PRIOR))), {}, prior)
     if not seen["p"]:
-        return Model(float(np.log(prior / (1 - prior))), {}, prior)
+        return nothing
     part = lambda most, n: F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(min(1.0, most / max(1, n)) * (1 << 20)) + 1
     confirmed = F.broadcast(marked.filter("_label = 1").select("_id").filter(part(MOST_POSITIVES, seen["p"])))  # by that bound
     positives = rows.join(confirmed, "_id", "left_semi")
@@ -156,28 +162,35 @@ def train(texts: DataFrame, labels: DataFrame, text: str = "text", id_col: str =
     chosen = counts.filter(F.col("p") >= LEAST_POSITIVES).select("feature", z.alias("z")).filter(F.col("z") >= LEAST_Z)
     # What reaches the driver is bounded by MOST_FEATURES and the samples' bounds.
     kept = [r["feature"] for r in chosen.orderBy(F.desc("z"), "feature").limit(MOST_FEATURES).collect()]
+    if not kept:
+        return nothing
     matrix = sample.mapInArrow(_rows(frozenset(kept)), "positive boolean, found array<int>")
     return fit(matrix.toArrow(), kept, prior)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``doc_id, score`` for each row: the model's probability that the whole text is toxic.
+def with_scores(docs: DataFrame, model: Model, column: str = "score", text: str = "text") -> DataFrame:
+    """``docs`` and ``column``: the model's probability that the row's whole text is toxic.
 
-    Only the text is read. A null text counts as empty and gets the score of a text without
-    features; rows that repeat are scored each by itself; an empty table gives an empty result.
+    A null or empty text gets the score of a text without features; very long texts are read
+    whole; rows that repeat are scored each by itself; an empty table gives an empty result. Other
+    columns, ids included, pass as they are; ``column`` is to be a new name.
     """
-    weights, bias = model.weights, model.bias
+    weights, bias, place = model.weights, model.bias, docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_word = Recent(lambda w: tuple(x for x in word_features(w) if x in weights), 100_000).__getitem__
         for batch in small(batches):
-            z = [sum(map(weights.__getitem__, sorted(features(t, of_word)))) + bias for t in batch.column(1).to_pylist()]
+            z = [sum(map(weights.__getitem__, sorted(features(t or "", of_word)))) + bias for t in batch.column(place).to_pylist()]
             found = 1 / (1 + np.exp(-np.clip(np.array(z, float), -500, 500)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, column])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(column, T.DoubleType())]))
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, score double")
+
+def score(docs: DataFrame, model: Model, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``doc_id, score`` for each row; see ``with_scores``. No other columns are read."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("body"))
+    return with_scores(rows, model, text="body").select("doc_id", "score")
 
 
 def held_out(id_col: str = "doc_id"):
