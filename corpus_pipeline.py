@@ -6,6 +6,7 @@ written as Parquet and read again. All but the last return the columns of ``docu
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,32 +15,73 @@ from quarrymill.llm.sizes import sized
 from quarrymill.session import materialise, table
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the rows that ``dropped`` names by all its columns (nulls never match)."""
-    return docs.join(sized(dropped), dropped.columns, "left_anti").select(*docs.columns)
+def new_name(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` lacks."""
+    return name if name not in docs.columns else new_name(docs, f"{name}_")
+
+
+def identified(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a column, also named, that tells any two rows apart: file and place in it.
+
+    Ids may be null or repeat, so rows are known by this key within a stage. Rows that are in no
+    Parquet file yet are written first.
+    """
+    name = new_name(docs, "_key")
+    key = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias(name)
+    try:
+        return docs.select("*", key), name
+    except AnalysisException:
+        return materialise(docs, "docs").select("*", key), name
+
+
+def without(docs: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
+    """``docs`` without the rows whose ``key`` is in ``dropped``, and without that column."""
+    return docs.join(sized(dropped.select(key)), key, "left_anti").drop(key)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go; it learns from labelled rows of ``docs``."""
-    scored = toxicity.score_documents(docs, docs, table(spark, sf_dir, "labels"))
-    return without(docs, scored.filter("predicted = 1").select("doc_id"))
+    """Documents that the toxicity model rejects go; it learns from labelled rows of ``docs``.
+
+    Each row is judged by its own whole text, of any length: rows with a null or repeated id like
+    all others, null and empty texts as texts without features, which stay. Where nothing can be
+    learned all rows stay. Other columns pass as they are; an empty table stays empty.
+    """
+    model = toxicity.train(docs.filter(~toxicity.held_out()), table(spark, sf_dir, "labels"))
+    score = new_name(docs, "score")
+    return toxicity.with_scores(docs, model, score).filter(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest id stays."""
-    dropped = exact_dedup.exact_dedup(docs).filter("not kept").select("doc_id", "text_sha256")
-    named = docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
-    return without(named, dropped).select(*docs.columns)
+    """Of equal texts exactly one row stays: that with the largest id, of several such any one.
+
+    Null texts count as empty, and one of them stays; a row without an id stays only if all of its
+    copies have none. Texts are compared whole, of any length. Other columns pass as they are; an
+    empty table stays empty.
+    """
+    docs, key = identified(docs)
+    rows = materialise(exact_dedup.exact_dedup(docs, carry=(key,)).select("kept", "text_sha256", key), "decided")
+    tied = rows.filter("kept").groupBy("text_sha256").agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_first")).filter("_n > 1")
+    more = rows.filter("kept").join(tied, "text_sha256").filter(F.col(key) != F.col("_first"))
+    return without(docs, rows.filter("not kept").select(key).unionByName(more.select(key)), key)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked texts the one whose id names the component stays."""
-    found = ngram_join.ngram_join(docs)
-    return without(docs, found.filter("doc_id <> component_id").select("doc_id"))
+    """Of each component of linked texts exactly one row stays: that with the smallest id.
+
+    Rows without an id come after all others, and of rows that repeat an id any one may stay. Null
+    and blank texts are linked with nothing and stay. Texts are compared whole, of any length.
+    Other columns pass as they are; an empty table stays empty.
+    """
+    docs, key = identified(docs)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(key).alias("key"))
+    found = ngram_join.ngram_join(docs.select(order.alias("doc_id"), "text"))
+    return without(docs, found.filter("doc_id <> component_id").select(F.col("doc_id.key").alias(key)), key)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces and their places in sequences."""
+    """Token pieces and their places in sequences, of every row: a null or empty text is one piece
+    (its end token), very long texts are cut, rows that repeat are packed each by itself, and an
+    empty table gives no pieces. Columns besides id and text are not read."""
     return packing.pack_documents(docs)
 
 
