@@ -16,6 +16,10 @@ class Recent(dict):
         super().__init__()
         self.make, self.most, self.longest, self.older = make, most, longest, {}
 
+    def drop_older(self) -> None:
+        """For the end of a task, where the memory outlives it."""
+        self.older = {}
+
     def __missing__(self, key):
         value = self.older.get(key)
         if value is None:

@@ -112,6 +112,8 @@ def cut_documents(
             columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(pieces, pa.int32())]
             columns += [pa.array(x, pa.int64()) for x in (starts, lengths, crcs)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
+        made.words.drop_older()
+        made.pieces.drop_older()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -7,8 +7,6 @@ import hashlib
 import numpy as np
 import xxhash
 
-from quarrymill.llm.memory import Recent
-
 #: Odd multipliers of the shingle hash (fixed values: the golden ratio's 64-bit form, splitmix64's).
 STEP, MIX_A, MIX_B = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -24,7 +22,6 @@ class Shingler:
 
     def __init__(self, size: int = 5):
         self.size = size
-        self.words = Recent(xxhash.xxh64_intdigest, 120_000)
 
     def __call__(self, text: bytes) -> np.ndarray:
         """The sorted distinct shingles (as signed numbers) of a UTF-8 text: A-Z lower-cased, words
@@ -33,7 +30,7 @@ class Shingler:
         n = len(found)
         if not n:
             return np.empty(0, np.int64)
-        w = np.fromiter(map(self.words.__getitem__, found), np.uint64, n)
+        w = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, n)
         size = min(self.size, n)
         h = np.full(n - size + 1, size, np.uint64)
         for k in range(size):

@@ -37,6 +37,8 @@ MOST_POSITIVES, MOST_UNLABELLED = 20_000, 40_000
 #: A feature is used from this many positives and this z score (positives against unlabelled).
 LEAST_POSITIVES, LEAST_Z = 3, 5.0
 THRESHOLD, LEAST_PRIOR = 0.3, 1e-4
+#: Words whose features a task remembers.
+REMEMBERED = 40_000
 STEPS, RATE, L2, BACK = 400, 0.1, 1e-4, 1.0
 
 
@@ -62,7 +64,7 @@ def features(text: str, of_word) -> set[int]:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with each feature, among positives and unlabelled (columns: positive, body)."""
-    found, of_word = np.zeros((2, SPACE), np.int64), Recent(word_features, 100_000).__getitem__
+    found, of_word = np.zeros((2, SPACE), np.int64), Recent(word_features, REMEMBERED).__getitem__
     for batch in small(batches):
         for positive, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             found[int(positive), list(features(body, of_word))] += 1
@@ -75,7 +77,7 @@ def _rows(kept: frozenset[int]):
     """Turns (positive, body) into (positive, kept features)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_word = Recent(lambda w: tuple(x for x in word_features(w) if x in kept), 100_000).__getitem__
+        of_word = Recent(lambda w: tuple(x for x in word_features(w) if x in kept), REMEMBERED).__getitem__
         for batch in small(batches):
             found = [sorted(features(body, of_word)) for body in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["positive", "found"])
@@ -178,7 +180,7 @@ def with_scores(docs: DataFrame, model: Model, column: str = "score", text: str
     weights, bias, place = model.weights, model.bias, docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_word = Recent(lambda w: tuple(x for x in word_features(w) if x in weights), 100_000).__getitem__
+        of_word = Recent(lambda w: tuple(x for x in word_features(w) if x in weights), REMEMBERED).__getitem__
         for batch in small(batches):
             z = [sum(map(weights.__getitem__, sorted(features(t or "", of_word)))) + bias for t in batch.column(place).to_pylist()]
             found = 1 / (1 + np.exp(-np.clip(np.array(z, float), -500, 500)))
