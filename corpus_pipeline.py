@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.llm import exact_dedup, ngram_join, packing, toxicity
 from quarrymill.llm.sizes import sized
-from quarrymill.session import materialise, table
+from quarrymill.session import materialise, short_batches, table
 
 
 def new_name(docs: DataFrame, name: str) -> str:
@@ -46,6 +46,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     all others, null and empty texts as texts without features, which stay. Where nothing can be
     learned all rows stay. Other columns pass as they are; an empty table stays empty.
     """
+    short_batches(spark)
     model = toxicity.train(docs.filter(~toxicity.held_out()), table(spark, sf_dir, "labels"))
     score = new_name(docs, "score")
     return toxicity.with_scores(docs, model, score).filter(F.col(score) < toxicity.THRESHOLD).drop(score)
@@ -72,6 +73,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     and blank texts are linked with nothing and stay. Texts are compared whole, of any length.
     Other columns pass as they are; an empty table stays empty.
     """
+    short_batches(spark)
     docs, key = identified(docs)
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(key).alias("key"))
     found = ngram_join.ngram_join(docs.select(order.alias("doc_id"), "text"))
@@ -82,6 +84,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces and their places in sequences, of every row: a null or empty text is one piece
     (its end token), very long texts are cut, rows that repeat are packed each by itself, and an
     empty table gives no pieces. Columns besides id and text are not read."""
+    short_batches(spark)
     return packing.pack_documents(docs)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Spark then deletes the shuffle files of a query once it has ended.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -69,6 +70,13 @@ def _hadoop(spark: SparkSession, path: str) -> tuple:
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Hand Python tasks a thousand rows at once instead of Spark's ten thousand: an executor holds
+    several copies of a batch, and texts may be long. A session that sets another number keeps it."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "1000")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
