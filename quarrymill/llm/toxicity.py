@@ -38,7 +38,7 @@ MOST_POSITIVES, MOST_UNLABELLED = 20_000, 40_000
 LEAST_POSITIVES, LEAST_Z = 3, 5.0
 THRESHOLD, LEAST_PRIOR = 0.3, 1e-4
 #: Words whose features a task remembers.
-REMEMBERED = 40_000
+REMEMBERED = 100_000
 STEPS, RATE, L2, BACK = 400, 0.1, 1e-4, 1.0
 
 
