@@ -22,13 +22,11 @@ def exact_match(prediction: Column, truth: Column) -> Column:
 
 
 def token_f1(prediction: Column, truth: Column) -> Column:
-    """Distinct common words over the number of words, repeats included, on either side."""
+    """Distinct common words over the number of words, repeats included, on either side; 0 if there are none."""
     p, t = ws_tokens(prediction), ws_tokens(truth)
     common = F.size(F.array_intersect(p, t))
     precision, recall = common / F.nullif(F.size(p), F.lit(0)), common / F.nullif(F.size(t), F.lit(0))
-    both_empty = (F.size(p) == 0) & (F.size(t) == 0)
-    f1 = F.when(common > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
-    return F.when(both_empty, 1.0).otherwise(f1)
+    return F.when(common > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
 
 
 def bleu(prediction: str, truth: str) -> float:

@@ -83,7 +83,8 @@ def outcome(rows: DataFrame, cited: bool = True) -> DataFrame:
 
 
 def judge(rows: DataFrame, prompts: dict, make: Callable) -> DataFrame:
-    """``rows`` with a judge's scores within [0, 1], one per prompt (name: column).
+    """``rows`` with a judge's scores within [0, 1], one per prompt (name: column); null where the
+    call failed, so that no failure counts as a score.
 
     All prompts are asked in one pass, a few rows at a time: contexts may be long, and a pass for
     each prompt holds a batch of them in a Python worker of its own.
@@ -101,7 +102,7 @@ def judge(rows: DataFrame, prompts: dict, make: Callable) -> DataFrame:
 
     asked = rows.withColumn("_prompts", F.array(*prompts.values())).mapInArrow(run, schema)
     scores = {
-        name: judged(F.coalesce(F.col("_said")[i], F.lit("")), five=name == "context_relevance") for i, name in enumerate(prompts)
+        name: F.when(F.col("_said")[i].isNotNull(), judged(F.col("_said")[i], five=name == "context_relevance")) for i, name in enumerate(prompts)
     }
     return asked.withColumns(scores).drop("_said")
 

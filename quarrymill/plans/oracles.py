@@ -138,7 +138,7 @@ ORACLES: dict[str, str] = {
         u AS (SELECT vec_id, i, x / CASE WHEN l > 0 THEN l ELSE 1 END AS x FROM v JOIN (SELECT vec_id, sqrt(sum(x * x)) AS l FROM v GROUP BY 1) USING (vec_id)),
         s AS (
             SELECT a.vec_id AS question_id, b.vec_id AS pos, round(sum(a.x * b.x), 9) AS score
-            FROM u a JOIN u b USING (i) WHERE a.vec_id % 10 = 0 AND b.vec_id % 10 <> 0 GROUP BY ALL
+            FROM u a JOIN u b USING (i) WHERE a.vec_id % 10 = 0 AND b.vec_id <> a.vec_id GROUP BY ALL
         )
         SELECT question_id, pos::VARCHAR AS chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, pos)::INT AS rank, round(score, 6) AS score
         FROM s QUALIFY rank <= {K}""",
@@ -248,8 +248,7 @@ ORACLES: dict[str, str] = {
         a AS (SELECT text AS answer, question, {_WSWORDS.format("text")} AS p, {_WSWORDS.format("question")} AS t FROM c WHERE role = 'assistant' AND question IS NOT NULL),
         f AS (SELECT *, len(list_distinct(list_intersect(p, t))) AS common FROM a)
         SELECT count(*) AS n, round(avg((lower(trim(answer)) = lower(trim(question)))::INT), 9) AS exact_match,
-               round(avg(CASE WHEN len(p) = 0 AND len(t) = 0 THEN 1.0
-                              WHEN common > 0 THEN 2 * (common / len(p)) * (common / len(t)) / (common / len(p) + common / len(t)) ELSE 0 END), 9) AS f1_score
+               round(avg(CASE WHEN common > 0 THEN 2 * (common / len(p)) * (common / len(t)) / (common / len(p) + common / len(t)) ELSE 0 END), 9) AS f1_score
         FROM f""",
     "first_questions": "SELECT item_id AS question_id FROM benchmark ORDER BY item_id LIMIT 10",
     "tokens_profile": f"""

@@ -39,7 +39,7 @@ def _dense(spark: SparkSession, sf: str, k: int) -> DataFrame:
 
 
 def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """Each tenth vector against all others. The SQL still leaves each tenth one out of those searched."""
+    """Each tenth vector against all others."""
     e = table(spark, sf, "embeddings")
     corpus = e.select(F.col("vec_id").alias("pos"), F.col("vec_id").cast("string").alias("chunk_id"), "embedding")
     asked = e.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("question_id"), "embedding")

@@ -135,3 +135,26 @@ def test_sample_is_fixed(spark):
     df = spark.range(50).withColumnRenamed("id", "k")
     a, b = ([r.k for r in validate.fixed_sample(df.repartition(n), 20, "k", "k").collect()] for n in (1, 7))
     assert a == b and len(a) == 20 and len(validate.fixed_sample(df, 99, "k", "k").collect()) == 50
+
+
+def test_token_f1_of_empty_texts_is_zero(spark):
+    from quarrymill.functions.overlap import token_f1
+
+    rows = spark.createDataFrame([("", ""), ("a b", ""), ("a b", "b c")], "p string, t string")
+    assert [r.f for r in rows.select(token_f1(F.col("p"), F.col("t")).alias("f")).collect()] == [0.0, 0.0, 0.5]
+
+
+def test_a_failed_judge_call_is_no_score(spark):
+    from quarrymill.operators.generate import judge
+
+    def make():
+        def call(text):
+            if text == "fails":
+                raise ValueError("no answer")
+            return "0.5"
+
+        return call
+
+    rows = spark.createDataFrame([("fails",), ("fine",)], "prompt string")
+    got = {r.prompt: r.hallucination for r in judge(rows, {"hallucination": F.col("prompt")}, make).collect()}
+    assert got == {"fails": None, "fine": 0.5}
