@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a block of vectors and of a tile of queries at most.
 BLOCK, TILE = 16_384, 4_096
+#: Questions whose cosines with a block are held at a time.
+STRIP = 64
 PLACES = 9
 
 
@@ -34,13 +36,25 @@ def vector_checks(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     )
 
 
+def _first_best(scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest scores, equal ones in their order; only scores that reach the k-th are sorted."""
+    if k < len(scores):
+        least = np.partition(scores, len(scores) - k)[len(scores) - k]
+        reach = np.flatnonzero(scores >= least)
+    else:
+        reach = np.arange(len(scores))
+    return reach[np.argsort(-scores[reach], kind="stable")[:k]]
+
+
 def retrieve(chunks: DataFrame, questions: DataFrame, k: int = 3, but_own: bool = False) -> DataFrame:
     """``question_id, chunk_id, pos, rank, score``: the k chunks (``pos, chunk_id, embedding``) of
     largest cosine for each question (``question_id, embedding``), ties by position. ``but_own``:
     questions are chunks too, and those whose ``pos`` is the ``question_id`` are left out for it.
 
     Both sides are normalised, then blocks of chunks meet tiles of questions through a shuffle; a
-    block keeps its best k of each question by a matrix product, ties at the cut by position.
+    block keeps its best k of each question by a matrix product, ties at the cut by position. A tile
+    is taken in strips of ``STRIP`` questions. An empty corpus, and vectors of questions of another
+    size than the corpus's, are errors.
     """
     if k <= 0:
         raise ValueError("k must be positive")
@@ -49,6 +63,8 @@ def retrieve(chunks: DataFrame, questions: DataFrame, k: int = 3, but_own: bool
     blocks, tiles = (max(1, -(-df.count() // most)) for df, most in ((left, BLOCK), (right, TILE)))
     part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    if chunks.isEmpty():
+        raise ValueError("a corpus needs at least one chunk")
     left = left.withColumn("block", part("pos", blocks)).withColumn("tile", every(tiles))
     right = right.withColumn("tile", part("question_id", tiles)).withColumn("block", every(blocks))
     kinds = {f.name: f.dataType.simpleString() for f in [*questions.schema, *chunks.schema]}
@@ -58,19 +74,20 @@ def retrieve(chunks: DataFrame, questions: DataFrame, k: int = 3, but_own: bool
         if block.empty or tile.empty:
             return pd.DataFrame(columns=names)
         block = block.sort_values("pos")
-        cosines = (np.stack(tile["v"].to_numpy()) @ np.stack(block["v"].to_numpy()).T).round(PLACES)
-        if but_own:
-            cosines[tile["question_id"].to_numpy()[:, None] == block["pos"].to_numpy()[None, :]] = -np.inf
-        best = np.argsort(-cosines, axis=1, kind="stable")[:, :k]
-        n = best.shape[1]
-        found = pd.DataFrame(
-            {
-                "question_id": tile["question_id"].repeat(n).to_numpy(),
-                "chunk_id": block["chunk_id"].to_numpy()[best.ravel()],
-                "pos": block["pos"].to_numpy()[best.ravel()],
-                "score": np.take_along_axis(cosines, best, axis=1).ravel(),
-            }
-        )
+        vectors, places, ids = np.stack(block["v"].to_numpy()), block["pos"].to_numpy(), block["chunk_id"].to_numpy()
+        strips = []
+        for start in range(0, len(tile), STRIP):
+            asked = tile["question_id"].to_numpy()[start : start + STRIP]
+            wanted = np.stack(tile["v"].iloc[start : start + STRIP].to_numpy())
+            if wanted.shape[1] != vectors.shape[1]:
+                raise ValueError("query embedding dimension does not match the index")
+            cosines = (wanted @ vectors.T).round(PLACES)
+            if but_own:
+                cosines[asked[:, None] == places[None, :]] = -np.inf
+            best = [_first_best(row, k) for row in cosines]
+            at, row = np.concatenate(best), np.repeat(np.arange(len(best)), [len(b) for b in best])
+            strips.append(pd.DataFrame({"question_id": asked[row], "chunk_id": ids[at], "pos": places[at], "score": cosines[row, at]}))
+        found = pd.concat(strips, ignore_index=True)
         return found[found["score"] != -np.inf]
 
     met = left.groupBy("block", "tile").cogroup(right.groupBy("block", "tile"))

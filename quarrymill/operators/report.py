@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrymill.functions.answers import exam_letter
+from quarrymill.functions.text import trim_ws
+from quarrymill.operators.numbering import numbered
 from quarrymill.operators.ranking_metrics import common
 
 Z = 1.96
@@ -125,6 +128,76 @@ def benchmark_score(rows: DataFrame) -> DataFrame:
     return rows.agg(n.alias("total_questions"), right.alias("correct_count"), F.bround(percent, 2).alias("accuracy_pct"), F.concat(right, F.lit("/"), n).alias("score"))
 
 
+def benchmark_rows(rows: DataFrame) -> DataFrame:
+    """``rows`` of a fixed benchmark (``raw_response, call_error, truth_letter``) with
+    ``model_response, predicted_letter, is_correct``: a failed call's response is a text that tells
+    the error, and is read like any other."""
+    failed = F.concat(F.lit("[ERROR: Generation failed: "), F.regexp_replace("call_error", r"^\w+: ", ""), F.lit("]"))
+    said = F.coalesce(F.when(F.col("call_error").isNotNull(), failed), F.col("raw_response"), F.lit(""))
+    read = rows.withColumn("model_response", said).withColumn("predicted_letter", exam_letter(F.col("model_response")))
+    right = (F.col("predicted_letter") != "") & (F.col("predicted_letter") == F.upper(trim_ws(F.col("truth_letter"))))
+    return read.withColumn("is_correct", F.coalesce(right, F.lit(False)))
+
+
+def breakdown(rows: DataFrame, order: str) -> DataFrame:
+    """``index, line``: a table row in Markdown for each of the `benchmark_rows`, from 1 by ``order``."""
+    cells = [F.col("index").cast("string"), F.col("truth_letter"), F.coalesce(F.nullif("predicted_letter", F.lit("")), F.lit("None"))]
+    result = F.when(F.col("is_correct"), "Passed").otherwise("Failed")
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells, result), F.lit(" |"))
+    return numbered(rows, order, "index", 1).select("index", line.alias("line"))
+
+
+def generation_means(rows: DataFrame, measures: tuple[str, ...]) -> DataFrame:
+    """One row: the number of rows and the mean of each measure, 0 without rows. Nulls, which are
+    judge calls that failed, don't count in a mean."""
+    return rows.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.avg(m), F.lit(0.0)).alias(m) for m in measures])
+
+
+#: What a report says of how it measures.
+PROTOCOL = {
+    "answer_metric": "exact MedQA option-letter accuracy",
+    "failure_policy": "failures and abstentions count incorrect in accuracy_on_all_questions",
+    "citation_metric": "citation IDs must be non-empty and belong to retrieved_chunk_ids",
+    "retrieval_metric_policy": "Recall, Precision, MRR, and nDCG require gold evidence sidecar",
+    "grounding_metric_policy": "lexical overlap is diagnostic only; no factuality claim",
+}
+#: Names in written reports of the columns that `run_report` names otherwise.
+WRITTEN = {
+    "accuracy_on_all": "accuracy_on_all_questions",
+    "accuracy_on_successes": "accuracy_on_successful_answers",
+    "failures": "failures_or_abstentions",
+    "citation_valid_rate": "citation_valid_rate_on_successes",
+    "citation_coverage": "citation_coverage_on_all",
+}
+KEPT = {"ignoreNullFields": "false"}
+
+
+def report_documents(reports: DataFrame, k: int = 3) -> DataFrame:
+    """``system_name, report``: the rows of `run_report` as one JSON document per system, with its
+    protocol, the overall figures and those of each scope, by name. A part without labelled
+    queries has their number and k only as its retrieval metrics."""
+    retrieval = ("recall_at_k", "precision_at_k", "mrr", "ndcg_at_k")
+    apart = {"system_name", "scope", "level", "ci_low", "ci_high", "labeled_queries", *retrieval}
+    figures = [F.col(c).alias(WRITTEN.get(c, c)) for c in reports.columns if c not in apart]
+    figures.append(F.array("ci_low", "ci_high").alias("accuracy_95_ci"))
+    labelled = [F.col("labeled_queries"), F.lit(k).alias("k")]
+    found = F.when(F.col("labeled_queries") > 0, F.to_json(F.struct(*labelled, *retrieval), KEPT)).otherwise(F.to_json(F.struct(*labelled)))
+    part = F.concat(F.regexp_replace(F.to_json(F.struct(*figures), KEPT), r"\}$", ""), F.lit(',"retrieval":'), found, F.lit("}"))
+    parts = reports.withColumn("_part", part)
+    by_scope = F.array_sort(F.collect_list(F.when(F.col("level") == "scope", F.struct("scope", "_part"))))  # one per scope
+    whole = parts.groupBy("system_name").agg(
+        F.max(F.when(F.col("level") == "overall", F.col("_part"))).alias("_overall"),
+        F.max(F.when(F.col("level") == "overall", F.col("questions"))).alias("_rows"),
+        by_scope.alias("_scopes"),
+    )
+    text = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")  # noqa: E731  a string as JSON
+    protocol = F.to_json(F.struct(*[F.lit(v).alias(n) for n, v in PROTOCOL.items()], F.lit(k).alias("k")))
+    scopes = F.array_join(F.transform("_scopes", lambda s: F.concat(text(s["scope"]), F.lit(":"), s["_part"])), ",")
+    pieces = ["{", '"system_name":', text(F.col("system_name")), ',"result_rows":', F.col("_rows").cast("string"), ',"protocol":', protocol]
+    pieces += [',"overall":', F.col("_overall"), ',"by_scope":{', scopes, "}}"]
+    return whole.select("system_name", F.concat(*[F.lit(p) if isinstance(p, str) else p for p in pieces]).alias("report"))
+
+
 def run_totals(rows: DataFrame) -> DataFrame:
     """Correct rows and failures of a run."""
     return rows.agg(F.count_if(F.coalesce("is_correct", F.lit(False))).alias("correct"), F.count_if(F.col("error").isNotNull()).alias("failures"))

@@ -73,7 +73,7 @@ def first_rows(df: DataFrame, n: int, order: str) -> DataFrame:
 
 def fixed_sample(df: DataFrame, n: int, key: str, order: str, seed: int = 42) -> DataFrame:
     """n rows (all when there are no more) that depend on their keys and the seed alone, by ``order``."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n).orderBy(order)
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n).orderBy(order)
 
 
 def profile(df: DataFrame, text: str, title: str | None = None, index: str | None = None) -> DataFrame:

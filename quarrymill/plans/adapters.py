@@ -13,6 +13,15 @@ WIDTH = 32
 #: Word rules that do occur in the invented prose of ``documents``.
 WORD_RULES = [("the", r"\bthe\b"), ("and", r"\band\b"), ("die", r"\bdie\b"), ("que", r"\bque\b"), ("tion", r"\btion\w*\b")]
 
+#: Phrases for the default rules; the last ones match none.
+PHRASES = [
+    "a psychiatric ward", "Mental  Health care", "depressed mood", "anxious today", "schizophrenic signs", "psychosis now", "bipolar type",
+    "a manic phase", "obsessive-compulsive acts", "OCD signs", "a panic attack", "panic disorder", "phobias remain", "post-traumatic stress",
+    "ptsd care", "personality disorders", "autistic child", "adhd care", "attention deficit", "delirium tremens", "suicidal thought",
+    "hallucinations heard", "delusional ideas", "psychotherapy helps", "cognitive behavioral therapy", "antidepressants help",
+    "a mood stabilizer", "panic alone", "a broken leg", "maniac",
+]
+
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")

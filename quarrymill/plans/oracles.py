@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from quarrymill.functions import answers
+from quarrymill.functions import prompts as P
+from quarrymill.functions.scope import RULES
+from quarrymill.operators.generate import NO_CITATIONS, NO_LABEL
+from quarrymill.plans.adapters import PHRASES
+
 TERMS = "regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+')"
 K, KS, WIDTH = 3, (1, 3, 5, 8), 32
 
@@ -110,10 +116,6 @@ def _wilson(sign: str) -> str:
 
 
 _CI_LOW, _CI_HIGH = f"round_even(greatest(0.0, {_wilson('-')}), 6)", f"round_even(least(1.0, {_wilson('+')}), 6)"
-_RESPONSE = f"""
-p AS (
-    SELECT event_id, {_letter("user_id")} AS truth_letter, {_letter("event_id")} AS said, event_id % 6 AS n FROM events
-)"""
 _WORDS = {"the": "the", "and": "and", "die": "die", "que": "que", "tion": "tion[a-z0-9_]*"}
 
 
@@ -129,7 +131,160 @@ SCOPED = f"s AS (SELECT doc_id AS question_id, {_rules('text')} AS matched_terms
 _SENTENCES = "string_split(regexp_replace({0}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
 _WSWORDS = "regexp_extract_all(lower({0}), '[^\\s]+')"
 
+
+
+def _text(value: str) -> str:
+    """A string in SQL."""
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _first(text: str, patterns: list[tuple[str, bool]]) -> str:
+    """The letter of the first pattern that matches, upper-cased."""
+    tried = [f"nullif(regexp_extract({text}, {_text(('(?i)' if loose else '') + p)}, 1), '')" for p, loose in patterns]
+    return f"upper(coalesce({', '.join(tried)}, ''))"
+
+
+#: What the stand-in models say, word for word.
+SAID = f"""
+p AS (SELECT event_id, user_id, {_letter("user_id")} AS truth_letter, {_letter("event_id")} AS said, event_id % 6 AS n FROM events),
+rs AS (
+    SELECT event_id, truth_letter, said,
+           CASE n WHEN 0 THEN 'The answer is ' || said || '. Because of x.' WHEN 1 THEN said || ') as the text says'
+                  WHEN 2 THEN 'I would take **' || said || '** here' WHEN 3 THEN 'no idea'
+                  WHEN 4 THEN 'correct option is ' || lower(said) ELSE 'It must be ' || said END AS response
+    FROM p
+)"""
+EXCHANGES = """
+c AS (
+    SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS question,
+           list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS contexts
+    FROM conversations
+),
+x AS (
+    SELECT conv_id, turn, question, text AS answer, contexts, array_to_string(contexts, chr(10)) AS context,
+           [turn % 3 + 1, 0, 1][1:turn % 4] AS cited
+    FROM c WHERE role = 'assistant' AND question IS NOT NULL
+)"""
+
+
+def _judge(parts: list[str], five: bool = False) -> str:
+    """The stand-in judge: it goes by the prompt's length, and fails at multiples of 11."""
+    n = "(" + " + ".join(f"length({p})" for p in parts) + ")"
+    said = f"round({n} % 7 * 0.2::DOUBLE, 1)"
+    score = f"(greatest(1.0, least(5.0, {said})) - 1) / 4" if five else f"least(1.0, {said})"
+    return f"CASE WHEN {n} % 11 <> 0 THEN ({score})::DOUBLE END"
+
+
+_CONTEXT, _ANSWER, _UNIT = _text("\n\nContext:\n"), _text("\n\nAnswer:\n"), _text(P.UNIT_SCORE)
+JUDGED = f"""
+j AS (
+    SELECT conv_id, turn, question, answer,
+           {_judge([_text(P.CONTEXT_RELEVANCE), "question", _CONTEXT, "context", _text(chr(10) * 2 + "Score (1-5):")], five=True)} AS context_relevance,
+           {_judge([_text(P.FAITHFULNESS), "context", _ANSWER, "answer", _UNIT])} AS faithfulness,
+           {_judge([_text(P.ANSWER_RELEVANCE), "question", _ANSWER, "answer", _UNIT])} AS answer_relevance,
+           {_judge([_text(P.HALLUCINATION), "context", _ANSWER, "answer", _UNIT])} AS hallucination
+    FROM x
+)"""
+_OPTIONS = _text("\n\nOptions:\nB. second\nA. first\nC. third")
+_PLAIN = f"""{_text(P.BENCHMARK + P.PLAIN)} || question || {_OPTIONS} || {_text(chr(10) * 2 + P.SHAPE + '{"answer": "B"}. The answer value must be exactly one of: B, A, C.')}"""
+_GROUNDED = f"""{_text(P.BENCHMARK + P.GROUNDED)} || question || {_OPTIONS} || {_text(chr(10) * 2 + "Retrieved evidence:" + chr(10))} || blocks
+        || {_text(chr(10) * 2 + "Allowed citation chunk IDs: ")} || ids || {_text(chr(10) + P.SHAPE + P.GROUNDED_SHAPE + "The answer must be exactly one of: B, A, C" + P.CITED)}"""
+_EXAM = f"""{_text(P.EXAM)} || question || {_text(chr(10) * 2 + "Options:" + chr(10) + "A. first" + chr(10) + "B. second" + chr(10) + "C. third" + P.EXAM_END)}"""
+_ROW_TERMS, _NAMED = TERMS.format("s"), ", ".join(f"CASE WHEN regexp_matches(t, {_text('(?i)' + p)}) THEN {_text(n)} END" for n, p in RULES)
+_STRICT = [(f"(?m){pattern.pattern}", True) for pattern in answers.LINES]
+
 ORACLES: dict[str, str] = {
+    "grounding": f"""
+        WITH {EXCHANGES},
+        g AS (
+            SELECT conv_id, turn, cited, list_distinct({TERMS.format("question")}) AS asked, [list_distinct({_ROW_TERMS}) for s in contexts] AS seen,
+                   [list_distinct({_ROW_TERMS}) for s in {_SENTENCES.format("answer")} if trim(s) <> ''] AS claims,
+                   list_distinct(flatten([{TERMS.format("contexts[i]")} for i in cited if i >= 1 AND i <= len(contexts)])) AS evidence
+            FROM x
+        ),
+        h AS (
+            SELECT *, len(claims) AS n_claims, len([w for w in claims if len(w) > 0 AND len(list_intersect(w, evidence)) / greatest(len(w), 1) >= 0.15]) AS n_supported,
+                   [coalesce(len(list_intersect(asked, w)) / nullif(len(asked), 0), 0) for w in seen] AS cover
+            FROM g
+        )
+        SELECT conv_id, turn, n_claims::INT AS n_claims, n_supported::INT AS n_supported, (n_claims - n_supported)::INT AS n_unsupported, len(cited) = 0 AS uncited,
+               round(coalesce(n_supported / nullif(n_claims, 0), 0), 9) AS faithfulness,
+               round(coalesce((n_claims - n_supported) / nullif(n_claims, 0), 0), 9) AS hallucination_rate,
+               round(coalesce(list_sum(cover) / nullif(len(cover), 0), 0), 9) AS mean_relevance, round(coalesce(list_max(cover), 0), 9) AS max_relevance
+        FROM h""",
+    "judge_scores": f"""
+        WITH {EXCHANGES}, {JUDGED}
+        SELECT conv_id, turn, round(context_relevance, 9) AS context_relevance, round(faithfulness, 9) AS faithfulness,
+               round(answer_relevance, 9) AS answer_relevance, round(hallucination, 9) AS hallucination
+        FROM j""",
+    "generation_metrics": f"""
+        WITH {EXCHANGES}, {JUDGED},
+        w AS (SELECT *, {_WSWORDS.format("answer")} AS p, {_WSWORDS.format("question")} AS t FROM j),
+        f AS (SELECT *, len(list_distinct(list_intersect(p, t))) AS common FROM w)
+        SELECT count(*) AS n, round(avg((lower(trim(answer)) = lower(trim(question)))::INT), 9) AS exact_match,
+               round(avg(CASE WHEN common > 0 THEN 2 * (common / len(p)) * (common / len(t)) / (common / len(p) + common / len(t)) ELSE 0 END), 9) AS f1_score,
+               round(avg(faithfulness), 9) AS faithfulness, round(avg(answer_relevance), 9) AS answer_relevance, round(avg(hallucination), 9) AS hallucination
+        FROM f""",
+    "prompts": f"""
+        WITH {BM25},
+        r AS (
+            SELECT bm.question_id, string_agg('[' || chunk_id || '] ' || source || chr(10) || d.text, chr(10) || chr(10) ORDER BY rank) AS blocks,
+                   string_agg(chunk_id, ', ' ORDER BY rank) AS ids
+            FROM bm JOIN documents d ON d.doc_id::VARCHAR = chunk_id WHERE rank <= {K} GROUP BY 1
+        ),
+        z AS (SELECT question_id, b.text AS question, blocks, ids FROM r JOIN benchmark b ON b.item_id = question_id)
+        SELECT question_id, md5({_PLAIN}) AS plain, md5({_GROUNDED}) AS grounded, md5({_EXAM}) AS exam, length({_GROUNDED})::INT AS n_chars FROM z""",
+    "parse_responses": f"""
+        WITH {SAID},
+        q AS (
+            SELECT event_id, truth_letter, event_id % 10 = 9 AS gone,
+                   CASE event_id % 4 WHEN 0 THEN '{{"answer": "' || truth_letter || '", "citations": ["c1", "c1"]}}' WHEN 1 THEN 'Thus {{"answer": "a", "citations": ["c9"]}}'
+                        ELSE response END AS raw
+            FROM rs
+        ),
+        a AS (
+            SELECT *, CASE WHEN NOT gone THEN nullif(coalesce(nullif(upper(regexp_extract(raw, '"answer": "([A-Ea-e])"', 1)), ''), {_first("raw", _STRICT)}), '') END AS letter,
+                   list_distinct(regexp_extract_all(regexp_extract(raw, '"citations": \\[([^]]*)\\]', 1), '[a-z0-9]+')) AS cited
+            FROM q
+        ),
+        e AS (
+            SELECT *, CASE WHEN gone THEN 'OSError: gone' WHEN letter IS NULL THEN {_text(NO_LABEL)}
+                           WHEN NOT coalesce(len(cited) > 0 AND list_has_all(['c1', 'c2'], cited), false) THEN {_text(NO_CITATIONS)} END AS error
+            FROM a
+        )
+        SELECT event_id, letter AS predicted_answer, CASE WHEN error IS NULL THEN array_to_string(cited, ',') ELSE '' END AS citations, error,
+               CASE WHEN error IS NULL THEN letter = truth_letter END AS is_correct
+        FROM e""",
+    "batch_embed": f"""
+        WITH t AS (SELECT doc_id, coalesce(trim(text), '') = '' AS blank, [ord(c) % 8 for c in regexp_extract_all(text, '(?s).')] AS m FROM documents)
+        SELECT doc_id, CASE WHEN NOT blank THEN concat_ws(',', {", ".join(f"len([x for x in m if x = {k}])" for k in range(8))}) END AS embedding,
+               CASE WHEN blank THEN 'blank text' END AS reject
+        FROM t""",
+    "sample_fixed": "SELECT item_id AS question_id FROM benchmark ORDER BY md5('42:' || item_id), item_id LIMIT 20",
+    "benchmark_breakdown": f"""
+        WITH {SAID},
+        l AS (
+            SELECT event_id, truth_letter, {_first("CASE WHEN event_id % 10 = 9 THEN '[ERROR: Generation failed: line ' || said || ']' ELSE response END", answers.EXAM_LETTERS)} AS letter
+            FROM rs
+        )
+        SELECT row_number() OVER (ORDER BY event_id) AS index,
+               '| ' || concat_ws(' | ', row_number() OVER (ORDER BY event_id), truth_letter, coalesce(nullif(letter, ''), 'None'),
+                                 CASE WHEN letter = truth_letter THEN 'Passed' ELSE 'Failed' END) || ' |' AS line
+        FROM l""",
+    "report_documents": f"""
+        WITH {ROWS}
+        SELECT system_name, count(*) AS result_rows, 3 AS k, round_even(count(*) FILTER (is_right) / count(*), 6) AS accuracy_on_all_questions,
+               {_CI_HIGH} AS ci_high, count(*) FILTER (NOT ok) AS failures_or_abstentions,
+               round_even(count(*) FILTER (valid) / nullif(count(*) FILTER (ok), 0), 6) AS citation_valid_rate_on_successes, round_even(avg(nd), 6) AS ndcg_at_k,
+               string_agg(DISTINCT scope, ',' ORDER BY scope) AS scopes,
+               round_even(median(latency_ms) FILTER (scope = 'unannotated'), 3) AS median_latency_ms
+        FROM x GROUP BY system_name""",
+    "scope_rules": f"""
+        WITH d AS (SELECT doc_id, coalesce(text || ' ', '') || [{", ".join(map(_text, PHRASES))}][doc_id % {len(PHRASES)} + 1] AS t FROM documents),
+        m AS (SELECT doc_id, concat_ws(',', {_NAMED}) AS matched_terms FROM d)
+        SELECT doc_id, matched_terms, CASE WHEN matched_terms <> '' THEN 'psychiatry_relevant' ELSE 'out_of_corpus' END AS scope,
+               CASE WHEN matched_terms <> '' THEN 'psychiatry' ELSE 'general_medical' END AS topic, 'lexical_candidate' AS annotator
+        FROM m""",
     "bm25_topk": f"WITH {BM25} SELECT question_id, chunk_id, rank, score FROM bm WHERE rank <= {K}",
     "bm25_index_stats": f"WITH {BM25} SELECT term, df, round(idf, 9) AS idf FROM idf",
     "topk_sweep": f"WITH {BM25}, ks AS (SELECT * FROM (VALUES {_KLIST}) t(k)) SELECT k, question_id, chunk_id, rank, score FROM bm, ks WHERE rank <= k",
@@ -200,11 +355,11 @@ ORACLES: dict[str, str] = {
                count(*) FILTER (predicted_answer = expected_answer) / count(predicted_answer) AS accuracy FROM e""",
     "run_totals": f"WITH {ROWS} SELECT count(*) FILTER (is_right) AS correct, count(*) FILTER (NOT ok) AS failures FROM x",
     "fixed_benchmark_score": f"""
-        WITH {_RESPONSE},
+        WITH {SAID},
         c AS (
-            SELECT 'exam' AS cascade, truth_letter, CASE WHEN n = 3 THEN '' ELSE said END AS letter FROM p
+            SELECT 'exam' AS cascade, truth_letter, {_first("response", answers.EXAM_LETTERS)} AS letter FROM rs
             UNION ALL
-            SELECT 'run', truth_letter, CASE WHEN n = 3 THEN '' WHEN n = 2 THEN said ELSE said END FROM p
+            SELECT 'run', truth_letter, {_first("response", answers.RUN_LETTERS)} FROM rs
         )
         SELECT cascade, count(*) AS total_questions, count(*) FILTER (letter = truth_letter) AS correct_count,
                round_even(100.0 * count(*) FILTER (letter = truth_letter) / count(*), 2)::DOUBLE AS accuracy_pct,

@@ -178,6 +178,40 @@ def validate_records(spark: SparkSession, sf: str) -> DataFrame:
     return validate.validate(rows).select("line", "record_id", "answer_index", "answer_letter", F.size("options").alias("n_options"), "reject")
 
 
+def benchmark_breakdown(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of a fixed benchmark, of which some calls failed, as lines of a table."""
+    gone = F.when(F.col("event_id") % 10 == 9, F.concat(F.lit("OSError: line "), F.element_at(F.array(*[F.lit(x) for x in "ABCDE"]), (F.col("event_id") % 5 + 1).cast("int"))))
+    rows = _responses(spark, sf).withColumnRenamed("response", "raw_response").withColumn("call_error", gone)
+    return report.breakdown(report.benchmark_rows(rows), "event_id")
+
+
+def report_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Fields of the JSON reports of two systems."""
+    rows = report.report_documents(report.run_report(A.result_rows(spark, sf)))
+    of = lambda path, kind: F.get_json_object("report", path).cast(kind)
+    return rows.select(
+        "system_name",
+        of("$.result_rows", "bigint").alias("result_rows"),
+        of("$.protocol.k", "int").alias("k"),
+        of("$.overall.accuracy_on_all_questions", "double").alias("accuracy_on_all_questions"),
+        of("$.overall.accuracy_95_ci[1]", "double").alias("ci_high"),
+        of("$.overall.failures_or_abstentions", "bigint").alias("failures_or_abstentions"),
+        of("$.overall.citation_valid_rate_on_successes", "double").alias("citation_valid_rate_on_successes"),
+        of("$.overall.retrieval.ndcg_at_k", "double").alias("ndcg_at_k"),
+        F.array_join(F.json_object_keys(F.get_json_object("report", "$.by_scope")), ",").alias("scopes"),
+        of("$.by_scope.unannotated.median_latency_ms", "double").alias("median_latency_ms"),
+    )
+
+
+def scope_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """The default rules over documents, each with a phrase after it that some rule names or just misses."""
+    phrases = F.array(*[F.lit(p) for p in A.PHRASES])
+    planted = F.concat_ws(" ", "text", F.element_at(phrases, (F.pmod("doc_id", F.lit(len(A.PHRASES))) + 1).cast("int")))
+    docs = table(spark, sf, "documents").select("doc_id", planted.alias("text"))
+    found = scope.annotate(docs, F.col("text"))
+    return found.select("doc_id", F.array_join("matched_terms", ",").alias("matched_terms"), "scope", "topic", "annotator")
+
+
 def chunk_windows(spark: SparkSession, sf: str) -> DataFrame:
     cut = text.windows(table(spark, sf, "documents").select("doc_id", "text"), "text")
     return cut.select("doc_id", "window", F.length("window_text").alias("n_chars"), F.md5("window_text").alias("digest"))
@@ -198,6 +232,16 @@ def text_overlap(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def generation_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Means of overlap measures and of a judge's scores."""
+    rows = _judged(spark, sf).withColumns(
+        {"exact_match": overlap.exact_match(F.col("answer"), F.col("question")), "f1_score": overlap.token_f1(F.col("answer"), F.col("question"))}
+    )
+    measures = ("exact_match", "f1_score", "faithfulness", "answer_relevance", "hallucination")
+    found = report.generation_means(rows, measures)
+    return found.select("n", *[F.round(m, 9).alias(m) for m in measures])
+
+
 def bleu_rouge(spark: SparkSession, sf: str) -> DataFrame:
     rows = A.exchanges(spark, sf)
     return rows.select("conv_id", "turn", overlap.bleu_score("answer", "question").alias("bleu"), overlap.rouge_l_score("answer", "question").alias("rouge_l"))
@@ -229,7 +273,8 @@ def parse_responses(spark: SparkSession, sf: str) -> DataFrame:
             "retrieved_chunk_ids": F.array(F.lit("c1"), F.lit("c2")),
         }
     )
-    return generate.outcome(rows).select("event_id", "predicted_answer", "citations", "error", "is_correct")
+    found = generate.outcome(rows)
+    return found.select("event_id", "predicted_answer", F.array_join("citations", ",").alias("citations"), "error", "is_correct")
 
 
 def _letter_model():
@@ -243,10 +288,15 @@ def _letter_model():
     return answer
 
 
-def judge_scores(spark: SparkSession, sf: str) -> DataFrame:
+def _judged(spark: SparkSession, sf: str) -> DataFrame:
     rows = A.exchanges(spark, sf).withColumn("context", F.array_join("contexts", "\n")).drop("contexts")
     asked = prompts.judge_prompts(F.col("question"), F.col("answer"), F.col("context"))
-    return generate.judge(rows, asked, _letter_model).select("conv_id", "turn", *asked)
+    return generate.judge(rows, asked, _letter_model)
+
+
+def judge_scores(spark: SparkSession, sf: str) -> DataFrame:
+    scores = ("context_relevance", "faithfulness", "answer_relevance", "hallucination")
+    return _judged(spark, sf).select("conv_id", "turn", *[F.round(s, 9).alias(s) for s in scores])
 
 
 def _length_embedder():
@@ -259,8 +309,13 @@ def _length_embedder():
 
 
 def batch_embed(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "text").filter(text.trim_ws(F.col("text")) != "")
-    return dense.embed(docs, "text", _length_embedder).select("doc_id", "embedding")
+    """Vectors, listed, and the texts that can't have one."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    blank = text.trim_ws(F.coalesce("text", F.lit(""))) == ""
+    made = dense.embed(docs.filter(~blank), "text", _length_embedder)
+    listed = F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), ",")
+    rejects = docs.filter(blank).select("doc_id", F.lit(None).cast("string").alias("embedding"), F.lit("blank text").alias("reject"))
+    return made.select("doc_id", listed.alias("embedding"), F.lit(None).cast("string").alias("reject")).unionByName(rejects)
 
 
 def sample_fixed(spark: SparkSession, sf: str) -> DataFrame:
@@ -296,6 +351,10 @@ QUERIES = {
     "accuracy_comparable": accuracy_comparable,
     "run_totals": run_totals,
     "fixed_benchmark_score": fixed_benchmark_score,
+    "benchmark_breakdown": benchmark_breakdown,
+    "report_documents": report_documents,
+    "scope_rules": scope_rules,
+    "generation_metrics": generation_metrics,
     "scope_annotate": scope_annotate,
     "scope_counts": scope_counts,
     "missing_annotations": missing_annotations,

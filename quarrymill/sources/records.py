@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrymill.functions.text import trim_ws
+from quarrymill.operators.dense import normalised, vector_checks
+from quarrymill.operators.numbering import numbered
 from quarrymill.operators.validate import answer_index, answer_letter, fold_options, mark_repeats, required_text, with_ids
 
 ANNOTATION_FIELDS = (
@@ -151,7 +153,8 @@ def _rest(value: str, names: tuple[str, ...]) -> Column:
 
 
 def load_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Text chunks of JSON lines (``id, title, content`` or ``contents``), with ``reject`` per row."""
+    """Text chunks of JSON lines (``id, title, content`` or ``contents``), with ``reject`` per row.
+    ``corpus_pos`` runs from 0 without gaps over all files, by their names."""
     ready = read_lines(spark, path).select(
         "file", "line", "status", required_text(_field("id")).alias("chunk_id"), F.coalesce(trim_ws(_field("title")), F.lit("")).alias("title"),
         F.coalesce(required_text(_field("content")), required_text(_field("contents"))).alias("text"),
@@ -164,8 +167,8 @@ def load_chunks(spark: SparkSession, path: str) -> DataFrame:
         .when(F.col("text").isNull(), "content must be text")
         .when(F.col("repeat"), "duplicate id")
     )
-    place = F.row_number().over(Window.partitionBy("file").orderBy("line")) - 1
-    return ready.select("chunk_id", "title", "text", F.col("file").alias("source_file"), "metadata", place.alias("corpus_pos"), reject.alias("reject"), "file", "line")
+    ready = ready.select("chunk_id", "title", "text", F.col("file").alias("source_file"), "metadata", reject.alias("reject"), "file", "line")
+    return numbered(ready, ["file", "line"], "corpus_pos")
 
 
 def load_annotations(spark: SparkSession, path: str) -> DataFrame:
@@ -220,6 +223,36 @@ def save_index(index, path: str, facts: dict) -> None:
     spark.createDataFrame([(json.dumps(facts, sort_keys=True),)], "facts string").write.mode("overwrite").parquet(f"{path}/facts")
 
 
+def save_vectors(vectors: DataFrame, path: str, facts: dict) -> None:
+    """A dense index (``pos, chunk_id, embedding``): its vectors at length one, and facts about it
+    with their number and size. Vectors of several sizes, and an index without any, are errors."""
+    checked = vector_checks(vectors).first()
+    if not checked["n"] or checked["n_empty"] or checked["min_dim"] != checked["max_dim"]:
+        raise ValueError("an index needs vectors, all of one size")
+    unit = vectors.select("pos", "chunk_id", normalised(F.col("embedding")).alias("embedding"))
+    unit.write.mode("overwrite").parquet(f"{path}/vectors")
+    facts = {**facts, "count": checked["n"], "dimension": checked["max_dim"], "normalised": True}
+    vectors.sparkSession.createDataFrame([(json.dumps(facts, sort_keys=True),)], "facts string").write.mode("overwrite").parquet(f"{path}/facts")
+
+
+def load_vectors(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """A saved dense index and its facts."""
+    return spark.read.parquet(f"{path}/vectors"), json.loads(spark.read.parquet(f"{path}/facts").first()["facts"])
+
+
+def save_hybrid(index, vectors: DataFrame, path: str, facts: dict, constant: int = 60) -> None:
+    """Both indexes of a hybrid search under one folder, with the fusion's constant among the facts."""
+    save_index(index, f"{path}/bm25", {**facts, "rrf_constant": constant})
+    save_vectors(vectors, f"{path}/dense", facts)
+
+
+def load_hybrid(spark: SparkSession, path: str) -> tuple:
+    """The BM25 index, the vectors and the facts of a saved hybrid index."""
+    index, facts = load_index(spark, f"{path}/bm25")
+    vectors, of_vectors = load_vectors(spark, f"{path}/dense")
+    return index, vectors, {**of_vectors, **facts}
+
+
 def load_index(spark: SparkSession, path: str):
     """A saved index and its facts."""
     from quarrymill.operators.bm25 import Index

@@ -90,3 +90,25 @@ def test_embedding_guard(spark):
     df = spark.createDataFrame([("a",), (" ",)], "t string")
     with pytest.raises(Exception, match="blank"):
         dense.embed(df, "t", lambda: lambda texts: [[1.0]] * len(texts)).collect()
+
+
+def test_guards(spark, index):
+    asked = spark.createDataFrame([(1, " \t"), (2, None), (3, "worry")], "question_id bigint, question string")
+    assert {r.question_id for r in bm25.retrieve(index, asked).collect()} == {3}
+    assert {(r.question_id, r.reject) for r in bm25.blank_questions(asked).collect()} == {(1, "query must be non-empty"), (2, "query must be non-empty")}
+    empty = spark.createDataFrame([], "pos bigint, chunk_id string, title string, text string, embedding array<double>")
+    wide = spark.createDataFrame([(1, [1.0, 2.0])], "question_id bigint, embedding array<double>")
+    with pytest.raises(ValueError):
+        bm25.build_index(empty)
+    with pytest.raises(ValueError):
+        dense.retrieve(empty, wide)
+    one = spark.createDataFrame([(0, "c", [1.0])], "pos bigint, chunk_id string, embedding array<double>")
+    with pytest.raises(Exception, match="dimension does not match"):
+        dense.retrieve(one, wide).collect()
+
+
+def test_best_scores_in_order():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        scores, k = rng.integers(0, 5, rng.integers(1, 30)).astype(float), int(rng.integers(1, 9))
+        assert dense._first_best(scores, k).tolist() == np.argsort(-scores, kind="stable")[:k].tolist()

@@ -55,3 +55,22 @@ def test_index_round_trip(spark, tmp_path):
     R.save_index(index, str(tmp_path / "i"), {"k": 3})
     loaded, facts = R.load_index(spark, str(tmp_path / "i"))
     assert facts == {"k": 3} and sorted(map(tuple, loaded.postings.collect())) == sorted(map(tuple, index.postings.collect()))
+
+
+def test_positions_run_over_several_files(spark, write, tmp_path):
+    for name in ("a.jsonl", "b.jsonl"):
+        write(name, [{"id": f"{name}{i}", "content": "x"} for i in range(5)])
+    got = R.load_chunks(spark, f"{tmp_path}/*.jsonl").orderBy("file", "line").collect()
+    assert [r.corpus_pos for r in got] == list(range(10)) and [r.line for r in got] == [*range(1, 6)] * 2
+
+
+def test_saved_hybrid_index(spark, tmp_path):
+    chunks = spark.createDataFrame([(0, "c1", "sleep well", [3.0, 4.0]), (1, "c2", "worry", [0.0, 0.0])], "pos bigint, chunk_id string, text string, embedding array<double>")
+    R.save_hybrid(bm25.build_index(chunks), chunks, str(tmp_path / "index"), {"corpus": "x"})
+    index, vectors, facts = R.load_hybrid(spark, str(tmp_path / "index"))
+    assert facts == {"corpus": "x", "count": 2, "dimension": 2, "normalised": True, "rrf_constant": 60}
+    assert {r.chunk_id: r.embedding for r in vectors.collect()} == {"c1": [0.6, 0.8], "c2": [0.0, 0.0]} and index.corpus.count() == 2
+    uneven = spark.createDataFrame([(0, "c1", [1.0]), (1, "c2", [1.0, 2.0])], "pos bigint, chunk_id string, embedding array<double>")
+    for bad in (uneven, uneven.limit(0)):
+        with pytest.raises(ValueError):
+            R.save_vectors(bad, str(tmp_path / "bad"), {})
