@@ -11,7 +11,8 @@ import xxhash
 STEP, MIX_A, MIX_B = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Numbers whose bits all depend on all bits of ``h``."""
     h = (h ^ (h >> np.uint64(30))) * MIX_A
     h = (h ^ (h >> np.uint64(27))) * MIX_B
     return h ^ (h >> np.uint64(31))
@@ -35,7 +36,7 @@ class Shingler:
         h = np.full(n - size + 1, size, np.uint64)
         for k in range(size):
             h = h * STEP + w[k : n - size + 1 + k]
-        return np.unique(_mixed(h).view(np.int64))
+        return np.unique(mixed(h).view(np.int64))
 
 
 def signature(shingles: np.ndarray) -> bytes:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.session import materialise
@@ -11,7 +11,9 @@ from quarrymill.session import materialise
 MOST_BROADCAST = 1_000_000
 
 
-def sized(df: DataFrame, name: str = "ids") -> DataFrame:
-    """``df``, written, with a broadcast hint if it has few enough rows; else joins shuffle it."""
+def sized(df: DataFrame, name: str = "ids", weight: Column | None = None) -> DataFrame:
+    """``df``, written, with a broadcast hint if it has few enough rows; else joins shuffle it. Rows
+    that hold arrays count as many times as ``weight`` says, and once at least."""
     df = materialise(df, name)
-    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+    n = F.count(F.lit(1)) if weight is None else F.sum(F.greatest(weight, F.lit(1)))
+    return F.broadcast(df) if (df.agg(n).first()[0] or 0) <= MOST_BROADCAST else df
