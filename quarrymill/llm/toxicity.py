@@ -37,8 +37,8 @@ MOST_POSITIVES, MOST_UNLABELLED = 20_000, 40_000
 #: A feature is used from this many positives and this z score (positives against unlabelled).
 LEAST_POSITIVES, LEAST_Z = 3, 5.0
 THRESHOLD, LEAST_PRIOR = 0.3, 1e-4
-#: Words whose features a task remembers.
-REMEMBERED = 100_000
+#: Words whose features a task remembers, and fewer where it keeps all features of a word.
+REMEMBERED, REMEMBERED_WHOLE = 100_000, 40_000
 STEPS, RATE, L2, BACK = 400, 0.1, 1e-4, 1.0
 
 
@@ -64,7 +64,7 @@ def features(text: str, of_word) -> set[int]:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with each feature, among positives and unlabelled (columns: positive, body)."""
-    found, of_word = np.zeros((2, SPACE), np.int64), Recent(word_features, REMEMBERED).__getitem__
+    found, of_word = np.zeros((2, SPACE), np.int64), Recent(word_features, REMEMBERED_WHOLE).__getitem__
     for batch in small(batches):
         for positive, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             found[int(positive), list(features(body, of_word))] += 1
