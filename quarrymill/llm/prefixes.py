@@ -48,6 +48,13 @@ def reach(a: str, b: str) -> Column:
     return F.least(of(a, "k"), of(b, "k")) + F.least(of(a, "n") - of(a, "i"), of(b, "n") - of(b, "i"))
 
 
+def bits_fit(a: str, b: str, bits: tuple[str, ...], percent: int) -> Column:
+    """The bitmap filter: at least as many tokens as bits differ are in one of the two sets only."""
+    n = F.col(f"{a}.n") + F.col(f"{b}.n")
+    apart = sum(F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in bits)
+    return apart + 2 * needed(F.col(f"{a}.n"), F.col(f"{b}.n"), percent) <= n
+
+
 def possible(percent: int) -> Column:
     """Whether sets of sizes ``n_a, n_b`` with ``s`` common tokens in their prefixes may be linked."""
     beyond = lambda n: share(n, percent) - 1  # noqa: E731  what a prefix leaves of a set
