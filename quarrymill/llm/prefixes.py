@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quarrymill.session import materialise
-
 
 def least(n: int, percent: int) -> int:
     """Of n tokens, how many at least a set shares with one that it is linked to."""
@@ -22,30 +20,16 @@ def needed(n_a: Column, n_b: Column, percent: int) -> Column:
     return F.ceil(F.lit(percent) * (n_a + n_b) / F.lit(100 + percent))
 
 
-def places(classes: DataFrame, percent: int, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Where sets (``class, n, prefix``) may meet: ``token, class, n, i, k`` and ``carry``.
-
-    ``i`` is the token's place in its set and ``k`` how many tokens before it other sets have in
-    their prefixes too; only those can be common. Tokens of one set alone are left out, and so are
-    places after which too few tokens are left to reach the threshold with any set. Counting goes
-    before joining, so a token that very many sets have is pre-aggregated in each task.
-    """
-    rows = classes.select("class", "n", *carry, F.posexplode("prefix").alias("i", "token"))
-    met = classes.select(F.explode("prefix").alias("token")).groupBy("token").count().filter("count > 1").select("token")
-    before = Window.partitionBy("class").orderBy("i")  # as long as a prefix at most
-    shared = rows.join(met, "token").withColumn("k", F.row_number().over(before) - 1)
-    return materialise(shared.filter(F.col("k") + F.col("n") - F.col("i") >= share(F.col("n"), percent)), "places")
-
-
 def sizes_fit(n_a: Column, n_b: Column, percent: int) -> Column:
     """The length filter."""
     return (100 * n_a >= percent * n_b) & (100 * n_b >= percent * n_a)
 
 
 def reach(a: str, b: str) -> Column:
-    """The positional filter: the largest overlap of two sets that share the token of two places."""
+    """The positional filter: the largest overlap of two sets that share the token of two places
+    (``i`` tokens stand before it)."""
     of = lambda side, name: F.col(f"{side}.{name}")
-    return F.least(of(a, "k"), of(b, "k")) + F.least(of(a, "n") - of(a, "i"), of(b, "n") - of(b, "i"))
+    return F.least(of(a, "i"), of(b, "i")) + F.least(of(a, "n") - of(a, "i"), of(b, "n") - of(b, "i"))
 
 
 def bits_fit(a: str, b: str, bits: tuple[str, ...], percent: int) -> Column:
