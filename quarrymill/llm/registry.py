@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrymill.llm import bpe, exact_dedup, license_scan, line_dedup, lm_scoring, ngram_join, packing, sharding, topk, toxicity
+from quarrymill.llm import bpe, collocations, exact_dedup, license_scan, line_dedup, lm_scoring, ngram_join, packing, sharding, topk, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_topk": topk.op8_topk,
         "op9_sharding": sharding.op9_sharding,
         "op10_bpe": bpe.op10_bpe,
+        "op11_collocations": collocations.op11_collocations,
     }
 
 
@@ -25,4 +26,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_license_scan": license_scan.ORACLE,
         "op6_exact_dedup": exact_dedup.ORACLE,
         "op8_topk": topk.ORACLE,
+        "op11_collocations": collocations.ORACLE,
     }
