@@ -37,7 +37,7 @@ LEAST_BITS, MOST_BITS = 15, 28
 #: Buckets of phrases, as bits of their hash. Phrases that share one are counted apart by the trie.
 BUCKET_BITS = 32
 #: Words a task remembers; distinct words and phrase places after which it hands on what it counted.
-REMEMBERED, MOST_WORDS, MOST_PLACES = 100_000, 300_000, 1 << 21
+REMEMBERED, MOST_WORDS, MOST_PLACES = 100_000, 200_000, 1 << 20
 
 _MARK = bytes.maketrans(ENDS, b"." * len(ENDS))
 
@@ -77,7 +77,7 @@ def _kept(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def _hashed(filter_of_words):
-    """(lang, text) to one array of word hashes a batch; 0 for runs of breaks and other words."""
+    """(lang, text) to the text's array of word hashes; 0 for runs of breaks and other words, and at the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, of_lang = filter_of_words.value, {}
@@ -91,14 +91,26 @@ def _hashed(filter_of_words):
                     of_lang[lang] = Recent(lambda w, seed=seed: 0 if w == b"." else xxhash.xxh64_intdigest(w, seed), REMEMBERED // 8).__getitem__
                 words = pieces(text)
                 parts += [np.fromiter(map(of_lang[lang], words), np.uint64, len(words)), np.zeros(1, np.uint64)]
-            h = np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64)
+            h = np.concatenate([np.empty(0, np.uint64), *parts]).view(np.int64)
             h = np.where(_kept(bits, h), h, 0)
-            h = h[(h != 0) | (np.r_[np.int64(0), h[:-1]] != 0)]
-            yield pa.RecordBatch.from_arrays([pa.array([h.tobytes()], pa.binary())], ["words"])
+            ends = np.cumsum([len(p) for p in parts], dtype=np.int64)[1::2]
+            left = (h != 0) | (np.append(0, h[:-1]) != 0)
+            left = np.append(0, np.cumsum(left))[np.append(0, ends)], h[left]
+            offsets = pa.py_buffer((8 * left[0]).astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(ends), [None, offsets, pa.py_buffer(left[1].tobytes())])], ["words"])
 
     return run
 
 
+def _words(batch: pa.RecordBatch) -> np.ndarray:
+    """The hashes of all texts of a batch; each text ends with 0 or is empty."""
+    column = batch.column(0)
+    if not len(column):
+        return np.empty(0, np.int64)
+    ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)
+    return np.frombuffer(column.buffers()[2] or b"", np.int64, (ends[-1] - ends[0]) // 8, ends[0])
+
+
 def _windows(words: np.ndarray, size: int, filters: list, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of windows of ``size`` words that may be frequent, and their buckets (``bits`` of a
     hash). ``filters`` holds those of windows of two words and more, as far as they are known: both
@@ -127,13 +139,12 @@ def _buckets(size: int, filters: list, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            for row in batch.column(0):
-                place, buckets = _windows(np.frombuffer(row.as_buffer(), np.int64), size, filters, bits)
-                held.append(buckets)
-                n += len(place)
-                if n > MOST_PLACES:
-                    yield _summed(held)
-                    held, n = [], 0
+            place, buckets = _windows(_words(batch), size, filters, bits)
+            held.append(buckets)
+            n += len(place)
+            if n > MOST_PLACES:
+                yield _summed(held)
+                held, n = [], 0
         yield _summed(held)
         pa.default_memory_pool().release_unused()
 
@@ -162,15 +173,14 @@ def _candidates(size: int, filters: list, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, codes, n = [], [], 0
         for batch in batches:
-            for row in batch.column(0):
-                words = np.frombuffer(row.as_buffer(), np.int64)
-                place, code = _windows(words, size, filters, bits)
-                held.append(words[place[:, None] + np.arange(size)])
-                codes.append(code)
-                n += len(place)
-                if n > MOST_PLACES // size:
-                    yield distinct(held, codes)
-                    held, codes, n = [], [], 0
+            words = _words(batch)
+            place, code = _windows(words, size, filters, bits)
+            held.append(words[place[:, None] + np.arange(size)])
+            codes.append(code)
+            n += len(place)
+            if n > MOST_PLACES // size:
+                yield distinct(held, codes)
+                held, codes, n = [], [], 0
         yield distinct(held, codes)
         pa.default_memory_pool().release_unused()
 
@@ -184,8 +194,7 @@ def _counted(trie):
         tree: DoubleArray = trie.value
         total = np.zeros(len(tree.check), np.int64)
         for batch in batches:
-            for row in batch.column(0):
-                total += tree.found(np.frombuffer(row.as_buffer(), np.int64))
+            total += tree.found(_words(batch))
         for phrases, state in zip(tree.phrases, tree.accepting, strict=True):
             met = np.flatnonzero(total[state])
             for at in np.split(met, range(1 << 16, len(met), 1 << 16)):

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Nodes of more children are placed one by one.
+FEW = 8
+
 
 class DoubleArray:
     """Phrases over whole-number words (64-bit hashes) as ``base`` and ``check``.
 
     Words get symbols 1, 2, ...; the child of state s by symbol c is ``base[s] + c``, and exists if
     ``check`` has s there. Slots of the root's children are the symbols themselves. Nodes with most
-    children are placed first; nodes of one child fill what is free.
+    children are placed first, those of a few by chance, and those of one fill what is free.
     """
 
     def __init__(self, phrases: list[np.ndarray]):
@@ -25,7 +28,7 @@ class DoubleArray:
         codes = [self.symbols[np.searchsorted(words, p)].astype(np.int64) for p in phrases]
         self.depth = max([p.shape[1] for p in codes if p.size], default=0)
         starts = np.unique(np.concatenate([c[:, 0] for c in codes if c.size])) if flat else np.empty(0, np.int64)
-        self.base, self.check = np.zeros(2 * size + 64, np.int64), np.full(2 * size + 64, -1, np.int64)
+        self.base, self.check = np.zeros(2 * size + 64, np.int32), np.full(2 * size + 64, -1, np.int32)
         self.check[starts], self.check[0] = 0, 0
         prefix = [c[:, 0].copy() if c.size else np.empty(0, np.int64) for c in codes]  # states so far
         for level in range(1, self.depth):
@@ -40,47 +43,59 @@ class DoubleArray:
         #: For each number of words, the accepting states of its phrases, row by row.
         self.accepting, self.phrases = prefix, phrases
 
-    def _grow(self, most: int) -> None:
-        more = max(most + 1 - len(self.check), 0)
+    def _grow(self, size: int) -> None:
+        more = max(0, size - len(self.check))
         if more:
             more = max(more, len(self.check) // 2)
-            self.base, self.check = np.append(self.base, np.zeros(more, np.int64)), np.append(self.check, np.full(more, -1, np.int64))
+            self.base, self.check = np.append(self.base, np.zeros(more, np.int32)), np.append(self.check, np.full(more, -1, np.int32))
 
     def _place(self, parent: np.ndarray, code: np.ndarray) -> np.ndarray:
         """States of new children; edges come sorted by parent, then symbol."""
         states = np.empty(len(parent), np.int64)
-        first = np.flatnonzero(np.r_[True, parent[1:] != parent[:-1]]) if len(parent) else np.empty(0, int)
-        count = np.diff(np.r_[first, len(parent)])
-        cursor = 1
-        for k in np.argsort(-count, kind="stable"):
-            n = count[k]
-            if n == 1:
-                break
-            own, tries = code[first[k] : first[k] + n], 0
-            while True:
-                free = np.flatnonzero(self.check[cursor : cursor + 4096] < 0) + cursor
-                base = None
-                for p in free:
-                    self._grow(p - own[0] + own[-1])
-                    tries += 1
-                    if (self.check[p - own[0] + own] < 0).all():
-                        base = p - own[0]
-                        break
-                if base is not None:
-                    break
-                cursor += 4096
-                self._grow(cursor + 4096)
-            self.base[parent[first[k]]] = base
-            self.check[base + own] = parent[first[k]]
-            states[first[k] : first[k] + n] = base + own
-            if tries > 32:  # slots before it are hard to use: single children will
-                cursor = max(cursor, base + own[0] - 1024, 1)
+        first = np.flatnonzero(np.append(True, parent[1:] != parent[:-1])) if len(parent) else np.empty(0, np.int64)
+        count = np.diff(np.append(first, len(parent)))
+        for k in sorted(np.flatnonzero(count > FEW).tolist(), key=lambda k: -count[k]):
+            edges = slice(first[k], first[k] + count[k])
+            self._keep(states, edges, parent[edges], code[edges], self._first_fit(code[edges] - code[first[k]]))
+        for n in range(FEW, 1, -1):
+            edges = first[count == n][:, None] + np.arange(n)
+            self._by_chance(states, edges, parent, code)
         alone = first[count == 1]
         self._grow(len(self.check) + len(alone))
-        slots = np.flatnonzero(self.check[1:] < 0)[: len(alone)] + 1
-        self.base[parent[alone]], self.check[slots], states[alone] = slots - code[alone], parent[alone], slots
+        self._keep(states, alone, parent[alone], code[alone], np.flatnonzero(self.check[1:] < 0)[: len(alone)] + 1)
         return states
 
+    def _keep(self, states: np.ndarray, edges, parent: np.ndarray, code: np.ndarray, slots: np.ndarray) -> None:
+        self.base[parent], self.check[slots], states[edges] = slots - code, parent, slots
+
+    def _first_fit(self, apart: np.ndarray) -> np.ndarray:
+        """The first free slots whose distances are ``apart``."""
+        start = 1
+        while True:
+            self._grow(start + 4096 + int(apart[-1]) + 1)
+            free = np.flatnonzero(self.check[start : start + 4096] < 0) + start
+            for k in range(0, len(free), 64):
+                slots = free[k : k + 64, None] + apart
+                fits = (self.check[slots] < 0).all(axis=1)
+                if fits.any():
+                    return slots[fits.argmax()]
+            start += 4096
+
+    def _by_chance(self, states: np.ndarray, edges: np.ndarray, parent: np.ndarray, code: np.ndarray) -> None:
+        """Nodes of a few children each, all at once: those whose slots are free and no other's stay,
+        the rest are tried elsewhere."""
+        chance = np.random.default_rng(len(edges))
+        while len(edges):
+            apart = code[edges] - code[edges[:, :1]]
+            self._grow(int((self.check >= 0).sum() + edges.size) * 3 + int(apart.max()) + 64)
+            slots = (1 + chance.random(len(edges)) * (len(self.check) - 1 - apart[:, -1])).astype(np.int64)[:, None] + apart
+            taken = np.zeros(len(self.check), np.int64)
+            taken[slots] = np.arange(len(edges))[:, None]
+            fits = ((self.check[slots] < 0) & (taken[slots] == np.arange(len(edges))[:, None])).all(axis=1)
+            own = edges[fits]
+            self._keep(states, own, parent[own], code[own], slots[fits])
+            edges = edges[~fits]
+
     def found(self, text: np.ndarray) -> np.ndarray:
         """How often each state is reached over all places of ``text`` (hashes; 0 is a break)."""
         n = len(text)
@@ -97,7 +112,7 @@ class DoubleArray:
             inside = place + level < n
             place, state = place[inside], state[inside]
             by = symbol[place + level]
-            to = self.base[state] + by
+            to = self.base[state].astype(np.int64) + by
             live = (by > 0) & (to > 0) & (to < end)
             live[live] = self.check[to[live]] == state[live]
             place, state = place[live], to[live]
