@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrymill.llm import bpe, collocations, exact_dedup, license_scan, line_dedup, lm_scoring, ngram_join, packing, sharding, topk, toxicity
+from quarrymill.llm import bpe, collocations, exact_dedup, language_id, license_scan, line_dedup, lm_scoring, ngram_join, packing, prefix_trie, sharding, topk, toxicity
 
 
 def queries() -> dict:
@@ -18,6 +18,8 @@ def queries() -> dict:
         "op9_sharding": sharding.op9_sharding,
         "op10_bpe": bpe.op10_bpe,
         "op11_collocations": collocations.op11_collocations,
+        "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+        "op13_language_id": language_id.op13_language_id,
     }
 
 
@@ -27,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_exact_dedup": exact_dedup.ORACLE,
         "op8_topk": topk.ORACLE,
         "op11_collocations": collocations.ORACLE,
+        "op12_prefix_trie": prefix_trie.ORACLE,
     }
