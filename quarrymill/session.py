@@ -9,11 +9,13 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import functions as F
 
 #: Spark then deletes the shuffle files of a query once it has ended.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of a narrow table (a few ids and numbers) that may be broadcast: some tens of megabytes.
+MOST_BROADCAST = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -70,6 +72,16 @@ def _hadoop(spark: SparkSession, path: str) -> tuple:
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def sized(df: DataFrame, name: str = "table", most: int = MOST_BROADCAST) -> DataFrame:
+    """``df``, written, with a broadcast hint if it has at most ``most`` rows; else joins shuffle it."""
+    written = materialise(df, name)
+    if written.count() > most:
+        return written
+    hinted = F.broadcast(written)
+    hinted.written_to = written.written_to
+    return hinted
+
+
 def short_batches(spark: SparkSession) -> None:
     """Hand Python tasks a thousand rows at once instead of Spark's ten thousand: an executor holds
     several copies of a batch, and texts may be long. A session that sets another number keeps it."""

@@ -19,6 +19,9 @@ ANNOTATION_FIELDS = (
     "annotator", "annotation_version", "matched_terms",
 )
 
+#: Tables of a saved BM25 index.
+INDEX_TABLES = ("postings", "blocks", "idf", "stats", "corpus")
+
 
 class RecordError(ValueError):
     """A record that can't be read; the message names file and line."""
@@ -217,7 +220,7 @@ def fingerprints(spark: SparkSession, path: str) -> DataFrame:
 
 def save_index(index, path: str, facts: dict) -> None:
     """A BM25 index and a one-row table of facts about it, as Parquet."""
-    for name in ("postings", "idf", "stats", "corpus"):
+    for name in INDEX_TABLES:
         getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
     spark = index.postings.sparkSession
     spark.createDataFrame([(json.dumps(facts, sort_keys=True),)], "facts string").write.mode("overwrite").parquet(f"{path}/facts")
@@ -257,5 +260,5 @@ def load_index(spark: SparkSession, path: str):
     """A saved index and its facts."""
     from quarrymill.operators.bm25 import Index
 
-    tables = [spark.read.parquet(f"{path}/{name}") for name in ("postings", "idf", "stats", "corpus")]
+    tables = [spark.read.parquet(f"{path}/{name}") for name in INDEX_TABLES]
     return Index(*tables), json.loads(spark.read.parquet(f"{path}/facts").first()["facts"])

@@ -1,4 +1,6 @@
 import math
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -53,11 +55,72 @@ def test_top_k_is_full(spark, index, k):
         assert sorted(r["rank"] for r in rows) == list(range(1, min(k, 3) + 1))
 
 
-def test_guards(spark, index):
+def test_k_must_be_positive(spark, index):
     with pytest.raises(ValueError):
         bm25.retrieve(index, ask(spark, "x"), 0)
 
 
+def plain_bm25(texts, question, k1, b, epsilon):
+    """Scores of all texts by the formulas, in plain Python."""
+    docs = [re.findall("[a-z0-9]+", t.lower()) for t in texts]
+    n, mean_length = len(docs), sum(map(len, docs)) / len(docs)
+    df = Counter(w for d in docs for w in set(d))
+    idf = {w: math.log(n - c + 0.5) - math.log(c + 0.5) for w, c in df.items()}
+    floor = epsilon * sum(idf.values()) / len(idf)
+    tf = [Counter(d) for d in docs]
+    found = []
+    for d, counts in zip(docs, tf):
+        norm = k1 * (1 - b + b * len(d) / mean_length)
+        terms = [w for w in re.findall("[a-z0-9]+", question.lower()) if counts[w]]
+        found.append(sum((idf[w] if idf[w] >= 0 else floor) * counts[w] * (k1 + 1) / (counts[w] + norm) for w in terms))
+    return found
+
+
+@pytest.mark.parametrize("block, first, listed", [(64, 1, 10_000), (8, 4, 10_000), (3, 2, 0)])
+def test_pruned_top_k_is_exact(spark, monkeypatch, block, first, listed):
+    """Whatever the blocks: the same rows as by all scores, ties and questions of few hits included."""
+    for name, value in (("BLOCK", block), ("FIRST", first), ("MOST_LISTED", listed)):
+        monkeypatch.setattr(bm25, name, value)
+    rng = np.random.default_rng(12)
+    words = np.array([f"w{i}" for i in range(300)])
+    chance = 1 / np.arange(1, 301)
+    texts = [" ".join(rng.choice(words, int(rng.integers(0, 30)), p=chance / chance.sum())) for _ in range(500)]
+    texts[20:40] = [texts[20]] * 20
+    texts += ["rare rare w1 w2", "w1 " * 400, "", "ONLY"]
+    chunks = spark.createDataFrame([(i, f"c{i}", t) for i, t in enumerate(texts)], "pos bigint, chunk_id string, text string").repartition(3)
+    asked = ["w1 w2 w3", texts[20], "rare w1", "only", "nothing here", "w1 w1 w290 w250", "w200 w201 w202 w203"]
+    questions = spark.createDataFrame(list(enumerate(asked)), "question_id int, question string")
+    index = bm25.build_index(chunks)
+    got = {(r.question_id, r["rank"]): (r.pos, r.score) for r in bm25.retrieve(index, questions, 5).collect()}
+    every = {(r.question_id, r.pos): r.score for r in bm25.scores(index, questions).collect()}
+    for q, text in enumerate(asked):
+        want = plain_bm25(texts, text, bm25.K1, bm25.B, bm25.EPSILON)
+        assert all(abs(every.get((q, pos), 0) - s) < 1e-9 for pos, s in enumerate(want))
+        best = sorted((-round(s, 9), pos) for pos, s in enumerate(want))[:5]
+        assert [got[q, n + 1][0] for n in range(5)] == [pos for _, pos in best]
+        assert [got[q, n + 1][1] for n in range(5)] == pytest.approx([-s for s, _ in best], abs=2e-9)
+    other, reads = bm25.pruned_scores(index, questions, 5, k1=0.9, b=0.4)
+    best = {}
+    for r in other.collect():
+        best.setdefault(r.question_id, []).append((-round(r.score, 9), r.pos))
+    for q in (0, 1, 5):
+        want = sorted((-round(s, 9), pos) for pos, s in enumerate(plain_bm25(texts, asked[q], 0.9, 0.4, bm25.EPSILON)))[:5]
+        assert [pos for _, pos in sorted(best[q])[:5]] == [pos for _, pos in want]
+    read = {r.question_id: r for r in reads.collect()}
+    assert read[1].postings == sum(sum(w in set(t.lower().split()) for w in set(texts[20].split())) for t in texts)
+    assert all(r.postings_read <= r.postings and r.blocks_read <= r.blocks for r in read.values())
+    if block == 8:
+        assert read[1].postings_read < 0.5 * read[1].postings  # a text that some chunks repeat
+
+
+def test_frequent_terms_are_spread(spark):
+    """No posting of a term is in the same shuffle key as one of a far block."""
+    chunks = spark.range(4000).selectExpr("id as pos", "cast(id as string) as chunk_id", "'common word' as text")
+    index = bm25.build_index(chunks)
+    most = index.postings.groupBy("term", "block").count().agg({"count": "max"}).first()[0]
+    assert most == bm25.BLOCK and index.blocks.filter("term = 'common'").count() == -(-4000 // bm25.BLOCK)
+
+
 def test_dense_ties_by_position(spark):
     chunks = spark.createDataFrame([(0, "c1", [1.0, 0.0]), (1, "c2", [0.0, 2.0]), (2, "c3", [-1.0, 0.0])], "pos bigint, chunk_id string, embedding array<float>")
     asked = spark.createDataFrame([(7, [0.0, 1.0])], "question_id bigint, embedding array<float>")
