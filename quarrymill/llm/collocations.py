@@ -192,9 +192,14 @@ def _counted(trie):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree: DoubleArray = trie.value
-        total = np.zeros(len(tree.check), np.int64)
+        total, held, n = np.zeros(len(tree.check), np.int64), [], 0
         for batch in batches:
-            total += tree.found(_words(batch))
+            held.append(_words(batch))
+            n += len(held[-1])
+            if n > MOST_PLACES:
+                tree.count(np.concatenate(held), total)
+                held, n = [], 0
+        tree.count(np.concatenate([np.empty(0, np.int64), *held]), total)
         for phrases, state in zip(tree.phrases, tree.accepting, strict=True):
             met = np.flatnonzero(total[state])
             for at in np.split(met, range(1 << 16, len(met), 1 << 16)):

@@ -79,7 +79,9 @@ def test_double_array_counts():
     grams = {size: collections.Counter(g for i in range(len(text) - size + 1) if 0 not in (g := tuple(text[i : i + size].tolist()))) for size in (2, 3, 4)}
     phrases = [np.array(sorted(list(g)[::3]), np.int64) for g in grams.values()]
     trie = DoubleArray(phrases)
-    counts = trie.found(text)
+    counts = np.zeros(len(trie.check), np.int64)
+    trie.count(text, counts)
     for own, state in zip(phrases, trie.accepting, strict=True):
         assert [grams[own.shape[1]][tuple(p)] for p in own.tolist()] == counts[state].tolist() and len(set(state.tolist())) == len(own)
-    assert DoubleArray([np.empty((0, 2), np.int64)]).found(text).sum() == 0
+    DoubleArray([np.empty((0, 2), np.int64)]).count(text, counts := np.zeros(500, np.int64))
+    assert counts.sum() == 0
