@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions.answers import exam_letter
 from quarrymill.functions.text import trim_ws
+from quarrymill.operators.medians import exact_medians
 from quarrymill.operators.numbering import numbered
 from quarrymill.operators.ranking_metrics import common
 
@@ -47,13 +48,13 @@ def run_report(rows: DataFrame, k: int = 3, exact_median: bool = True) -> DataFr
 
     ``rows``: result rows with ``system_name`` and, for retrieval metrics, ``gold`` (null without
     labels). Failures count as wrong; rates are null where nothing was measured. The exact median
-    keeps a group's distinct latencies; without it the median is approximate in bounded memory.
+    takes a few passes over the latencies (see `medians`); without it the median is approximate.
     """
     if "gold" not in rows.columns:
         rows = rows.withColumn("gold", F.lit(None).cast("array<string>"))
     measured = common(_flags(rows), k)
     n, ok, right, valid = F.count(F.lit(1)), F.count_if("_ok"), F.count_if("_right"), F.count_if("_valid")
-    middle = F.median("latency_ms") if exact_median else F.percentile_approx("latency_ms", 0.5)
+    middle = F.lit(None).cast("double") if exact_median else F.percentile_approx("latency_ms", 0.5)
     low, high = wilson(right, n)
     sums = measured.groupingSets([("system_name",), ("system_name", "scope")], "system_name", "scope").agg(
         F.grouping_id().alias("_level"),
@@ -78,9 +79,23 @@ def run_report(rows: DataFrame, k: int = 3, exact_median: bool = True) -> DataFr
         F.bround(F.avg("mrr"), 6).alias("mrr"),
         F.bround(F.avg("ndcg"), 6).alias("ndcg_at_k"),
     )
+    if exact_median:
+        sums = _with_medians(sums, measured, [("system_name",), ("system_name", "scope")], F.when(F.col("_level") == 0, 1).otherwise(0))
     return sums.withColumn("level", F.when(F.col("_level") == 0, "scope").otherwise("overall")).drop("_level")
 
 
+def _with_medians(sums: DataFrame, rows: DataFrame, groupings: list[tuple[str, ...]], grouping: Column) -> DataFrame:
+    """``sums`` of the groupings, each row with the number ``grouping``, and their exact medians."""
+    own = ["grouping", *dict.fromkeys(c for g in groupings for c in g)]
+    found = exact_medians(rows, "latency_ms", groupings, "_median").select(*[F.col(c).alias(f"_{c}") for c in own], "_median")
+    counted = sums.withColumn("grouping", grouping)
+    same = F.lit(True)
+    for c in own:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    joined = counted.join(found, same, "left").withColumn("median_latency_ms", F.bround("_median", 3))
+    return joined.select(*sums.columns)
+
+
 def run_summary(rows: DataFrame) -> DataFrame:
     """The short summary: no intervals, and a citation rate of 0 where nothing succeeded."""
     flagged = _flags(rows)
@@ -96,10 +111,10 @@ def run_summary(rows: DataFrame) -> DataFrame:
         F.when(by_scope, valid).alias("citation_valid_successes"),
         F.when(by_scope, F.coalesce(_ratio(valid, ok), F.lit(0.0))).alias("citation_valid_rate"),
         F.bround(F.avg("latency_ms"), 3).alias("mean_latency_ms"),
-        F.bround(F.median("latency_ms"), 3).alias("median_latency_ms"),
+        F.lit(None).cast("double").alias("median_latency_ms"),
         F.when(~by_scope, F.bround(F.avg("_found"), 3)).alias("mean_retrieved_chunks"),
     )
-    return sums
+    return _with_medians(sums, flagged, [(), ("scope",)], F.when(F.col("by_scope"), 1).otherwise(0))
 
 
 def compare_systems(reports: DataFrame, order: str) -> DataFrame:
