@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.functions.text import trim_ws
+from quarrymill.session import MOST_BROADCAST, materialise
+
+#: Keys that one key with many rows is split into for a join.
+PARTS = 32
 
 
 def required_text(c: Column) -> Column:
@@ -44,10 +48,26 @@ def with_ids(df: DataFrame, raw_id: str, split: str, line: str) -> DataFrame:
     return df.withColumn("record_id", F.coalesce(required_text(F.col(raw_id)), made))
 
 
-def mark_repeats(df: DataFrame, key: str, order: str) -> DataFrame:
-    """``df`` with ``copies`` (rows of that key) and ``repeat`` (all rows of it but the first)."""
-    same = Window.partitionBy(key)
-    return df.withColumns({"copies": F.count(F.lit(1)).over(same), "repeat": F.row_number().over(same.orderBy(order)) > 1})
+def mark_repeats(df: DataFrame, key: str, order: str | tuple[str, ...]) -> DataFrame:
+    """``df`` with ``copies`` (rows of that key) and ``repeat`` (all rows of it but the first).
+
+    ``order`` names columns that tell the rows of a key apart. Null keys are no copies of each other.
+    Counts and first rows are summed up in the tasks before any shuffle, and only keys that occur more
+    than once come back: to all tasks while they are few; else each under `PARTS` keys of its own, so
+    that one key of many rows is met by many tasks.
+    """
+    order = (order,) if isinstance(order, str) else order
+    place = F.struct(*order)
+    groups = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_copies"), F.min(place).alias("_first"))
+    several = materialise(groups.filter("_copies > 1"), "repeats")
+    if several.count() <= MOST_BROADCAST:
+        met = df.join(F.broadcast(several), F.col(key) == F.col("_key"), "left")
+    else:
+        several = several.withColumn("_own", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        parted = df.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(PARTS)).cast("int"))
+        met = parted.join(several, (F.col(key) == F.col("_key")) & (F.col("_part") == F.col("_own")), "left").drop("_part", "_own")
+    repeat = F.col("_first").isNotNull() & (place != F.col("_first"))
+    return met.withColumns({"copies": F.coalesce("_copies", F.lit(1).cast("bigint")), "repeat": repeat}).drop("_key", "_copies", "_first")
 
 
 def validate(df: DataFrame) -> DataFrame:

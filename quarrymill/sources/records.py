@@ -3,22 +3,26 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrymill.functions.text import trim_ws
 from quarrymill.operators.dense import normalised, vector_checks
-from quarrymill.operators.numbering import numbered
 from quarrymill.operators.validate import answer_index, answer_letter, fold_options, mark_repeats, required_text, with_ids
+from quarrymill.session import sized
 
 ANNOTATION_FIELDS = (
     "question_id", "question", "options", "expected_answer", "scope", "evidence_expected", "topic", "reason",
     "annotator", "annotation_version", "matched_terms",
 )
 
+#: Splits whose starts are sent to all tasks: some 64 TB of files at 128 MB each.
+MOST_SPLITS = 500_000
 #: Tables of a saved BM25 index.
 INDEX_TABLES = ("postings", "blocks", "idf", "stats", "corpus")
 
@@ -27,17 +31,12 @@ class RecordError(ValueError):
     """A record that can't be read; the message names file and line."""
 
 
-@F.pandas_udf(T.StringType())
-def json_status(line: pd.Series) -> pd.Series:
+def _status(line: bytes) -> str | None:
     """Null for a JSON object, else what is wrong. Built-in parsers accept more than JSON."""
-
-    def of(text: str) -> str | None:
-        try:
-            return None if isinstance(json.loads(text), dict) else "not an object"
-        except ValueError:
-            return "invalid JSON"
-
-    return pd.Series([of(t) for t in line], dtype=object)
+    try:
+        return None if isinstance(json.loads(line.decode()), dict) else "not an object"
+    except ValueError:
+        return "invalid JSON"
 
 
 PAIR = T.StructType([T.StructField("label", T.StringType()), T.StructField("text", T.StringType()), T.StructField("is_text", T.BooleanType())])
@@ -59,21 +58,46 @@ def json_pairs(value: pd.Series) -> pd.Series:
     return pd.Series([of(t) for t in value], dtype=object)
 
 
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines in the order of their split, with their number in it (``inside``), how many full lines
+    stand before them (``before``), and what `json_status` says of full ones."""
+    here, inside, before = None, 0, 0
+    for batch in batches:
+        files, blocks, full = (batch.column(c).to_pylist() for c in ("file", "block", "full"))
+        numbers, earlier = [], []
+        for file, block, is_full in zip(files, blocks, full, strict=True):
+            if (file, block) != here:
+                here, inside, before = (file, block), 0, 0
+            inside += 1
+            numbers.append(inside)
+            earlier.append(before)
+            before += is_full
+        lines = batch.column("value").cast(pa.binary())
+        status = [_status(line) if is_full else None for line, is_full in zip(lines.to_pylist(), full, strict=True)]
+        columns = [*batch.columns, pa.array(numbers, pa.int64()), pa.array(earlier, pa.int64()), pa.array(status, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "inside", "before", "status"])
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``file, line, value, status`` for each line that is not blank. Lines are counted from 1,
-    blank ones included, per file: rows are numbered inside each split and a running sum of the
-    splits' sizes, a tiny table, gives where each begins."""
-    raw = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")
-    )
-    sizes = raw.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = F.row_number().over(Window.partitionBy("file", "block").orderBy("at"))
-    numbered = raw.withColumn("inside", inside).join(starts, ["file", "block"])
-    lines = numbered.select("file", (F.col("start") + F.col("inside")).alias("line"), F.regexp_replace("value", "^﻿", "").alias("value"))
-    kept = lines.filter(trim_ws(F.col("value")) != "")
-    return kept.withColumn("status", json_status("value"))
+    """``file, line, value, status, at`` for each line that is not blank. Lines are counted from 1,
+    blank ones included, per file; ``at`` counts the lines of this result from 0 over all files, by
+    their names, without gaps. A byte order mark at a line's start is no part of it.
+
+    A first pass counts the lines of each split; where the splits begin is a small table that is sent
+    to the tasks, and a line's place inside its split is counted where it is read. No text is moved.
+    """
+    value = F.regexp_replace("value", "^\ufeff", "")
+    raw = spark.read.text(path).select(value.alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    raw = raw.withColumn("full", trim_ws(F.col("value")) != "")
+    sizes = raw.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.count_if("full").alias("n_full"))
+    of_file = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    of_all = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    starts = sizes.select("file", "block", F.coalesce(F.sum("n").over(of_file), F.lit(0)).alias("start"), F.coalesce(F.sum("n_full").over(of_all), F.lit(0)).alias("first"))
+    starts = sized(starts, "line-starts", MOST_SPLITS)
+    read = raw.mapInArrow(_numbered, "value string, file string, block bigint, full boolean, inside bigint, before bigint, status string")
+    lines = read.filter("full").join(starts, ["file", "block"], "left")
+    start = F.coalesce("start", F.raise_error(F.lit("files or splits changed while they were read")).cast("bigint"))
+    return lines.select("file", (start + F.col("inside")).alias("line"), "value", "status", (F.col("first") + F.col("before")).alias("at"))
 
 
 def split_rejects(df: DataFrame, reason: str = "reject") -> tuple[DataFrame, DataFrame]:
@@ -121,7 +145,7 @@ def load_questions(spark: SparkSession, path: str, split: str | None = None) ->
         F.coalesce(F.lit(split), _field("split"), _stem()).alias("split"),
         _field("answer_idx").alias("answer"), kind.alias("kind"),
     )
-    ready = mark_repeats(with_ids(ready, "raw_id", "split", "line"), "record_id", "line")
+    ready = mark_repeats(with_ids(ready, "raw_id", "split", "line"), "record_id", ("file", "line"))
     ready = ready.withColumn("answer_index", F.when(F.col("kind").isin("string", "number"), answer_index(F.col("answer"), F.col("options"))))
     reject = (
         F.when(F.col("status").isNotNull(), F.col("status"))
@@ -159,19 +183,18 @@ def load_chunks(spark: SparkSession, path: str) -> DataFrame:
     """Text chunks of JSON lines (``id, title, content`` or ``contents``), with ``reject`` per row.
     ``corpus_pos`` runs from 0 without gaps over all files, by their names."""
     ready = read_lines(spark, path).select(
-        "file", "line", "status", required_text(_field("id")).alias("chunk_id"), F.coalesce(trim_ws(_field("title")), F.lit("")).alias("title"),
+        "file", "line", "at", "status", required_text(_field("id")).alias("chunk_id"), F.coalesce(trim_ws(_field("title")), F.lit("")).alias("title"),
         F.coalesce(required_text(_field("content")), required_text(_field("contents"))).alias("text"),
         _rest("value", ("id", "title", "content", "contents")).alias("metadata"),
     )
-    ready = mark_repeats(ready, "chunk_id", "line")
+    ready = mark_repeats(ready, "chunk_id", ("file", "line"))
     reject = (
         F.when(F.col("status").isNotNull(), F.col("status"))
         .when(F.col("chunk_id").isNull(), "id must be text")
         .when(F.col("text").isNull(), "content must be text")
         .when(F.col("repeat"), "duplicate id")
     )
-    ready = ready.select("chunk_id", "title", "text", F.col("file").alias("source_file"), "metadata", reject.alias("reject"), "file", "line")
-    return numbered(ready, ["file", "line"], "corpus_pos")
+    return ready.select("chunk_id", "title", "text", F.col("file").alias("source_file"), "metadata", reject.alias("reject"), "file", "line", F.col("at").alias("corpus_pos"))
 
 
 def load_annotations(spark: SparkSession, path: str) -> DataFrame:
@@ -184,7 +207,7 @@ def load_annotations(spark: SparkSession, path: str) -> DataFrame:
         _field("evidence_expected").try_cast("boolean").alias("evidence_expected"), F.from_json(_field("matched_terms"), "array<string>").alias("matched_terms"),
         F.array_except(F.array(*[F.lit(n) for n in ANNOTATION_FIELDS]), keys).alias("missing"),
     )
-    ready = mark_repeats(ready, "question_id", "line")
+    ready = mark_repeats(ready, "question_id", ("file", "line"))
     reject = (
         F.when(F.col("status").isNotNull(), F.col("status"))
         .when(F.size("missing") > 0, F.concat(F.lit("missing "), F.array_join("missing", ", ")))

@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from quarrymill.operators import bm25
+from quarrymill.operators import bm25, validate
 from quarrymill.sources import records as R
 
 
@@ -74,3 +74,41 @@ def test_saved_hybrid_index(spark, tmp_path):
     for bad in (uneven, uneven.limit(0)):
         with pytest.raises(ValueError):
             R.save_vectors(bad, str(tmp_path / "bad"), {})
+
+
+def test_lines_are_numbered_over_many_splits(spark, tmp_path):
+    """Blank lines, byte order marks and lines that no split ends with; no exchange holds a text."""
+    want, at = {}, 0
+    for name, count in (("a.jsonl", 900), ("b.jsonl", 1), ("c.jsonl", 0), ("d.jsonl", 400)):
+        lines = ["" if i % 7 == 3 else "\u2003 " if i % 11 == 5 else ("\ufeff" if i % 13 == 0 else "") + json.dumps({"id": f"{name}{i}", "content": "é" * (i % 50)}) for i in range(count)]
+        (tmp_path / name).write_text("\n".join(lines), encoding="utf-8")
+        for number, line in enumerate(lines, start=1):
+            if line.strip():
+                want[name, number] = (line.removeprefix("\ufeff"), at)
+                at += 1
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        read = R.read_lines(spark, f"{tmp_path}/*.jsonl")
+        rows = read.collect()
+        plan = read._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {(r.file.rsplit("/", 1)[1], r.line): (r.value, r["at"]) for r in rows} == want and len(rows) == len(want)
+    assert all(r.status is None for r in rows)
+    assert "Exchange hashpartitioning" not in plan and "Exchange rangepartitioning" not in plan and "Window" not in plan
+
+
+def test_repeats_of_a_hot_key(spark, monkeypatch):
+    """The first row by the order is no repeat, whether or not keys are split for the join."""
+    rows = [(("hot" if i % 3 else f"k{i % 40}") if i % 10 else None, i % 50, -i) for i in range(600)]
+    df = spark.createDataFrame(rows, "k string, file int, line int").repartition(5)
+    want = {}
+    for k, file, line in rows:
+        of_key = [(f, n) for key, f, n in rows if key == k]
+        want[file, line] = (1, False) if k is None else (len(of_key), (file, line) != min(of_key))
+    for most in (200_000, 0):
+        monkeypatch.setattr(validate, "MOST_BROADCAST", most)
+        marked = validate.mark_repeats(df, "k", ("file", "line"))
+        assert {(r.file, r.line): (r.copies, r.repeat) for r in marked.collect()} == want
+        assert marked.columns == ["k", "file", "line", "copies", "repeat"]
