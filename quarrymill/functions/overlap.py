@@ -7,7 +7,6 @@ import re
 from collections import Counter
 from functools import lru_cache
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,17 +52,24 @@ def rouge_l(prediction: str, truth: str, stemmed: bool = True) -> float:
         p, t = ([stem(w) if len(w) > 3 else w for w in x] for x in (p, t))
     if not p or not t:
         return 0.0
-    ids = {w: i for i, w in enumerate(dict.fromkeys(t))}
-    right = np.array([ids[w] for w in t])
-    row = np.zeros(len(t) + 1, np.int64)
-    for w in p:
-        if w in ids:
-            # A match continues the best before it; else the best so far runs on.
-            row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(right == ids[w], row[:-1] + 1, 0)))
-    common = int(row[-1])
+    common = common_subsequence(p, t)
     return 2 * common / (len(p) + len(t)) if common else 0.0
 
 
+def common_subsequence(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence, a row of the table at a time as the bits of a whole
+    number: zero bits of ``row`` are where the length grows (H. Hyyro, 2004)."""
+    places: dict[str, int] = {}
+    for k, w in enumerate(b):
+        places[w] = places.get(w, 0) | 1 << k
+    whole = (1 << len(b)) - 1
+    row = whole
+    for w in a:
+        hit = row & places.get(w, 0)
+        row = ((row + hit) | (row - hit)) & whole
+    return len(b) - row.bit_count()
+
+
 @F.pandas_udf(T.DoubleType())
 def bleu_score(prediction: pd.Series, truth: pd.Series) -> pd.Series:
     return pd.Series([bleu(p, t) for p, t in zip(prediction, truth)], dtype=float)
@@ -74,13 +80,18 @@ def rouge_l_score(prediction: pd.Series, truth: pd.Series) -> pd.Series:
     return pd.Series([rouge_l(p, t) for p, t in zip(prediction, truth)], dtype=float)
 
 
-# Porter's stemmer (M. F. Porter, An algorithm for suffix stripping, 1980). Suffix lists are fixed
-# values of the paper. Later extensions of it are left out, so rare words may differ from them.
+# Porter's stemmer (M. F. Porter, An algorithm for suffix stripping, 1980) with the extensions that the
+# common Python library has on by default. Suffix lists and irregular forms are fixed values.
+IRREGULAR = {
+    "sky": "sky", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news", "innings": "inning", "inning": "inning",
+    "outings": "outing", "outing": "outing", "cannings": "canning", "canning": "canning", "howe": "howe", "proceed": "proceed",
+    "exceed": "exceed", "succeed": "succeed",
+}
 STEP_2 = [
-    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"),
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("bli", "ble"),
     ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"),
     ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"),
-    ("iviti", "ive"), ("biliti", "ble"),
+    ("iviti", "ive"), ("biliti", "ble"), ("fulli", "ful"),
 ]
 STEP_3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
 STEP_4 = [
@@ -104,7 +115,16 @@ def _measure(word: str) -> int:
 
 
 def _short(word: str) -> bool:
-    return _shape(word).endswith("cvc") and word[-1] not in "wxy"
+    shape = _shape(word)
+    return (shape.endswith("cvc") and word[-1] not in "wxy") or shape == "vc"
+
+
+def _step_2(word: str) -> str:
+    if word.endswith("alli") and _measure(word[:-4]) > 0:
+        return _step_2(word[:-2])  # what ends with "al" now may have another suffix
+    if word.endswith("logi"):
+        return word[:-1] if _measure(word[:-3]) > 0 else word
+    return _replace(word, STEP_2)
 
 
 def _replace(word: str, pairs: list[tuple[str, str]]) -> str:
@@ -117,13 +137,18 @@ def _replace(word: str, pairs: list[tuple[str, str]]) -> str:
 
 @lru_cache(100_000)
 def stem(word: str) -> str:
+    """The stem of a lower-cased word."""
+    if word in IRREGULAR:
+        return IRREGULAR[word]
     if len(word) <= 2:
         return word
-    for suffix, new in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
+    for suffix, new in (("sses", "ss"), ("ies", "ie" if len(word) == 4 else "i"), ("ss", "ss"), ("s", "")):
         if word.endswith(suffix):
             word = word[: -len(suffix)] + new
             break
-    if word.endswith("eed"):
+    if word.endswith("ied"):
+        word = word[:-1] if len(word) == 4 else word[:-2]
+    elif word.endswith("eed"):
         word = word[:-1] if _measure(word[:-3]) > 0 else word
     else:
         cut = next((s for s in ("ed", "ing") if word.endswith(s) and "v" in _shape(word[: -len(s)])), None)
@@ -135,9 +160,9 @@ def stem(word: str) -> str:
                 word = word[:-1]
             elif _measure(word) == 1 and _short(word):
                 word += "e"
-    if word.endswith("y") and "v" in _shape(word[:-1]):
+    if word.endswith("y") and len(word) > 2 and _shape(word)[-2] == "c":
         word = word[:-1] + "i"
-    word = _replace(_replace(word, STEP_2), STEP_3)
+    word = _replace(_step_2(word), STEP_3)
     hit = max((s for s in STEP_4 if word.endswith(s)), key=len, default=None)
     if hit and _measure(word[: -len(hit)]) > 1 and (hit != "ion" or word[-4:-3] in ("s", "t")):
         word = word[: -len(hit)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,10 +164,28 @@ def breakdown(rows: DataFrame, order: str) -> DataFrame:
     return numbered(rows, order, "index", 1).select("index", line.alias("line"))
 
 
-def generation_means(rows: DataFrame, measures: tuple[str, ...]) -> DataFrame:
-    """One row: the number of rows and the mean of each measure, 0 without rows. Nulls, which are
-    judge calls that failed, don't count in a mean."""
-    return rows.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.avg(m), F.lit(0.0)).alias(m) for m in measures])
+def benchmark_document(rows: DataFrame, order: str, name: str, model: str, seed: int, results: tuple[str, ...] = ()) -> DataFrame:
+    """``index, line``: the JSON report of a fixed benchmark (rows as for `benchmark_rows`), line by
+    line, so that no row holds more than one question: its head with the counts and ``summary`` at 0,
+    an object of ``per_question_results`` for each row by ``order`` from 1, and its end. ``results``
+    names further columns of these objects."""
+    read = numbered(benchmark_rows(rows), order, "index", 1)
+    facts = benchmark_score(read).first()
+    head = {
+        "benchmark_name": name, "model_name": model, "seed": seed, "total_questions": facts["total_questions"], "correct_count": facts["correct_count"],
+        "accuracy_pct": facts["accuracy_pct"], "summary": {"Accuracy": f"{facts['accuracy_pct']:.2f}%", "Score": facts["score"]},
+    }
+    n, fields = facts["total_questions"], ("index", *results, "truth_letter", "predicted_letter", "is_correct", "model_response")
+    item = F.to_json(F.struct(*[F.col(c).alias("ground_truth_letter" if c == "truth_letter" else c) for c in fields]), KEPT)
+    lines = read.select("index", F.concat(item, F.when(F.col("index") < n, F.lit(",")).otherwise(F.lit(""))).alias("line"))
+    ends = [(0, json.dumps(head, ensure_ascii=False)[:-1] + ', "per_question_results": ['), (n + 1, "]}")]
+    return lines.unionByName(rows.sparkSession.createDataFrame(ends, "index bigint, line string"))
+
+
+def generation_means(rows: DataFrame, measures: tuple[str, ...], *more: Column) -> DataFrame:
+    """One row: the number of rows and the mean of each measure, 0 without rows, and ``more``
+    aggregates. Nulls, which are judge calls that failed, don't count in a mean."""
+    return rows.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.avg(m), F.lit(0.0)).alias(m) for m in measures], *more)
 
 
 #: What a report says of how it measures.

@@ -233,7 +233,10 @@ ORACLES: dict[str, str] = {
             FROM bm JOIN documents d ON d.doc_id::VARCHAR = chunk_id WHERE rank <= {K} GROUP BY 1
         ),
         z AS (SELECT question_id, b.text AS question, blocks, ids FROM r JOIN benchmark b ON b.item_id = question_id)
-        SELECT question_id, md5({_PLAIN}) AS plain, md5({_GROUNDED}) AS grounded, md5({_EXAM}) AS exam, length({_GROUNDED})::INT AS n_chars FROM z""",
+        SELECT question_id, md5({_PLAIN}) AS plain, md5({_GROUNDED}) AS grounded, md5({_EXAM}) AS exam, length({_GROUNDED})::INT AS n_chars,
+               '{{"type":"object","additionalProperties":false,"properties":{{"answer":{{"type":"string","enum":["B","A","C"]}},"citations":{{"type":"array",'
+               || '"items":{{"type":"string","enum":["' || replace(ids, ', ', '","') || '"]}},"minItems":1}}}},"required":["answer","citations"]}}' AS schema
+        FROM z""",
     "parse_responses": f"""
         WITH {SAID},
         q AS (
@@ -260,6 +263,48 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, CASE WHEN NOT blank THEN concat_ws(',', {", ".join(f"len([x for x in m if x = {k}])" for k in range(8))}) END AS embedding,
                CASE WHEN blank THEN 'blank text' END AS reject
         FROM t""",
+    "bleu": f"""
+        WITH {EXCHANGES},
+        w AS (SELECT conv_id, turn, {_WSWORDS.format("answer")} AS p, {_WSWORDS.format("question")} AS t FROM x),
+        g AS (
+            SELECT conv_id, turn, size, unnest([array_to_string(p[i:i + size - 1], ' ') for i in range(1, len(p) - size + 2)]) AS gram, true AS own
+            FROM w, range(1, 5) s(size) WHERE len(p) >= size
+            UNION ALL
+            SELECT conv_id, turn, size, unnest([array_to_string(t[i:i + size - 1], ' ') for i in range(1, len(t) - size + 2)]), false
+            FROM w, range(1, 5) s(size) WHERE len(t) >= size
+        ),
+        k AS (SELECT conv_id, turn, size, gram, least(count(*) FILTER (own), count(*) FILTER (NOT own)) AS n FROM g GROUP BY ALL),
+        m AS (SELECT conv_id, turn, size, sum(n) AS n FROM k GROUP BY ALL),
+        h AS (
+            SELECT conv_id, turn, s.size, coalesce(n, 0) AS n, len(p) AS lp, len(t) AS lt
+            FROM w CROSS JOIN range(1, 5) s(size) LEFT JOIN m USING (conv_id, turn, size)
+        )
+        SELECT conv_id, turn, round(CASE WHEN max(n) FILTER (size = 1) > 0 THEN
+                   CASE WHEN any_value(lp) > any_value(lt) THEN 1.0::DOUBLE ELSE exp(1 - any_value(lt) / any_value(lp)) END
+                   * exp(sum(ln(CASE WHEN n > 0 THEN n::DOUBLE ELSE 0.1::DOUBLE END / greatest(1, lp - size + 1)) / 4)) ELSE 0 END, 9) AS bleu
+        FROM h GROUP BY conv_id, turn""",
+    "generate_answers": f"""
+        WITH z AS (SELECT item_id AS question_id, text AS question, ['B', 'A', 'C'][item_id % 3 + 1] AS expected FROM benchmark),
+        a AS (SELECT *, length({_PLAIN}) AS n FROM z),
+        b AS (SELECT *, n % 7 = 0 AS gone, ['A', 'B', 'C', 'D'][n % 4 + 1] AS letter FROM a)
+        SELECT question_id, CASE WHEN NOT gone THEN 'Answer: ' || letter END AS raw_response, CASE WHEN NOT gone AND letter <> 'D' THEN letter END AS predicted_answer,
+               CASE WHEN gone THEN 'RuntimeError: no answer' WHEN letter = 'D' THEN {_text(NO_LABEL)} END AS error,
+               CASE WHEN NOT gone AND letter <> 'D' THEN letter = expected END AS is_correct
+        FROM b""",
+    "benchmark_document": f"""
+        WITH {SAID},
+        r AS (SELECT event_id, truth_letter, CASE WHEN event_id % 10 = 9 THEN '[ERROR: Generation failed: gone]' ELSE response END AS response FROM rs),
+        l AS (SELECT *, {_first("response", answers.EXAM_LETTERS)} AS letter, row_number() OVER (ORDER BY event_id) AS index FROM r),
+        t AS (SELECT count(*) AS n, count(*) FILTER (letter = truth_letter) AS c, round_even(100.0 * count(*) FILTER (letter = truth_letter) / count(*), 2)::DOUBLE AS pct FROM l)
+        SELECT 0 AS index, '{{"benchmark_name": "fixed benchmark", "model_name": "stand-in", "seed": 42, "total_questions": ' || n || ', "correct_count": ' || c
+               || ', "accuracy_pct": ' || pct || ', "summary": {{"Accuracy": "' || printf('%.2f', pct) || '%", "Score": "' || c || '/' || n || '"}}, "per_question_results": [' AS line
+        FROM t
+        UNION ALL
+        SELECT index, '{{"index":' || index || ',"event_id":' || event_id || ',"ground_truth_letter":"' || truth_letter || '","predicted_letter":"' || letter
+               || '","is_correct":' || (letter = truth_letter) || ',"model_response":"' || response || '"}}' || CASE WHEN index < n THEN ',' ELSE '' END
+        FROM l, t
+        UNION ALL
+        SELECT n + 1, ']}}' FROM t""",
     "sample_fixed": "SELECT item_id AS question_id FROM benchmark ORDER BY md5('42:' || item_id), item_id LIMIT 20",
     "benchmark_breakdown": f"""
         WITH {SAID},
@@ -346,9 +391,10 @@ ORACLES: dict[str, str] = {
         FROM x GROUP BY GROUPING SETS ((), (scope))""",
     "system_compare": f"""
         WITH {ROWS}
-        SELECT system_name, count(*) AS questions, count(*) FILTER (is_right) AS correct, round_even(count(*) FILTER (is_right) / count(*), 6) AS accuracy_on_all,
+        SELECT CASE WHEN grouping(scope) = 0 THEN 'scope' ELSE 'overall' END AS level, scope, system_name, count(*) AS questions,
+               count(*) FILTER (is_right) AS correct, round_even(count(*) FILTER (is_right) / count(*), 6) AS accuracy_on_all,
                {_CI_LOW} AS ci_low, {_CI_HIGH} AS ci_high, round_even(count(*) FILTER (NOT ok) / count(*), 6) AS failure_rate
-        FROM x GROUP BY system_name""",
+        FROM x GROUP BY GROUPING SETS ((system_name), (system_name, scope))""",
     "accuracy_comparable": f"""
         WITH {ROWS}
         SELECT count(*) AS total, count(predicted_answer) AS evaluated, count(*) FILTER (predicted_answer = expected_answer) AS correct,

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.functions import answers, grounding, overlap, prompts, scope, text
 from quarrymill.operators import bm25, dense, generate, ranking_metrics, report, validate
 from quarrymill.plans import adapters as A
-from quarrymill.session import table
+from quarrymill.session import shared_dir, table
 
 TOP, KS = 3, (1, 3, 5, 8)
 OPTIONS = [("B", "second"), ("A", "first"), ("C", "third")]
@@ -100,7 +102,7 @@ def system_compare(spark: SparkSession, sf: str) -> DataFrame:
     early = report.run_report(rows.filter("question_id % 7 = 0")).withColumn("at", F.lit(1))
     late = report.run_report(rows).withColumn("at", F.lit(2))
     compared = report.compare_systems(early.unionByName(late).withColumn("stem", F.lit("report")), "at")
-    return compared.filter("level = 'overall'").select("system_name", "questions", "correct", "accuracy_on_all", "ci_low", "ci_high", "failure_rate")
+    return compared.select("level", "scope", "system_name", "questions", "correct", "accuracy_on_all", "ci_low", "ci_high", "failure_rate")
 
 
 def accuracy_comparable(spark: SparkSession, sf: str) -> DataFrame:
@@ -185,6 +187,13 @@ def benchmark_breakdown(spark: SparkSession, sf: str) -> DataFrame:
     return report.breakdown(report.benchmark_rows(rows), "event_id")
 
 
+def benchmark_document(spark: SparkSession, sf: str) -> DataFrame:
+    """The JSON report of a fixed benchmark over the same rows, line by line."""
+    gone = F.when(F.col("event_id") % 10 == 9, F.lit("OSError: gone"))
+    rows = _responses(spark, sf).withColumnRenamed("response", "raw_response").withColumn("call_error", gone)
+    return report.benchmark_document(rows, "event_id", "fixed benchmark", "stand-in", 42, ("event_id",))
+
+
 def report_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Fields of the JSON reports of two systems."""
     rows = report.report_documents(report.run_report(A.result_rows(spark, sf)))
@@ -242,6 +251,45 @@ def generation_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("n", *[F.round(m, 9).alias(m) for m in measures])
 
 
+def bleu(spark: SparkSession, sf: str) -> DataFrame:
+    rows = A.exchanges(spark, sf)
+    return rows.select("conv_id", "turn", F.round(overlap.bleu_score("answer", "question"), 9).alias("bleu"))
+
+
+def generation_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Means of all seven measures of generated answers, and how many judge calls failed."""
+    rows = _judged(spark, sf).withColumns(
+        {
+            "exact_match": overlap.exact_match(F.col("answer"), F.col("question")), "f1_score": overlap.token_f1(F.col("answer"), F.col("question")),
+            "bleu_score": overlap.bleu_score("answer", "question"), "rouge_l": overlap.rouge_l_score("answer", "question"),
+        }
+    )
+    measures = ("exact_match", "f1_score", "bleu_score", "rouge_l", "faithfulness", "answer_relevance", "hallucination")
+    failed = F.count_if(F.col("faithfulness_error").isNotNull()).alias("failed_calls")
+    found = report.generation_means(rows, measures, failed)
+    return found.select("n", *[F.round(m, 9).alias(m) for m in measures], "failed_calls")
+
+
+def generate_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers of a stand-in model to the plain prompts, through a table of responses."""
+    rows = A.questions(spark, sf).withColumn("options", _options())
+    rows = rows.withColumns({"prompt": prompts.plain_prompt(F.col("question"), F.col("options")), "labels": F.transform("options", lambda o: o["label"])})
+    rows = rows.withColumn("expected_answer", F.element_at("labels", (F.col("question_id") % 3 + 1).cast("int")))
+    said = generate.answered(rows, _option_model, f"{shared_dir(spark).rstrip('/')}/responses-{uuid.uuid4().hex}")
+    return generate.outcome(said, cited=False).select("question_id", "raw_response", "predicted_answer", "error", "is_correct")
+
+
+def _option_model():
+    """A stand-in for a model: it names an option by the length of the prompt, and at times none."""
+
+    def answer(prompt: str) -> str:
+        if len(prompt) % 7 == 0:
+            raise RuntimeError("no answer")
+        return f"Answer: {'ABCD'[len(prompt) % 4]}"
+
+    return answer
+
+
 def bleu_rouge(spark: SparkSession, sf: str) -> DataFrame:
     rows = A.exchanges(spark, sf)
     return rows.select("conv_id", "turn", overlap.bleu_score("answer", "question").alias("bleu"), overlap.rouge_l_score("answer", "question").alias("rouge_l"))
@@ -256,7 +304,8 @@ def prompts_(spark: SparkSession, sf: str) -> DataFrame:
         "grounded": prompts.grounded_prompt(F.col("question"), F.col("options"), F.col("retrieved")),
         "exam": prompts.exam_prompt(F.col("question"), F.col("options")),
     }
-    return rows.select("question_id", *[F.md5(c).alias(n) for n, c in made.items()], F.length(made["grounded"]).alias("n_chars"))
+    digests = [F.md5(c).alias(n) for n, c in made.items()]
+    return rows.select("question_id", *digests, F.length(made["grounded"]).alias("n_chars"), prompts.response_schema(F.col("options"), F.col("retrieved")).alias("schema"))
 
 
 def parse_responses(spark: SparkSession, sf: str) -> DataFrame:
@@ -352,6 +401,7 @@ QUERIES = {
     "run_totals": run_totals,
     "fixed_benchmark_score": fixed_benchmark_score,
     "benchmark_breakdown": benchmark_breakdown,
+    "benchmark_document": benchmark_document,
     "report_documents": report_documents,
     "scope_rules": scope_rules,
     "generation_metrics": generation_metrics,
@@ -364,6 +414,9 @@ QUERIES = {
     "grounding": grounding_,
     "text_overlap": text_overlap,
     "bleu_rouge": bleu_rouge,
+    "bleu": bleu,
+    "generation_report": generation_report,
+    "generate_answers": generate_answers,
     "prompts": prompts_,
     "parse_responses": parse_responses,
     "judge_scores": judge_scores,
