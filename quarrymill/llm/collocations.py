@@ -102,6 +102,12 @@ def _hashed(filter_of_words):
     return run
 
 
+def _pairs(words: np.ndarray) -> np.ndarray:
+    """A number for each place by its word and the next one, of which a phrase's trie depends."""
+    h = mixed(words.view(np.uint64))
+    return (mixed(h[:-1] * STEP + h[1:]) >> np.uint64(40)).astype(np.int64)
+
+
 def _words(batch: pa.RecordBatch) -> np.ndarray:
     """The hashes of all texts of a batch; each text ends with 0 or is empty."""
     column = batch.column(0)
@@ -156,6 +162,11 @@ def _summed(held: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(found), pa.array(times.astype(np.int64))], ["bucket", "n"])
 
 
+def _listed(phrases: np.ndarray) -> pa.Array:
+    size = phrases.shape[1]
+    return pa.ListArray.from_arrays(np.arange(0, size * len(phrases) + 1, size, dtype=np.int32), pa.array(np.ascontiguousarray(phrases).ravel()))
+
+
 def _candidates(size: int, filters: list, bits: int):
     """Arrays of words to the distinct windows of ``size`` words that pass all filters."""
 
@@ -167,8 +178,8 @@ def _candidates(size: int, filters: list, bits: int):
         new = np.ones(len(phrases), bool)
         new[1:] = (phrases[1:] != phrases[:-1]).any(axis=1)
         phrases, code = np.ascontiguousarray(phrases[new]), code[new]
-        listed = pa.ListArray.from_arrays(np.arange(0, size * len(phrases) + 1, size, dtype=np.int32), pa.array(phrases.ravel()))
-        return pa.RecordBatch.from_arrays([listed, pa.array(code)], ["phrase", "bucket"])
+        pair = _pairs(np.append(phrases[:, :2].ravel(), 0))[::2]
+        return pa.RecordBatch.from_arrays([_listed(phrases), pa.array(pair), pa.array(code)], ["phrase", "pair", "bucket"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, codes, n = [], [], 0
@@ -187,31 +198,54 @@ def _candidates(size: int, filters: list, bits: int):
     return run
 
 
-def _counted(trie):
-    """Arrays of words to (phrase, n) of the trie's phrases that the task met."""
+def _counted(trie, k: int, tries: int):
+    """Arrays of words to (state, n) of the accepting states that the task met. A place is looked up
+    in the trie that its pair of words belongs to, and in no other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree: DoubleArray = trie.value
         total, held, n = np.zeros(len(tree.check), np.int64), [], 0
+
+        def count() -> None:
+            words = np.concatenate([np.empty(0, np.int64), *held])
+            here = (words[:-1] != 0) & (words[1:] != 0)
+            tree.count(words, total, np.flatnonzero(here & (_pairs(words) % tries == k) if tries > 1 else here))
+
         for batch in batches:
             held.append(_words(batch))
             n += len(held[-1])
             if n > MOST_PLACES:
-                tree.count(np.concatenate(held), total)
+                count()
                 held, n = [], 0
-        tree.count(np.concatenate([np.empty(0, np.int64), *held]), total)
-        for phrases, state in zip(tree.phrases, tree.accepting, strict=True):
-            met = np.flatnonzero(total[state])
-            for at in np.split(met, range(1 << 16, len(met), 1 << 16)):
-                own = np.ascontiguousarray(phrases[at])
-                size = phrases.shape[1]
-                listed = pa.ListArray.from_arrays(np.arange(0, size * len(own) + 1, size, dtype=np.int32), pa.array(own.ravel()))
-                yield pa.RecordBatch.from_arrays([listed, pa.array(total[state[at]])], ["phrase", "n"])
+        count()
+        states = np.concatenate(tree.accepting)
+        states = states[total[states] > 0]
+        yield pa.RecordBatch.from_arrays([pa.array(states.astype(np.int32)), pa.array(total[states])], ["state", "n"])
         pa.default_memory_pool().release_unused()
 
     return run
 
 
+def _spelled(trie):
+    """(state, a) to (phrase, a)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree: DoubleArray = trie.value
+        place = np.zeros(len(tree.check), np.int32)
+        for states in tree.accepting:
+            place[states] = np.arange(len(states))
+        size = np.zeros(len(tree.check), np.int8)
+        for phrases, states in zip(tree.phrases, tree.accepting, strict=True):
+            size[states] = phrases.shape[1]
+        for batch in batches:
+            state = batch.column("state").to_numpy()
+            for phrases in tree.phrases:
+                own = np.flatnonzero(size[state] == phrases.shape[1])
+                yield pa.RecordBatch.from_arrays([_listed(phrases[place[state[own]]]), batch.column("a").take(pa.array(own))], ["phrase", "a"])
+
+    return run
+
+
 def _filter(hashes: DataFrame, column: str):
     """A broadcast filter with the low bits of a column of a written table."""
     bits = min(MOST_BITS, max(LEAST_BITS, (32 * hashes.count()).bit_length()))
@@ -243,19 +277,19 @@ def phrase_counts(docs: DataFrame, least: int = 10, longest: int = 3, text: str
         safe.append(materialise(sums.filter(F.col("n") >= least).select("bucket"), "buckets"))
         filters.append(_filter(safe[-1], "bucket"))
     for size, buckets in enumerate(safe, start=2):
-        emitted = texts.mapInArrow(_candidates(size, filters[: size - 1], bucket_bits), "phrase array<bigint>, bucket bigint")
-        found.append(emitted.distinct().join(buckets, "bucket", "left_semi").select("phrase", F.lit(size).alias("size")))
+        emitted = texts.mapInArrow(_candidates(size, filters[: size - 1], bucket_bits), "phrase array<bigint>, pair bigint, bucket bigint")
+        distinct = emitted.repartition("bucket").distinct()  # of one bucket: no other shuffle
+        found.append(distinct.join(buckets, "bucket", "left_semi").select("phrase", "pair", F.lit(size).alias("size")))
     listed = found[0]
     for more in found[1:]:
         listed = listed.unionByName(more)
     candidates = materialise(listed, "candidates")
-    shards = -(-candidates.count() // MOST_IN_TRIE)
+    tries = max(1, -(-candidates.count() // MOST_IN_TRIE))
     counts = []
-    for k in range(max(1, shards)):
-        own = candidates.filter(F.pmod(F.xxhash64("phrase"), F.lit(max(1, shards))) == k)
-        trie = spark.sparkContext.broadcast(_trie(own, longest))
-        sums = texts.mapInArrow(_counted(trie), "phrase array<bigint>, n bigint").groupBy("phrase").agg(F.sum("n").alias("a"))
-        counts.append(materialise(sums.filter(F.col("a") >= least), "phrases"))
+    for k in range(tries):
+        trie = spark.sparkContext.broadcast(_trie(candidates.filter(F.col("pair") % tries == k), longest))
+        sums = texts.mapInArrow(_counted(trie, k, tries), "state int, n bigint").groupBy("state").agg(F.sum("n").alias("a"))
+        counts.append(materialise(sums.filter(F.col("a") >= least).mapInArrow(_spelled(trie), "phrase array<bigint>, a bigint"), "phrases"))
         trie.unpersist()
     for used in (frequent, *filters):
         used.unpersist()

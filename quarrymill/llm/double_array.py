@@ -97,22 +97,30 @@ class DoubleArray:
             self._keep(states, own, parent[own], digit[own], slots[fits])
             edges = edges[~fits]
 
-    def count(self, text: np.ndarray, counts: np.ndarray) -> None:
-        """Add to ``counts`` how often each state is reached from all places of ``text`` (hashes; 0 is
-        a break)."""
+    def symbol(self, words: np.ndarray) -> np.ndarray:
+        """The symbols of words, 0 for words of no phrase and for 0."""
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where((self.words[at] == words) & (words != 0), self.symbols[at], 0)
+
+    def count(self, text: np.ndarray, counts: np.ndarray, place: np.ndarray | None = None) -> None:
+        """Add to ``counts`` how often each state is reached from the places of ``text`` (hashes; 0 is
+        a break), from all of them or those in ``place``."""
         n = len(text)
         if not n or not self.depth:
             return
-        at = np.minimum(np.searchsorted(self.words, text), len(self.words) - 1)
-        symbol = np.where((self.words[at] == text) & (text != 0), self.symbols[at], 0)
-        place = np.flatnonzero(symbol)
-        state = symbol[place]
-        live = self.check[state] == 0
+        place = np.arange(n) if place is None else place
+        if 3 * len(place) > n:  # then all words are looked up once
+            known = self.symbol(text)
+            symbol = known.__getitem__
+        else:
+            symbol = lambda at: self.symbol(text[at])
+        state = symbol(place)
+        live = (state > 0) & (self.check[state] == 0)
         place, state = place[live], state[live]
         for level in range(1, self.depth):
             inside = place + level < n
             place, state = place[inside], state[inside]
-            by = symbol[place + level]
+            by = symbol(place + level)
             there = by > 0
             for k in self.shifts:
                 to = self.base[state] + ((by >> k) & (DIGITS - 1))
