@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from quarrymill.llm.batches import small
 from quarrymill.llm.memory import Recent
+from quarrymill.llm.sizes import sized
 from quarrymill.session import table
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -37,6 +38,11 @@ MOST_POSITIVES, MOST_UNLABELLED = 20_000, 40_000
 #: A feature is used from this many positives and this z score (positives against unlabelled).
 LEAST_POSITIVES, LEAST_Z = 3, 5.0
 THRESHOLD, LEAST_PRIOR = 0.3, 1e-4
+#: The most that a text without a feature of the model scores: nothing speaks against it.
+MOST_WITHOUT = THRESHOLD / 2
+#: A prior is estimated where at least this share of the positives score; the labelled share is
+#: taken as long as it is not so many times that estimate.
+LEAST_ABOVE, FAR_FROM = 0.5, 2.5
 #: Words whose features a task remembers, and fewer where it keeps all features of a word.
 REMEMBERED, REMEMBERED_WHOLE = 100_000, 40_000
 STEPS, RATE, L2, BACK = 400, 0.1, 1e-4, 1.0
@@ -125,14 +131,38 @@ def fit(rows: pa.Table, kept: list[int], prior: float) -> Model:
     return Model(float(bias), {f: float(theta[k]) for f, k in at.items()}, prior)
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The largest share of positives that the scores allow among the unlabelled rows: of those above
+    a cut, positives can't be more than all. The tightest cut counts that `LEAST_ABOVE` of the
+    positives reach."""
+    cuts = np.unique(positive)
+    above_p = 1 - np.searchsorted(np.sort(positive), cuts) / len(positive)
+    above_u = 1 - np.searchsorted(np.sort(unlabelled), cuts) / len(unlabelled)
+    return float((above_u / above_p)[above_p >= LEAST_ABOVE].min())
+
+
+def fitted(rows: pa.Table, kept: list[int], share: float) -> Model:
+    """`fit` at the labelled ``share`` of positives, and anew at the estimated one if that share can't
+    be that of all rows, since more of the toxic ones were labelled."""
+    model = fit(rows, kept, share)
+    positive = rows["positive"].to_numpy().astype(bool)
+    if positive.all() or not positive.any():
+        return model
+    z = np.array([sum(model.weights[f] for f in found) for found in rows["found"].to_pylist()])
+    estimate = min(0.9, max(LEAST_PRIOR, class_prior(z[positive], z[~positive])))
+    return model if share <= FAR_FROM * estimate else fit(rows, kept, estimate)
+
+
 def train(
-    texts: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "toxic", prior: float | None = None
-) -> Model:
+    texts: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "toxic", prior: float | None = None,
+    most_positives: int = MOST_POSITIVES, most_unlabelled: int = MOST_UNLABELLED,
+) -> Model:
     """A model from confirmed positives (``label`` 1 in ``labels``) and from ``texts`` without
     labels. ``prior`` is the share of positives among all texts; without it that among the labelled
-    rows is taken, which is right only if rows were not picked for labelling by their toxicity.
+    rows is taken, unless the scores of unlabelled text show that toxic rows were labelled more often
+    (see `fitted`).
 
-    The samples hold at most about ``MOST_POSITIVES`` and ``MOST_UNLABELLED`` rows, chosen by a
+    The samples hold at most about ``most_positives`` and ``most_unlabelled`` rows, chosen by a
     hash of the id; all of them while there are no more. Null texts count as empty; rows with a
     null label are unlabelled; ids that repeat in ``labels`` count as positive when one of them is.
     Very long texts are read whole, and other columns are not read. Without positives, or without
@@ -144,18 +174,18 @@ def train(
     seen = rows.select("_id").join(marked, "_id", "left").agg(
         F.count(F.lit(1)).alias("n"), F.count("_label").alias("known"), F.count_if(F.col("_label") == 1).alias("p")
     ).first()
-    prior = min(0.9, max(LEAST_PRIOR, seen["p"] / max(1, seen["known"]) if prior is None else prior))
-    nothing = Model(float(np.log(LEAST_PRIOR / (1 - LEAST_PRIOR))), {}, prior)
+    share = min(0.9, max(LEAST_PRIOR, seen["p"] / max(1, seen["known"]) if prior is None else prior))
+    nothing = Model(float(np.log(LEAST_PRIOR / (1 - LEAST_PRIOR))), {}, share)
     if not seen["p"]:
         return nothing
     part = lambda most, n: F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(min(1.0, most / max(1, n)) * (1 << 20)) + 1
-    confirmed = F.broadcast(marked.filter("_label = 1").select("_id").filter(part(MOST_POSITIVES, seen["p"])))  # by that bound
+    confirmed = sized(marked.filter("_label = 1").select("_id").filter(part(most_positives, seen["p"])))
     positives = rows.join(confirmed, "_id", "left_semi")
-    unlabelled = rows.filter(part(MOST_UNLABELLED, seen["n"]))
+    unlabelled = rows.filter(part(most_unlabelled, seen["n"]))
     sample = positives.select(F.lit(True).alias("positive"), "body").unionByName(
         unlabelled.select(F.lit(False).alias("positive"), "body")
     )
-    n_p, n_u = F.lit(float(min(seen["p"], MOST_POSITIVES))), F.lit(float(min(seen["n"], MOST_UNLABELLED)))
+    n_p, n_u = F.lit(float(min(seen["p"], most_positives))), F.lit(float(min(seen["n"], most_unlabelled)))
     counts = sample.mapInArrow(_counts, "feature bigint, p bigint, u bigint").groupBy("feature").agg(
         F.sum("p").alias("p"), F.sum("u").alias("u")
     )
@@ -167,13 +197,13 @@ def train(
     if not kept:
         return nothing
     matrix = sample.mapInArrow(_rows(frozenset(kept)), "positive boolean, found array<int>")
-    return fit(matrix.toArrow(), kept, prior)
+    return fitted(matrix.toArrow(), kept, share) if prior is None else fit(matrix.toArrow(), kept, share)
 
 
 def with_scores(docs: DataFrame, model: Model, column: str = "score", text: str = "text") -> DataFrame:
     """``docs`` and ``column``: the model's probability that the row's whole text is toxic.
 
-    A null or empty text gets the score of a text without features; very long texts are read
+    A text without features of the model, be it null or empty, scores `MOST_WITHOUT` at most; very long texts are read
     whole; rows that repeat are scored each by itself; an empty table gives an empty result. Other
     columns, ids included, pass as they are; ``column`` is to be a new name.
     """
@@ -182,8 +212,10 @@ def with_scores(docs: DataFrame, model: Model, column: str = "score", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_word = Recent(lambda w: tuple(x for x in word_features(w) if x in weights), REMEMBERED).__getitem__
         for batch in small(batches):
-            z = [sum(map(weights.__getitem__, sorted(features(t or "", of_word)))) + bias for t in batch.column(place).to_pylist()]
-            found = 1 / (1 + np.exp(-np.clip(np.array(z, float), -500, 500)))
+            own = [sorted(features(t or "", of_word)) for t in batch.column(place).to_pylist()]
+            z = np.array([sum(map(weights.__getitem__, x)) + bias for x in own], float)
+            found = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+            found = np.where([not x for x in own], np.minimum(found, MOST_WITHOUT), found)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, column])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(column, T.DoubleType())]))
