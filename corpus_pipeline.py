@@ -27,11 +27,15 @@ def identified(docs: DataFrame) -> tuple[DataFrame, str]:
     Parquet file yet are written first.
     """
     name = new_name(docs, "_key")
-    key = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias(name)
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        place = rows.metadataColumn("_metadata")  # also where a column of the rows has this name
+        return rows.select("*", F.struct(F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at")).alias(name))
+
     try:
-        return docs.select("*", key), name
+        return keyed(docs), name
     except AnalysisException:
-        return materialise(docs, "docs").select("*", key), name
+        return keyed(materialise(docs, "docs")), name
 
 
 def without(docs: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
