@@ -133,3 +133,15 @@ def test_line_dedup_odd(odd, empty):
     got = {(r.doc_id, r.n_lines, tuple(r.removed)) for r in line_dedup.line_dedup(odd).collect()}
     assert (0, 1, ()) in got and (2, 2, ()) in got and (4, 1, (0,)) in got and (None, 1, ()) in got
     assert line_dedup.line_dedup(empty).count() == 0
+
+
+def test_lines_of_rows_that_repeat_an_id(spark):
+    """Rows (1, A), (1, B) and a near copy of each: all of a row's own lines are compared."""
+    a, b = (" ".join(f"{c}{k}" for k in range(20)) for c in "ab")
+    rows = [(1, f"{a}\nx y z"), (1, f"q\n{b}"), (3, f"{b} more\nnew"), (4, f"{a} more"), (None, "x y z"), (3, f"{b} more\nnew")]
+    docs = spark.createDataFrame([(*r, "i", "r", "t") for r in rows], "doc_id bigint, text string, _id string, _removed string, removed string").repartition(3)
+    got = sorted((r.doc_id or 0, r.n_lines, r.removed) for r in line_dedup.line_dedup(docs).collect())
+    assert got == [(0, 1, []), (1, 2, []), (1, 2, [1]), (3, 2, [0]), (3, 2, [0]), (4, 1, [0])]
+    kept = line_dedup.remove(docs, line_dedup.line_dedup(docs))
+    assert kept.columns == docs.columns and {r._id for r in kept.collect()} == {"i"}
+    assert {r.text for r in kept.collect() if r.doc_id == 3} == {"new"} and [r.text for r in kept.collect() if r.doc_id == 4] == [""]

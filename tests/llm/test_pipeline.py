@@ -54,3 +54,15 @@ def test_nothing_to_learn_from_drops_nothing(spark, make, empty, tmp_path):
     assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == 4
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_columns_of_clashing_names(spark, make, tmp_path):
+    """Names that the stages or the file reader use themselves."""
+    texts = ["same text here", "same text here", " ".join(f"n{k}" for k in range(60)), " ".join(f"n{k}" for k in range(60)) + " more", None]
+    docs = make(texts).withColumns({c: F.lit(7) for c in ("_metadata", "_key", "_n", "_first", "kept", "file", "at")})
+    docs.write.parquet(str(tmp_path / "docs.parquet"))
+    for rows in (docs, spark.read.parquet(str(tmp_path / "docs.parquet"))):
+        unique = corpus_pipeline.drop_copies(spark, rows, str(tmp_path))
+        assert sorted(r.doc_id for r in unique.collect()) == [1, 2, 3, 4] and unique.columns == docs.columns
+        near = corpus_pipeline.drop_near_copies(spark, rows, str(tmp_path))
+        assert sorted(r.doc_id for r in near.collect()) == [0, 2, 4] and {r["_metadata"] for r in near.collect()} == {7}
