@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrymill.functions.text import tokens
@@ -69,18 +69,20 @@ def result_rows(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def exchanges(spark: SparkSession, sf: str) -> DataFrame:
-    """``conversations``: each assistant turn as an answer to the turn before, with all turns
-    before as contexts and citations by turn."""
-    c = table(spark, sf, "conversations")
-    from pyspark.sql import Window
-
-    so_far = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+def replies(spark: SparkSession, sf: str) -> DataFrame:
+    """``conversations``: each assistant turn as an answer to the turn before, with citations by turn."""
     previous = Window.partitionBy("conv_id").orderBy("turn")
-    rows = c.withColumns({"contexts": F.collect_list("text").over(so_far), "question": F.lag("text").over(previous)})
+    rows = table(spark, sf, "conversations").withColumn("question", F.lag("text").over(previous))
     rows = rows.filter((F.col("role") == "assistant") & F.col("question").isNotNull())
     cited = F.slice(F.array(((F.col("turn") % 3) + 1).cast("int"), F.lit(0), F.lit(1)), 1, (F.col("turn") % 4).cast("int"))
-    return rows.select("conv_id", "turn", "question", F.col("text").alias("answer"), "contexts", cited.alias("citations"))
+    return rows.select("conv_id", "turn", "question", F.col("text").alias("answer"), cited.alias("citations"))
+
+
+def exchanges(spark: SparkSession, sf: str) -> DataFrame:
+    """`replies` with all turns before as contexts, for prompts that hold them."""
+    so_far = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    before = table(spark, sf, "conversations").select("conv_id", "turn", F.collect_list("text").over(so_far).alias("contexts"))
+    return replies(spark, sf).join(before, ["conv_id", "turn"])
 
 
 def hashed_vectors(df: DataFrame, key: str, text: str) -> DataFrame:

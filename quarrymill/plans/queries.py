@@ -227,13 +227,13 @@ def chunk_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def grounding_(spark: SparkSession, sf: str) -> DataFrame:
-    found = grounding.grounding(A.exchanges(spark, sf))
+    found = grounding.grounding_by_turn(table(spark, sf, "conversations"), A.replies(spark, sf))
     shares = [F.round(c, 9).alias(c) for c in ("faithfulness", "hallucination_rate", "mean_relevance", "max_relevance")]
     return found.select("conv_id", "turn", "n_claims", "n_supported", "n_unsupported", "uncited", *shares)
 
 
 def text_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    rows = A.exchanges(spark, sf)
+    rows = A.replies(spark, sf)
     return rows.agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.avg(overlap.exact_match(F.col("answer"), F.col("question"))), 9).alias("exact_match"),
@@ -252,7 +252,7 @@ def generation_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bleu(spark: SparkSession, sf: str) -> DataFrame:
-    rows = A.exchanges(spark, sf)
+    rows = A.replies(spark, sf)
     return rows.select("conv_id", "turn", F.round(overlap.bleu_score("answer", "question"), 9).alias("bleu"))
 
 
@@ -291,7 +291,7 @@ def _option_model():
 
 
 def bleu_rouge(spark: SparkSession, sf: str) -> DataFrame:
-    rows = A.exchanges(spark, sf)
+    rows = A.replies(spark, sf)
     return rows.select("conv_id", "turn", overlap.bleu_score("answer", "question").alias("bleu"), overlap.rouge_l_score("answer", "question").alias("rouge_l"))
 
 
