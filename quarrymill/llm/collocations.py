@@ -2,8 +2,9 @@
 
 Words are 64-bit hashes seeded by their language, so one trie serves all languages. Texts are cut
 into words once and written as arrays of hashes, in which infrequent words are breaks. Candidates
-are Apriori-safe: a phrase is one if its parts may be frequent and if the sum of its hash bucket
-over all texts reaches the threshold, neither of which a frequent phrase can fail. Double-array
+are Apriori-safe: a phrase is one if its parts may be frequent and if the sum of its hash over all
+texts reaches the threshold, neither of which a frequent phrase can fail. Of the parts of the
+written texts that have it, only the first one hands its words on. Double-array
 tries of a bounded number of candidates each are broadcast; in a task all places advance through
 a trie level by level, accepting states are counted, and the tasks' counts are summed by phrase.
 """
@@ -34,11 +35,12 @@ MOST_IN_TRIE = 1 << 20
 #: Filters of words and phrases that may be frequent have some 32 bits for each, as a power of two,
 #: but between these (4 kB and 32 MB, at any input size; a full filter lets more candidates pass).
 LEAST_BITS, MOST_BITS = 15, 28
-#: Buckets of phrases, as bits of their hash. Phrases that share one are counted apart by the trie.
-BUCKET_BITS = 32
 #: Words a task remembers; distinct words and phrase places after which it hands on what it counted.
 REMEMBERED, MOST_WORDS, MOST_PLACES = 100_000, 200_000, 1 << 20
 
+#: Spreads the numbers of parts over a filter (a fixed odd number).
+SPREAD = np.int64(1540483477)
+
 _MARK = bytes.maketrans(ENDS, b"." * len(ENDS))
 
 
@@ -108,20 +110,26 @@ def _pairs(words: np.ndarray) -> np.ndarray:
     return (mixed(h[:-1] * STEP + h[1:]) >> np.uint64(40)).astype(np.int64)
 
 
-def _words(batch: pa.RecordBatch) -> np.ndarray:
-    """The hashes of all texts of a batch; each text ends with 0 or is empty."""
-    column = batch.column(0)
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """Parts of the written texts and the hashes of their texts, some texts at a time."""
+    for batch in batches:
+        part = batch.column("part").to_numpy()
+        first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
+        for start, stop in zip(first, np.append(first[1:], len(part)), strict=True):
+            yield int(part[start]), _words(batch.column("words").slice(start, stop - start))
+
+
+def _words(column: pa.Array) -> np.ndarray:
+    """The hashes of all texts of a column; each text ends with 0 or is empty."""
     if not len(column):
         return np.empty(0, np.int64)
     ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)
     return np.frombuffer(column.buffers()[2] or b"", np.int64, (ends[-1] - ends[0]) // 8, ends[0])
 
 
-def _windows(words: np.ndarray, size: int, filters: list, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of windows of ``size`` words that may be frequent, and their buckets (``bits`` of a
-    hash). ``filters`` holds those of windows of two words and more, as far as they are known: both
-    parts of a window that are a word shorter have to pass (and the window itself, where its own
-    filter is there)."""
+def _windows(words: np.ndarray, size: int, filters: list) -> tuple[np.ndarray, np.ndarray]:
+    """Places of windows of ``size`` words that may be frequent, and their hashes: both parts of a
+    window that are a word shorter have to pass ``filters`` (of windows of two words, three, ...)."""
     here = words != 0
     h = mixed(words.view(np.uint64))
     place = np.flatnonzero(here)
@@ -132,34 +140,39 @@ def _windows(words: np.ndarray, size: int, filters: list, bits: int) -> tuple[np
         if k > 2:  # both parts passed
             place = place[passed[place] & passed[place + 1]]
         code[place] = mixed(code[place] * STEP + h[place + k - 1])
-        if k - 2 < len(filters):
-            place = place[_kept(filters[k - 2].value, code[place] & np.uint64((1 << bits) - 1))]
+        if k < size:
+            place = place[_kept(filters[k - 2].value, code[place].view(np.int64))]
             passed = np.zeros(len(words), bool)
             passed[place] = True
-    return place, (code[place] & np.uint64((1 << bits) - 1)).view(np.int64)
+    return place, code[place].view(np.int64)
 
 
-def _buckets(size: int, filters: list, bits: int):
-    """Arrays of words to (bucket, n) of their windows."""
+def _sums(size: int, filters: list):
+    """Arrays of words to (code, part, n): how often each window is in the part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            place, buckets = _windows(_words(batch), size, filters, bits)
-            held.append(buckets)
-            n += len(place)
-            if n > MOST_PLACES:
-                yield _summed(held)
-                held, n = [], 0
-        yield _summed(held)
+        here, held, n = None, [], 0
+        for part, words in _parts(batches):
+            if part != here or n > MOST_PLACES:
+                yield _summed(here, held)
+                here, held, n = part, [], 0
+            held.append(_windows(words, size, filters)[1])
+            n += len(held[-1])
+        yield _summed(here, held)
         pa.default_memory_pool().release_unused()
 
     return run
 
 
-def _summed(held: list[np.ndarray]) -> pa.RecordBatch:
+def _summed(part: int | None, held: list[np.ndarray]) -> pa.RecordBatch:
     found, times = np.unique(np.concatenate([np.empty(0, np.int64), *held]), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(found), pa.array(times.astype(np.int64))], ["bucket", "n"])
+    columns = [pa.array(found), pa.array(np.full(len(found), part or 0, np.int32)), pa.array(times.astype(np.int64))]
+    return pa.RecordBatch.from_arrays(columns, ["code", "part", "n"])
+
+
+def _with_part(code, part):
+    """A number of a phrase's hash and a part, for a filter of both."""
+    return code ^ (np.int64(part) * SPREAD)
 
 
 def _listed(phrases: np.ndarray) -> pa.Array:
@@ -167,32 +180,28 @@ def _listed(phrases: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(np.arange(0, size * len(phrases) + 1, size, dtype=np.int32), pa.array(np.ascontiguousarray(phrases).ravel()))
 
 
-def _candidates(size: int, filters: list, bits: int):
-    """Arrays of words to the distinct windows of ``size`` words that pass all filters."""
+def _candidates(size: int, filters: list, witnesses):
+    """Arrays of words to the distinct windows of ``size`` words whose part is to hand them on."""
 
-    def distinct(held: list[np.ndarray], codes: list[np.ndarray]) -> pa.RecordBatch:
-        phrases = np.concatenate([np.empty((0, size), np.int64), *held])
-        code = np.concatenate([np.empty(0, np.int64), *codes])
-        order = np.lexsort(phrases.T)
-        phrases, code = phrases[order], code[order]
-        new = np.ones(len(phrases), bool)
-        new[1:] = (phrases[1:] != phrases[:-1]).any(axis=1)
-        phrases, code = np.ascontiguousarray(phrases[new]), code[new]
+    def distinct(part: int | None, held: list[np.ndarray], codes: list[np.ndarray]) -> pa.RecordBatch:
+        code, first = np.unique(np.concatenate([np.empty(0, np.int64), *codes]), return_index=True)
+        phrases = np.concatenate([np.empty((0, size), np.int64), *held])[first]
         pair = _pairs(np.append(phrases[:, :2].ravel(), 0))[::2]
-        return pa.RecordBatch.from_arrays([_listed(phrases), pa.array(pair), pa.array(code)], ["phrase", "pair", "bucket"])
+        columns = [_listed(phrases), pa.array(pair), pa.array(code), pa.array(np.full(len(code), part or 0, np.int32))]
+        return pa.RecordBatch.from_arrays(columns, ["phrase", "pair", "code", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, codes, n = [], [], 0
-        for batch in batches:
-            words = _words(batch)
-            place, code = _windows(words, size, filters, bits)
-            held.append(words[place[:, None] + np.arange(size)])
-            codes.append(code)
-            n += len(place)
-            if n > MOST_PLACES // size:
-                yield distinct(held, codes)
-                held, codes, n = [], [], 0
-        yield distinct(held, codes)
+        here, held, codes, n = None, [], [], 0
+        for part, words in _parts(batches):
+            if part != here or n > MOST_PLACES // size:
+                yield distinct(here, held, codes)
+                here, held, codes, n = part, [], [], 0
+            place, code = _windows(words, size, filters)
+            wanted = _kept(witnesses.value, _with_part(code, part))
+            held.append(words[place[wanted][:, None] + np.arange(size)])
+            codes.append(code[wanted])
+            n += len(codes[-1])
+        yield distinct(here, held, codes)
         pa.default_memory_pool().release_unused()
 
     return run
@@ -212,7 +221,7 @@ def _counted(trie, k: int, tries: int):
             tree.count(words, total, np.flatnonzero(here & (_pairs(words) % tries == k) if tries > 1 else here))
 
         for batch in batches:
-            held.append(_words(batch))
+            held.append(_words(batch.column("words")))
             n += len(held[-1])
             if n > MOST_PLACES:
                 count()
@@ -246,10 +255,10 @@ def _spelled(trie):
     return run
 
 
-def _filter(hashes: DataFrame, column: str):
+def _filter(hashes: DataFrame, column: Column):
     """A broadcast filter with the low bits of a column of a written table."""
     bits = min(MOST_BITS, max(LEAST_BITS, (32 * hashes.count()).bit_length()))
-    bit = F.col(column).bitwiseAND(F.lit((1 << bits) - 1)) + 1
+    bit = column.bitwiseAND(F.lit((1 << bits) - 1)) + 1
     parts = hashes.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
     held = np.zeros((1 << bits) // 8, np.uint8)
     for r in parts.toLocalIterator():
@@ -258,7 +267,7 @@ def _filter(hashes: DataFrame, column: str):
     return hashes.sparkSession.sparkContext.broadcast(held)
 
 
-def phrase_counts(docs: DataFrame, least: int = 10, longest: int = 3, text: str = "text", lang: str = "lang", bucket_bits: int = BUCKET_BITS) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, least: int = 10, longest: int = 3, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
     """Two written tables: ``lang, word, hash, n`` of all words, and ``phrase, a`` of all phrases of
     2 to ``longest`` words (arrays of hashes) that stand at least ``least`` times within pieces.
 
@@ -269,31 +278,34 @@ def phrase_counts(docs: DataFrame, least: int = 10, longest: int = 3, text: str
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     words = rows.mapInArrow(_word_counts, "lang string, word binary, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words = materialise(words.select("lang", "word", F.xxhash64("lang", "word").alias("hash"), "n"), "words")
-    frequent = _filter(words.filter(F.col("n") >= least), "hash")
-    texts = materialise(rows.mapInArrow(_hashed(frequent), "words binary"), "hashed-texts")
-    filters, safe, found = [], [], []
+    frequent = _filter(words.filter(F.col("n") >= least), F.col("hash"))
+    texts = rows.mapInArrow(_hashed(frequent), "words binary").withColumn("part", F.spark_partition_id())
+    texts = materialise(texts, "hashed-texts")
+    filters, safe, found = [frequent], [], []
     for size in range(2, longest + 1):
-        sums = texts.mapInArrow(_buckets(size, filters, bucket_bits), "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-        safe.append(materialise(sums.filter(F.col("n") >= least).select("bucket"), "buckets"))
-        filters.append(_filter(safe[-1], "bucket"))
-    for size, buckets in enumerate(safe, start=2):
-        emitted = texts.mapInArrow(_candidates(size, filters[: size - 1], bucket_bits), "phrase array<bigint>, pair bigint, bucket bigint")
-        distinct = emitted.repartition("bucket").distinct()  # of one bucket: no other shuffle
-        found.append(distinct.join(buckets, "bucket", "left_semi").select("phrase", "pair", F.lit(size).alias("size")))
+        shorter = filters[1:]
+        sums = texts.mapInArrow(_sums(size, shorter), "code bigint, part int, n bigint").groupBy("code")
+        sums = sums.agg(F.sum("n").alias("n"), F.min("part").alias("part"))
+        safe.append(materialise(sums.filter(F.col("n") >= least).select("code", "part"), "sums"))
+        filters.append(_filter(safe[-1], F.col("code")))
+        witnesses = _filter(safe[-1], F.col("code").bitwiseXOR(F.col("part").cast("bigint") * int(SPREAD)))
+        emitted = texts.mapInArrow(_candidates(size, shorter, witnesses), "phrase array<bigint>, pair bigint, code bigint, part int")
+        own = emitted.join(safe[-1], ["code", "part"], "left_semi").select("phrase", "pair").distinct()
+        found.append(materialise(own.withColumn("size", F.lit(size)), "candidates"))
+        witnesses.unpersist()
     listed = found[0]
     for more in found[1:]:
         listed = listed.unionByName(more)
-    candidates = materialise(listed, "candidates")
-    tries = max(1, -(-candidates.count() // MOST_IN_TRIE))
+    tries = max(1, -(-listed.count() // MOST_IN_TRIE))
     counts = []
     for k in range(tries):
-        trie = spark.sparkContext.broadcast(_trie(candidates.filter(F.col("pair") % tries == k), longest))
+        trie = spark.sparkContext.broadcast(_trie(listed.filter(F.col("pair") % tries == k), longest))
         sums = texts.mapInArrow(_counted(trie, k, tries), "state int, n bigint").groupBy("state").agg(F.sum("n").alias("a"))
         counts.append(materialise(sums.filter(F.col("a") >= least).mapInArrow(_spelled(trie), "phrase array<bigint>, a bigint"), "phrases"))
         trie.unpersist()
-    for used in (frequent, *filters):
+    for used in filters:
         used.unpersist()
-    release(texts, candidates, *safe)
+    release(texts, *found, *safe)
     counted = counts[0]
     for more in counts[1:]:
         counted = counted.unionByName(more)

@@ -38,10 +38,10 @@ def rows_of(df):
     return {(r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in df.collect()}
 
 
-@pytest.mark.parametrize("longest, bits, per_trie", [(3, 32, 1 << 20), (4, 32, 1 << 20), (3, 7, 150)])
-def test_equals_brute_force(spark, monkeypatch, longest, bits, per_trie):
-    """Also with buckets that many phrases share, and with several tries."""
-    monkeypatch.setattr(collocations.phrase_counts, "__defaults__", (*collocations.phrase_counts.__defaults__[:-1], bits))
+@pytest.mark.parametrize("longest, most_bits, per_trie", [(3, 28, 1 << 20), (4, 28, 1 << 20), (3, 15, 150)])
+def test_equals_brute_force(spark, monkeypatch, longest, most_bits, per_trie):
+    """Also with small filters, and with several tries."""
+    monkeypatch.setattr(collocations, "MOST_BITS", most_bits)
     monkeypatch.setattr(collocations, "MOST_IN_TRIE", per_trie)
     rng = np.random.default_rng(5)
     words = ["ab", "Ab", "É", "é", "x-y", "the", " ", "z\x1cz", "q", "r", "s", "t"]
