@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quarrymill.session import materialise, sized
 
 #: Rows of a block of vectors and of a tile of queries at most.
 BLOCK, TILE = 16_384, 4_096
 #: Questions whose cosines with a block are held at a time.
 STRIP = 64
 PLACES = 9
+#: Clusters of an index at most, and what bounds and cosines may differ by in their last places.
+MOST_CLUSTERS, SLACK = 1024, 1e-7
 
 
 def normalised(vector: Column) -> Column:
@@ -67,7 +75,13 @@ def retrieve(chunks: DataFrame, questions: DataFrame, k: int = 3, but_own: bool
         raise ValueError("a corpus needs at least one chunk")
     left = left.withColumn("block", part("pos", blocks)).withColumn("tile", every(tiles))
     right = right.withColumn("tile", part("question_id", tiles)).withColumn("block", every(blocks))
-    kinds = {f.name: f.dataType.simpleString() for f in [*questions.schema, *chunks.schema]}
+    return _ranked(_products(left, right, k, but_own), k)
+
+
+def _products(left: DataFrame, right: DataFrame, k: int, but_own: bool) -> DataFrame:
+    """The best k of each block of ``left`` (``block, tile, pos, chunk_id, v``) for each question of
+    ``right`` (``block, tile, question_id, v``) with its block and tile."""
+    kinds = {f.name: f.dataType.simpleString() for f in [*right.schema, *left.schema]}
 
     def local(block: pd.DataFrame, tile: pd.DataFrame) -> pd.DataFrame:
         names = ["question_id", "chunk_id", "pos", "score"]
@@ -91,12 +105,118 @@ def retrieve(chunks: DataFrame, questions: DataFrame, k: int = 3, but_own: bool
         return found[found["score"] != -np.inf]
 
     met = left.groupBy("block", "tile").cogroup(right.groupBy("block", "tile"))
-    kept = met.applyInPandas(local, f"question_id {kinds['question_id']}, chunk_id {kinds['chunk_id']}, pos bigint, score double")
+    return met.applyInPandas(local, f"question_id {kinds['question_id']}, chunk_id {kinds['chunk_id']}, pos bigint, score double")
+
+
+def _ranked(kept: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "pos")
     ranked = kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("question_id", "chunk_id", "pos", "rank", "score")
 
 
+@dataclass(frozen=True)
+class Clusters:
+    """``vectors`` (``pos, chunk_id, v, cluster``; unit length), and for each cluster its centre, the
+    largest angle of a member to it, and its size. There are `MOST_CLUSTERS` of them at most."""
+
+    vectors: DataFrame
+    centres: np.ndarray
+    radius: np.ndarray
+    size: np.ndarray
+
+
+def cluster(chunks: DataFrame) -> Clusters:
+    """Vectors (``pos, chunk_id, embedding``) by the nearest of about as many centres as the root of
+    their number; centres are vectors of the corpus, picked by a hash. An empty corpus and vectors
+    of several sizes are errors. Zero vectors stand at a right angle to all centres."""
+    spark, n = chunks.sparkSession, chunks.count()
+    if not n:
+        raise ValueError("a corpus needs at least one chunk")
+    unit = chunks.select(F.col("pos").cast("bigint").alias("pos"), "chunk_id", normalised(F.col("embedding")).alias("v"))
+    picked = unit.orderBy(F.xxhash64("pos"), "pos").limit(min(MOST_CLUSTERS, math.isqrt(n - 1) + 1)).select("v").collect()
+    if len({len(r["v"]) for r in picked}) > 1:
+        raise ValueError("vectors of an index are of one size")
+    centres = np.array([r["v"] for r in picked], float)
+    sent = spark.sparkContext.broadcast(centres)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                lists = part.column("v")
+                if len(set(lists.value_lengths().to_pylist()) - {sent.value.shape[1]}):
+                    raise ValueError("vectors of an index are of one size")
+                v = lists.flatten().to_numpy().reshape(len(part), -1)
+                cosine = v @ sent.value.T
+                own = cosine.argmax(axis=1)
+                angle = np.arccos(np.clip(cosine[np.arange(len(v)), own], -1, 1))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own.astype(np.int32)), pa.array(angle)], [*part.schema.names, "cluster", "angle"])
+
+    schema = T.StructType([*unit.schema, T.StructField("cluster", T.IntegerType()), T.StructField("angle", T.DoubleType())])
+    vectors = materialise(unit.mapInArrow(nearest, schema), "clusters")
+    radius, size = np.zeros(len(centres)), np.zeros(len(centres), np.int64)
+    for r in vectors.groupBy("cluster").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n")).collect():  # a row for each
+        radius[r["cluster"]], size[r["cluster"]] = r["radius"], r["n"]
+    return Clusters(vectors.drop("angle"), centres, radius, size)
+
+
+def retrieve_pruned(clusters: Clusters, questions: DataFrame, k: int = 3, but_own: bool = False) -> tuple[DataFrame, DataFrame]:
+    """As `retrieve`, over clustered vectors, and ``question_id, vectors, vectors_read``: the
+    vectors there are, and those whose cosine was computed.
+
+    By the triangle inequality of angles no member of a cluster is closer to a question than the
+    question's angle to the centre less the cluster's radius. The closest clusters that hold enough
+    vectors are taken first; their k-th best cosine proves away the clusters that can't reach it.
+    """
+    if k <= 0:
+        raise ValueError("k must be positive")
+    wanted = k + but_own
+    asked = materialise(questions.select("question_id", normalised(F.col("embedding")).alias("v")), "questions")
+    sent = asked.sparkSession.sparkContext.broadcast((clusters.centres, clusters.radius, clusters.size))
+
+    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, radius, size = sent.value
+        full = np.flatnonzero(size)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                lists = part.column("v")
+                if len(set(lists.value_lengths().to_pylist()) - {centres.shape[1]}):
+                    raise ValueError("query embedding dimension does not match the index")
+                cosine = lists.flatten().to_numpy().reshape(len(part), -1) @ centres[full].T
+                apart = np.arccos(np.clip(cosine, -1, 1)) - radius[full]
+                best = np.cos(np.maximum(apart, 0))
+                order = np.argsort(-best, axis=1, kind="stable")
+                held = np.cumsum(size[full][order], axis=1)
+                first = np.empty(best.shape, bool)
+                np.put_along_axis(first, order, held - size[full][order] < wanted, axis=1)
+                row = np.repeat(np.arange(len(part)), len(full))
+                columns = [part.column("question_id").take(pa.array(row)), pa.array(np.tile(full, len(part)).astype(np.int32)), pa.array(best.ravel()), pa.array(first.ravel())]
+                yield pa.RecordBatch.from_arrays(columns, ["question_id", "cluster", "bound", "first"])
+
+    kind = asked.schema["question_id"].dataType.simpleString()
+    pairs = materialise(asked.mapInArrow(bounds, f"question_id {kind}, cluster int, bound double, first boolean"), "bounds")
+    slots = F.element_at(F.array(*[F.lit(int(max(1, -(-n // BLOCK)))) for n in clusters.size]), F.col("cluster") + 1)
+    tiles = max(1, -(-asked.count() // TILE))
+    number = lambda slot: F.col("cluster").cast("bigint") * (1 << 32) + slot
+    left = clusters.vectors.withColumn("block", number(F.pmod(F.xxhash64("pos"), slots))).withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+
+    def visited(some: DataFrame) -> DataFrame:
+        right = some.join(asked, "question_id").withColumn("slot", F.explode(F.sequence(F.lit(0), slots - 1)))
+        right = right.select("question_id", "v", number(F.col("slot")).alias("block"), F.pmod(F.xxhash64("question_id"), F.lit(tiles)).cast("int").alias("tile"))
+        blocks = sized(right.select("block").distinct(), "blocks")
+        return materialise(_products(left.join(blocks, "block", "left_semi").select("pos", "chunk_id", "v", "block", "tile"), right, k, but_own), "best")
+
+    seen = visited(pairs.filter("first"))
+    kth = sized(_ranked(seen, k).filter(F.col("rank") == k).select("question_id", F.col("score").alias("threshold")), "thresholds")
+    rest = pairs.filter("not first").join(kth, "question_id", "left").filter(F.col("threshold").isNull() | (F.col("bound") >= F.col("threshold") - SLACK))
+    rest = materialise(rest.select("question_id", "cluster"), "rest")
+    size = F.element_at(F.array(*[F.lit(int(n)) for n in clusters.size]), F.col("cluster") + 1)
+    read = pairs.filter("first").select("question_id", "cluster").unionByName(rest)
+    reads = read.groupBy("question_id").agg(F.sum(size).alias("vectors_read")).select("question_id", F.lit(int(clusters.size.sum())).alias("vectors"), "vectors_read")
+    return _ranked(seen.unionByName(visited(rest)), k), reads
+
+
 def fuse(first: DataFrame, second: DataFrame, k: int, constant: int = 60, by: tuple[str, ...] = ("question_id",)) -> DataFrame:
     """Reciprocal-rank fusion of two rankings (``*by, chunk_id, rank``), each cut at k: the score is
     the sum of 1 / (constant + rank), ties by ``chunk_id`` as a string."""
@@ -123,8 +243,6 @@ def pack_results(ranked: DataFrame, texts: DataFrame) -> DataFrame:
 def embed(df: DataFrame, text: str, make: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = 32) -> DataFrame:
     """``df`` with ``embedding``: ``make`` is called once per partition and gives a function from a
     list of texts to vectors. Blank texts, missing vectors and uneven sizes are errors."""
-    from pyspark.sql import types as T
-
     schema = T.StructType([*df.schema, T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -458,3 +458,4 @@ ORACLES: dict[str, str] = {
                regexp_replace(lang || '/ ' || source, '[^\\w.-]', '_', 'g') AS name
         FROM documents JOIN s USING (doc_id)""",
 }
+ORACLES["dense_pruned_topk"] = ORACLES["dense_topk"]

@@ -48,6 +48,15 @@ def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
     return dense.retrieve(corpus, asked, TOP, but_own=True).select("question_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
+def dense_pruned_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The same over clustered vectors, with the clusters that can't matter left out."""
+    e = table(spark, sf, "embeddings")
+    corpus = e.select(F.col("vec_id").alias("pos"), F.col("vec_id").cast("string").alias("chunk_id"), "embedding")
+    asked = e.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("question_id"), "embedding")
+    found, _ = dense.retrieve_pruned(dense.cluster(corpus), asked, TOP, but_own=True)
+    return found.select("question_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
 def embedding_checks(spark: SparkSession, sf: str) -> DataFrame:
     return dense.vector_checks(table(spark, sf, "embeddings"))
 
@@ -387,6 +396,7 @@ QUERIES = {
     "bm25_topk": bm25_topk,
     "bm25_index_stats": bm25_index_stats,
     "dense_topk": dense_topk,
+    "dense_pruned_topk": dense_pruned_topk,
     "embedding_checks": embedding_checks,
     "hybrid_rrf": hybrid_rrf,
     "topk_sweep": topk_sweep,

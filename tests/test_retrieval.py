@@ -175,3 +175,27 @@ def test_best_scores_in_order():
     for _ in range(200):
         scores, k = rng.integers(0, 5, rng.integers(1, 30)).astype(float), int(rng.integers(1, 9))
         assert dense._first_best(scores, k).tolist() == np.argsort(-scores, kind="stable")[:k].tolist()
+
+
+@pytest.mark.parametrize("k, most, block", [(3, 1024, 16_384), (7, 5, 40), (400, 1024, 16_384)])
+def test_pruned_cosines_are_exact(spark, monkeypatch, k, most, block):
+    """The rows of the block product, ties, zero vectors and large clusters included."""
+    monkeypatch.setattr(dense, "MOST_CLUSTERS", most)
+    rng = np.random.default_rng(19)
+    centres = rng.normal(size=(12, 6))
+    vectors = np.concatenate([centres[rng.integers(12, size=340)] + rng.normal(scale=0.05, size=(340, 6)), np.zeros((3, 6)), -centres[:2]])
+    vectors[50:60] = vectors[50]
+    chunks = spark.createDataFrame([(i, f"c{i}", v.tolist()) for i, v in enumerate(vectors)], "pos bigint, chunk_id string, embedding array<double>").repartition(3)
+    asked = [(i, (vectors[i] * 3).tolist()) for i in (0, 50, 55, 120, 341)] + [(1000, rng.normal(size=6).tolist())]
+    questions = spark.createDataFrame(asked, "question_id bigint, embedding array<double>")
+    rows = lambda df: sorted((r.question_id, r["rank"], r.chunk_id, r.pos, round(r.score, 8)) for r in df.collect())
+    want = rows(dense.retrieve(chunks, questions, k, but_own=True))
+    monkeypatch.setattr(dense, "BLOCK", block)
+    found, reads = dense.retrieve_pruned(dense.cluster(chunks), questions, k, but_own=True)
+    assert rows(found) == want
+    read = {r.question_id: (r.vectors, r.vectors_read) for r in reads.collect()}
+    assert set(read) == {q for q, _ in asked} and all(n == 345 for n, _ in read.values())
+    if k == 3:
+        assert read[120][1] < 0.6 * 345  # its own cluster and its neighbours
+    with pytest.raises(Exception, match="dimension does not match"):
+        dense.retrieve_pruned(dense.cluster(chunks), spark.createDataFrame([(1, [1.0])], "question_id bigint, embedding array<double>"))[0].collect()
