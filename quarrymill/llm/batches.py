@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,3 +17,13 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Rec
         for start in range(0, max(1, batch.num_rows), rows):
             yield batch.slice(start, rows)
     pa.default_memory_pool().release_unused()
+
+
+def give_back() -> None:
+    """Return freed memory to the machine, where the C library can. Workers idle for a minute after
+    their last task, beside whatever their executor does next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrymill.llm.batches import small
+from quarrymill.llm.batches import give_back, small
 from quarrymill.llm.memory import Recent
 from quarrymill.llm.sizes import sized
 from quarrymill.session import table
@@ -74,6 +74,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small(batches):
         for positive, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             found[int(positive), list(features(body, of_word))] += 1
+    del of_word
+    give_back()
     there = np.flatnonzero(found.any(axis=0))
     columns = [pa.array(x.astype(np.int64)) for x in (there, found[1, there], found[0, there])]
     yield pa.RecordBatch.from_arrays(columns, ["feature", "p", "u"])
@@ -87,6 +89,8 @@ def _rows(kept: frozenset[int]):
         for batch in small(batches):
             found = [sorted(features(body, of_word)) for body in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["positive", "found"])
+        del of_word
+        give_back()
 
     return run
 
@@ -148,7 +152,10 @@ def fitted(rows: pa.Table, kept: list[int], share: float) -> Model:
     positive = rows["positive"].to_numpy().astype(bool)
     if positive.all() or not positive.any():
         return model
-    z = np.array([sum(model.weights[f] for f in found) for found in rows["found"].to_pylist()])
+    weight, found = np.zeros(SPACE), rows["found"].combine_chunks()
+    weight[kept] = [model.weights[f] for f in kept]
+    row = np.repeat(np.arange(len(positive)), found.value_lengths().to_numpy())
+    z = np.bincount(row, weight[found.flatten().to_numpy()], len(positive))
     estimate = min(0.9, max(LEAST_PRIOR, class_prior(z[positive], z[~positive])))
     return model if share <= FAR_FROM * estimate else fit(rows, kept, estimate)
 
@@ -217,6 +224,8 @@ def with_scores(docs: DataFrame, model: Model, column: str = "score", text: str
             found = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             found = np.where([not x for x in own], np.minimum(found, MOST_WITHOUT), found)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, column])
+        del of_word
+        give_back()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(column, T.DoubleType())]))
 
