@@ -42,6 +42,26 @@ def test_license_scan_equals_its_sql(spark):
     assert sorted(tuple(r) for r in license_scan.op3_license_scan(spark, folder).collect()) == want
 
 
+def test_license_sql_has_the_same_rule(make):
+    duckdb = pytest.importorskip("duckdb")
+    wording = {label: phrase for label, _, phrase, _, _ in license_scan.TEMPLATES if len(phrase.split()) > 64}
+    gnu = "licensed under the gnu {}general public license version {}"
+    texts = [gnu.format(a, b) for a in ("", "lesser ", "affero ", "library ", "unknown ") for b in (2, "2.1", 3, 5)]
+    texts += [gnu.format("", 2) + " or " + gnu.format("", 3), " ".join([gnu.format("", "")] * 40), gnu.format("very ", 3), "Released under the MIT no attribution", "released under the MIT license", "CC BY NC SA 4 0", "cc by nc " * 5]
+    texts += [phrase.upper() for phrase in wording.values()] + ["x " + phrase.replace(" software ", " program ", 2) + " y" for phrase in wording.values()]
+    texts += [phrase[: len(phrase) // 2] for phrase in wording.values()] + [license_scan.NOTICES[0][1], None, "", "\u212a cc by nc"]
+    docs = make(texts)
+    got = sorted(tuple(r) for r in license_scan.license_scan(docs).collect())
+    db = duckdb.connect()
+    db.register("documents", docs.toArrow())
+    assert got == sorted(db.execute(license_scan.ORACLE).fetchall())
+    by_text = {texts[r[0]]: r for r in got}
+    assert by_text[gnu.format("", 2)][6] == "gpl-2" and by_text[gnu.format("lesser ", 3)][6] == "lgpl-3" and by_text[gnu.format("very ", 3)][6:] == ("", 0.0)
+    assert by_text[" ".join([gnu.format("", "")] * 40)][6:] == ("", 0.0)  # no version: no core, no score
+    for label, phrase in wording.items():
+        assert by_text[phrase.upper()][6:] == (label, 1.0) and by_text["x " + phrase.replace(" software ", " program ", 2) + " y"][7] < 1.0
+
+
 def test_shards_are_even_and_keep_copies(make):
     rng = np.random.default_rng(1)
     texts = ["x" * int(n) for n in rng.integers(0, 400, 1500)] + ["copy" * 5] * 20 + ["hot text" * 20] * 800
