@@ -6,10 +6,14 @@ become several shards is cut along its widest dimension at the weighted median -
 of bytes that its two sides need - until each leaf is one shard. Medians come from histograms of
 bytes that Spark aggregates for all nodes of a level at once; a few rounds narrow a histogram down
 to single values. Only the cuts, one per node, are on the driver: rows are moved once, at the end.
+
+Groups too heavy to leave the leaves even are given to the least filled shards first, whole; the tree
+then fills each leaf up to what its shard still lacks. Only a group that no shard can hold is cut up.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from dataclasses import dataclass, field
 
@@ -17,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.llm.ranks import gapless
-from quarrymill.session import materialise, table
+from quarrymill.session import materialise, release, table
 
 SHARDS = 40
 #: Bytes that each row counts besides its text.
@@ -26,8 +30,10 @@ DIMENSIONS = ("bytes", "lang", "source", "first_id")
 #: Coordinates are integers below 2^COORD_BITS: the scaled value over TIE_BITS of hash.
 COORD_BITS, TIE_BITS = 62, 31
 BINS = 4096
-#: Groups with more bytes than this part of a shard are cut up row by row (at most shards / part).
-LARGE = 1 / 10
+#: Groups with more bytes than this part of a shard are placed before the tree grows (at most shards / part).
+HEAVY = 1 / 10
+#: Groups with more than one of so many rows are looked up by a broadcast: there can't be more of them.
+MOST_HOT = 4000
 ROWS_A_BUCKET, LEAST_BUCKETS = 500_000, 64
 
 
@@ -53,11 +59,8 @@ class Node:
 
 
 def points(docs: DataFrame, text: str, id_col: str) -> tuple[DataFrame, DataFrame]:
-    """Rows (``doc_id, size, text_crc32, group, member``) and the points of their groups.
-
-    A group of equal texts (equal size and 128 bits of hash) is one point unless it alone holds
-    a large share of all bytes; then each of its rows is a point with the group's values.
-    """
+    """Rows (``doc_id, size, text_crc32, h1, h2``) and their groups, which are those of equal size and
+    128 bits of hash, with their bytes as ``weight``."""
     body = F.coalesce(F.col(text), F.lit(""))
     other = lambda name: F.col(name) if name in docs.columns else F.lit(None)
     rows = docs.select(
@@ -71,8 +74,9 @@ def points(docs: DataFrame, text: str, id_col: str) -> tuple[DataFrame, DataFram
     )
     rows = materialise(rows, "rows")
     groups = rows.groupBy("h1", "h2", "size").agg(
-        F.sum("size").alias("weight"), F.min("doc_id").alias("first_id"), F.min("lang").alias("lang"), F.min("source").alias("source")
-    )
+        F.sum("size").alias("weight"), F.count(F.lit(1)).alias("rows"),
+        F.min("doc_id").alias("first_id"), F.min("lang").alias("lang"), F.min("source").alias("source"),
+    )
     return rows, materialise(groups, "groups")
 
 
@@ -87,8 +91,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, text: str = "text", id_col: str
     """``doc_id, size, text_crc32, shard, slot`` for each row: shards of near equal bytes, slots
     from 0 without gaps in each shard, in no special order.
 
-    Equal texts share a shard, but for groups of more than ``LARGE`` of a shard's bytes, which would
-    keep shards from being even; their rows are cut up like other points. A null text has no
+    Equal texts share a shard, but for groups with more bytes than a shard is to have; their rows
+    are cut up like other points. Very long texts are never cut. A null text has no
     bytes of its own; null ids, languages and sources count as the smallest values. Ids need a
     numeric type (others are hashed for the tree). Rows that repeat are rows of their own; an
     empty table gives an empty result, and fewer points than shards leave shards empty.
@@ -104,35 +108,67 @@ def shard(docs: DataFrame, shards: int = SHARDS, text: str = "text", id_col: str
     }
     ranges = groups.agg(
         F.sum("weight").alias("total"),
+        F.sum("rows").alias("rows"),
         *[f(values[d]).alias(f"{n}_{d}") for d in DIMENSIONS for n, f in (("low", F.min), ("high", F.max))],
     ).first()
     if ranges["total"] is None:
         return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("bigint").alias("slot"))
-    large = F.col("weight") > max(1.0, LARGE * ranges["total"] / shards)
+    target = ranges["total"] / shards
+    large = (F.col("weight") > target) & (F.col("rows") > 1)
     tied = lambda d, tie: _scaled(values[d], ranges[f"low_{d}"], ranges[f"high_{d}"], tie).alias(d)
     keys = ["h1", "h2", "size"]
     tie = lambda d: F.xxhash64(F.lit(zlib.crc32(d.encode())), "h1", "h2")
-    small = groups.filter(~large).select(*keys, "weight", *[tied(d, tie(d)) for d in DIMENSIONS])
-    # At most shards / LARGE groups, so they may be broadcast.
+    heavy = ~large & (F.col("weight") > HEAVY * target)
+    first, loads = placed_first(groups.filter(heavy).select(*keys, "rows", "weight"), shards)
+    small = groups.filter(~large & ~heavy).select(*keys, "rows", "weight", *[tied(d, tie(d)) for d in DIMENSIONS])
+    # At most as many groups as shards, so they may be broadcast.
     shared = F.broadcast(groups.filter(large).select(*keys, "first_id", "lang", "source"))
     member = lambda d: F.xxhash64(F.lit(zlib.crc32(d.encode())), "doc_id")
     of_large = rows.drop("lang", "source").join(shared, keys).select(
         "doc_id", "size", "text_crc32", F.col("size").alias("weight"), *[tied(d, member(d)) for d in DIMENSIONS]
     )
     cloud = materialise(small.select("weight", *DIMENSIONS).unionByName(of_large.select("weight", *DIMENSIONS)), "points")
-    tree = grow(cloud, shards)
-    of_small = rows.drop("lang", "source").join(F.broadcast(groups.filter(large).select(*keys)), keys, "left_anti")
-    of_small = of_small.join(small.select(*keys, tree.place().alias("shard")), keys)
-    placed = of_small.select("doc_id", "size", "text_crc32", "shard").unionByName(
-        of_large.select("doc_id", "size", "text_crc32", tree.place().alias("shard"))
-    )
-    buckets = max(LEAST_BUCKETS, -(-rows.count() // (shards * ROWS_A_BUCKET)))
+    tree = grow(cloud, filled(loads, ranges["total"] - sum(loads)))
+    release(cloud)
+    whole = small.select(*keys, "rows", tree.place().alias("shard")).unionByName(first)
+    hot = F.col("rows") > ranges["rows"] / MOST_HOT
+    by_broadcast = F.broadcast(whole.filter(hot).select(*keys, "shard"))
+    rest = rows.join(F.broadcast(groups.filter(large | hot).select(*keys)), keys, "left_anti")
+    columns = ["doc_id", "size", "text_crc32", "shard"]
+    placed = rows.join(by_broadcast, keys).select(*columns)
+    placed = placed.unionByName(rest.join(whole.filter(~hot).select(*keys, "shard"), keys).select(*columns))
+    placed = placed.unionByName(of_large.select(*columns[:3], tree.place().alias("shard")))
+    buckets = max(LEAST_BUCKETS, -(-ranges["rows"] // (shards * ROWS_A_BUCKET)))
     return gapless(placed, ["shard"], ["doc_id"], ["doc_id", "text_crc32"], buckets, "slot")
 
 
-def grow(cloud: DataFrame, shards: int) -> Node:
-    """The tree over weighted points with coordinates ``DIMENSIONS``, level by level."""
-    root = Node(0, shards)
+def placed_first(heavy: DataFrame, shards: int) -> tuple[DataFrame, list[int]]:
+    """Groups with their shards, and the bytes that each shard has then: the heaviest group first, each
+    to the least filled shard. There are at most shards / `HEAVY` of them."""
+    open_, loads, found = [(0, k) for k in range(shards)], [0] * shards, []
+    for r in sorted(heavy.collect(), key=lambda r: (-r["weight"], r["h1"], r["h2"])):
+        load, k = heapq.heappop(open_)
+        loads[k] = load + r["weight"]
+        heapq.heappush(open_, (loads[k], k))
+        found.append((r["h1"], r["h2"], r["size"], r["rows"], k))
+    return heavy.sparkSession.createDataFrame(found, "h1 bigint, h2 bigint, size bigint, rows bigint, shard int"), loads
+
+
+def filled(loads: list[int], rest: int) -> list[float]:
+    """What each shard still gets of ``rest``, so that the fullest one has as little as it can."""
+    level, below = 0.0, 0
+    for k, load in enumerate(sorted(loads)):
+        if k and level <= load:
+            break
+        below += load
+        level = (rest + below) / (k + 1)
+    return [max(0.0, level - load) for load in loads]
+
+
+def grow(cloud: DataFrame, room: list[float]) -> Node:
+    """The tree over weighted points with coordinates ``DIMENSIONS``, level by level; its leaves get
+    weight in proportion to ``room``."""
+    root = Node(0, len(room))
     while open_ := [n for n in root.leaves() if n.shards > 1]:
         at = root.place()
         sides = cloud.groupBy(at.alias("node")).agg(
@@ -147,7 +183,7 @@ def grow(cloud: DataFrame, shards: int) -> Node:
                 node.dimension, node.cut = DIMENSIONS[0], 0
             else:
                 node.dimension = max(DIMENSIONS, key=lambda d: r[f"high_{d}"] - r[f"low_{d}"])
-                wanted[node.first] = [r[f"low_{node.dimension}"], r[f"high_{node.dimension}"] + 1, r["weight"] * half / node.shards]
+                wanted[node.first] = [r[f"low_{node.dimension}"], r[f"high_{node.dimension}"] + 1, r["weight"] * _share(room, node)]
         cuts = medians(cloud, at, {n.first: n.dimension for n in open_}, wanted)
         for node in open_:
             half = node.shards // 2
@@ -156,6 +192,12 @@ def grow(cloud: DataFrame, shards: int) -> Node:
     return root
 
 
+def _share(room: list[float], node: Node) -> float:
+    """The part of the room of a node's leaves that is in its left half."""
+    own = room[node.first : node.first + node.shards]
+    return sum(own[: node.shards // 2]) / sum(own) if sum(own) else 0.5
+
+
 def _width(low: int, high: int) -> int:
     return max(1, -(-(high - low) // BINS))
 

@@ -64,17 +64,51 @@ def test_license_sql_has_the_same_rule(make):
 
 def test_shards_are_even_and_keep_copies(make):
     rng = np.random.default_rng(1)
-    texts = ["x" * int(n) for n in rng.integers(0, 400, 1500)] + ["copy" * 5] * 20 + ["hot text" * 20] * 800
+    texts = ["x" * int(n) for n in rng.integers(0, 400, 1500)] + ["copy" * 5] * 20 + ["hot text" * 20] * 800 + ["mid text" * 20] * 250 + ["half a shard" * 10] * 200
     rows = sharding.shard(make(texts), 8).collect()
-    sizes, slots, of_copy = collections.Counter(), collections.defaultdict(set), set()
+    sizes, slots, of_text = collections.Counter(), collections.defaultdict(set), collections.defaultdict(set)
     for r in rows:
         assert r.size == len(texts[r.doc_id]) + 16
         sizes[r.shard] += r.size
         slots[r.shard].add(r.slot)
-        of_copy |= {r.shard} if texts[r.doc_id] == "copy" * 5 else set()
+        of_text[texts[r.doc_id]].add(r.shard)
     mean = sum(sizes.values()) / 8
     assert set(sizes) == set(range(8)) and max(sizes.values()) < 1.05 * mean and min(sizes.values()) > 0.95 * mean
-    assert all(s == set(range(len(s))) for s in slots.values()) and len(rows) == len(texts) and len(of_copy) == 1
+    assert all(s == set(range(len(s))) for s in slots.values()) and len(rows) == len(texts)
+    # Only the group that no shard can hold is cut up.
+    assert 176 * 800 > mean > 176 * 250 and {text for text, found in of_text.items() if len(found) > 1} == {"hot text" * 20}
+
+
+def test_cuts_are_weighted_medians(spark):
+    rng = np.random.default_rng(5)
+    points = [(int(w), *(int(x) for x in row)) for w, row in zip(rng.integers(1, 20, 500), np.column_stack([rng.integers(0, 1 << 40, 500), rng.integers(0, 4, (500, 2)) << 38, rng.integers(0, 1 << 41, 500)]))]
+    cloud = spark.createDataFrame(points, "weight bigint, bytes bigint, lang bigint, source bigint, first_id bigint")
+    room = [3.0, 1.0, 0.0, 2.0, 2.0]
+
+    def check(node, own):
+        if node.cut is None:
+            return
+        axis = max(range(1, 5), key=lambda d: max(p[d] for p in own) - min(p[d] for p in own)) if own else 1
+        if own:
+            assert sharding.DIMENSIONS[axis - 1] == node.dimension
+            part, half = room[node.first : node.first + node.shards], node.shards // 2
+            need, below = sum(p[0] for p in own) * sum(part[:half]) / sum(part), 0
+            for value in sorted({p[axis] for p in own}):
+                w = sum(p[0] for p in own if p[axis] == value)
+                if below + w >= need:
+                    want = below if need - below <= below + w - need else below + w
+                    break
+                below += w
+            assert sum(p[0] for p in own if p[axis] < node.cut) == want
+        check(node.children[0], [p for p in own if p[axis] < node.cut])
+        check(node.children[1], [p for p in own if p[axis] >= node.cut])
+
+    check(sharding.grow(cloud, room), points)
+
+
+def test_rest_fills_shards():
+    assert sharding.filled([5, 0, 2], 5) == [0.0, 3.5, 1.5] and sharding.filled([0, 0], 3) == [1.5, 1.5]
+    assert sharding.filled([9, 1], 0) == [0.0, 0.0] and sharding.filled([4, 4, 1], 9) == [2.0, 2.0, 5.0]
 
 
 def test_shards_odd(odd, empty):
