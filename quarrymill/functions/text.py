@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLANK = r"(?U)\s+"
+#: Bytes of terms: a-z and 0-9.
+IN_TERM = np.zeros(256, bool)
+IN_TERM[ord("a") : ord("z") + 1] = IN_TERM[ord("0") : ord("9") + 1] = True
 
 
 def trim_ws(c: Column) -> Column:
@@ -18,6 +23,25 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+def cut_terms(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """`tokens` of lower-cased texts, inside a task: all terms, one text after another, and how many
+    each text has."""
+    texts = texts.cast(pa.large_binary())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    whole = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    solid = IN_TERM[whole]
+    first = solid.copy()
+    first[1:] &= ~solid[:-1]
+    begins = ends[:-1][ends[:-1] < len(whole)]
+    first[begins] = solid[begins]  # a text's first byte goes on no term of the text before
+    sizes = np.diff(np.searchsorted(np.flatnonzero(first), ends))
+    kept, starts = whole[solid], np.flatnonzero(first[solid])
+    offsets = np.append(starts, len(kept)).astype(np.int64)
+    found = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(kept))])
+    return found.cast(pa.string()), sizes
+
+
 def ws_tokens(c: Column) -> Column:
     """Lower-cased words between white space."""
     return F.filter(F.split(trim_ws(F.lower(c)), BLANK), lambda w: w != "")

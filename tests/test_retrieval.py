@@ -199,3 +199,40 @@ def test_pruned_cosines_are_exact(spark, monkeypatch, k, most, block):
         assert read[120][1] < 0.6 * 345  # its own cluster and its neighbours
     with pytest.raises(Exception, match="dimension does not match"):
         dense.retrieve_pruned(dense.cluster(chunks), spark.createDataFrame([(1, [1.0])], "question_id bigint, embedding array<double>"))[0].collect()
+
+
+@pytest.mark.parametrize("questions_at_once, strip", [(4096, 64), (2, 3)])
+def test_search_without_an_index_is_exact(spark, monkeypatch, questions_at_once, strip):
+    """The rows of all scores, over several tasks and passes, with gaps between positions and texts that share no term."""
+    monkeypatch.setattr(bm25, "MOST_QUESTIONS", questions_at_once)
+    monkeypatch.setattr(bm25, "STRIP", strip)
+    rng = np.random.default_rng(13)
+    words = np.array([f"w{i}" for i in range(200)])
+    chance = 1 / np.arange(1, 201)
+    texts = [" ".join(rng.choice(words, int(rng.integers(0, 30)), p=chance / chance.sum())) for _ in range(200)]
+    texts[20:30] = [texts[20]] * 10
+    texts += ["rare Rare-w1_w2", "w1 " * 400, None, "ONLY", "Kelvin İx", "été w1"]
+    rows = [(i * 3 + 1, f"c{i}", t) for i, t in enumerate(texts)]
+    chunks = spark.createDataFrame(rows, "pos bigint, chunk_id string, text string").repartition(3)
+    asked = ["w1 w2 w3", texts[20], "rare w1", "only", "nothing here", "w1 w1 w150 w120", "?", "kelvin x", " "]
+    questions = spark.createDataFrame([(f"q{i}", t) for i, t in enumerate(asked)], "question_id string, question string")
+    got = {(r.question_id, r["rank"]): (r.pos, r.chunk_id, r.score) for r in bm25.search(chunks, questions, 5).collect()}
+    assert len(got) == 5 * (len(asked) - 1)  # the blank one is no question
+    for q, text in enumerate(asked[:-1]):
+        want = plain_bm25([t or "" for t in texts], text, bm25.K1, bm25.B, bm25.EPSILON)
+        best = sorted((-round(s, 9), i) for i, s in enumerate(want))[:5]
+        assert [got[f"q{q}", n + 1][:2] for n in range(5)] == [(i * 3 + 1, f"c{i}") for _, i in best]
+        assert [got[f"q{q}", n + 1][2] for n in range(5)] == pytest.approx([-s for s, _ in best], abs=2e-9)
+    few = spark.createDataFrame([(0, "a", ""), (1, "b", None)], "pos bigint, chunk_id string, text string")
+    assert [(r.pos, r.score) for r in bm25.search(few, ask(spark, "x"), 5).orderBy("rank").collect()] == [(0, 0), (1, 0)]
+    assert bm25.search(chunks, ask(spark, " "), 5).count() == 0
+
+
+def test_queries_write_no_postings(spark, monkeypatch, tmp_path):
+    """What a query writes of the corpus is counts of terms, not a row for each term of each text."""
+    spark.createDataFrame([(i, f"common word{i % 2}", "x") for i in range(50)], "doc_id bigint, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "common word1")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows, keep = {}, bm25.materialise
+    monkeypatch.setattr(bm25, "materialise", lambda df, name="table": rows.setdefault(name, keep(df, name)))
+    assert queries.bm25_topk(spark, str(tmp_path)).count() == 3
+    assert "postings" not in rows and rows["terms"].count() == 3
