@@ -236,7 +236,7 @@ def pack_results(ranked: DataFrame, texts: DataFrame) -> DataFrame:
     """``question_id, retrieved_chunk_ids, retrieved`` in rank order; titles and texts
     (``chunk_id, title, text``) are joined to the final rows only."""
     row = F.struct("rank", "chunk_id", "title", "text", "score")
-    wide = ranked.join(texts, "chunk_id").groupBy("question_id").agg(F.array_sort(F.collect_list(row)).alias("retrieved"))  # k rows each
+    wide = texts.join(sized(ranked, "ranked"), "chunk_id").groupBy("question_id").agg(F.array_sort(F.collect_list(row)).alias("retrieved"))  # k rows each
     return wide.select("question_id", F.transform("retrieved", lambda r: r["chunk_id"]).alias("retrieved_chunk_ids"), "retrieved")
 
 
