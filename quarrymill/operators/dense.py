@@ -22,6 +22,8 @@ STRIP = 64
 PLACES = 9
 #: Clusters of an index at most, and what bounds and cosines may differ by in their last places.
 MOST_CLUSTERS, SLACK = 1024, 1e-7
+#: Vectors that are drawn beyond twice as many as centres are picked from them.
+SPARE = 64
 
 
 def normalised(vector: Column) -> Column:
@@ -133,7 +135,12 @@ def cluster(chunks: DataFrame) -> Clusters:
     if not n:
         raise ValueError("a corpus needs at least one chunk")
     unit = chunks.select(F.col("pos").cast("bigint").alias("pos"), "chunk_id", normalised(F.col("embedding")).alias("v"))
-    picked = unit.orderBy(F.xxhash64("pos"), "pos").limit(min(MOST_CLUSTERS, math.isqrt(n - 1) + 1)).select("v").collect()
+    wanted = min(MOST_CLUSTERS, math.isqrt(n - 1) + 1)
+    # The smallest hashes, of which a task hands on those alone that can be among them, not as many as are wanted.
+    highest = min((1 << 63) - 1, -(1 << 63) + (1 << 64) * (2 * wanted + SPARE) // n)
+    drawn = materialise(unit.filter(F.xxhash64("pos") <= F.lit(highest)), "drawn")
+    drawn = drawn if drawn.count() >= wanted else unit
+    picked = drawn.orderBy(F.xxhash64("pos"), "pos").limit(wanted).select("v").collect()
     if len({len(r["v"]) for r in picked}) > 1:
         raise ValueError("vectors of an index are of one size")
     centres = np.array([r["v"] for r in picked], float)
@@ -202,9 +209,10 @@ def retrieve_pruned(clusters: Clusters, questions: DataFrame, k: int = 3, but_ow
     left = clusters.vectors.withColumn("block", number(F.pmod(F.xxhash64("pos"), slots))).withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
 
     def visited(some: DataFrame) -> DataFrame:
-        right = some.join(asked, "question_id").withColumn("slot", F.explode(F.sequence(F.lit(0), slots - 1)))
-        right = right.select("question_id", "v", number(F.col("slot")).alias("block"), F.pmod(F.xxhash64("question_id"), F.lit(tiles)).cast("int").alias("tile"))
-        blocks = sized(right.select("block").distinct(), "blocks")
+        dealt = some.withColumn("slot", F.explode(F.sequence(F.lit(0), slots - 1)))
+        dealt = dealt.select("question_id", number(F.col("slot")).alias("block"), F.pmod(F.xxhash64("question_id"), F.lit(tiles)).cast("int").alias("tile"))
+        blocks = sized(dealt.select("block").distinct(), "blocks")
+        right = dealt.join(asked.hint("merge"), "question_id")  # pairs and vectors are small as files, not as rows: neither is broadcast
         return materialise(_products(left.join(blocks, "block", "left_semi").select("pos", "chunk_id", "v", "block", "tile"), right, k, but_own), "best")
 
     seen = visited(pairs.filter("first"))

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarrymill.operators import bm25, dense
 from quarrymill.operators import ranking_metrics as M
@@ -269,3 +270,22 @@ def test_hashed_vectors_are_made_in_their_rows(spark):
         want[int(hashlib.md5(term.encode()).hexdigest()[:8], 16) % adapters.WIDTH] += 1
     got = sorted((r.pos, r.chunk_id, r.embedding) for r in made.collect())
     assert got == [(1, "a", want), (2, "a", [0.0] * adapters.WIDTH), (2, "a", [0.0] * adapters.WIDTH)]
+
+
+def test_pruned_cosines_broadcast_no_pairs(spark, monkeypatch):
+    """Pairs of questions and clusters meet the questions' vectors by a shuffle, and few vectors go to the driver."""
+    rng = np.random.default_rng(3)
+    chunks = spark.createDataFrame([(i, f"c{i}", v.tolist()) for i, v in enumerate(rng.normal(size=(3000, 4)))], "pos bigint, chunk_id string, embedding array<double>")
+    plans, rows, keep = {}, {}, dense.materialise
+
+    def watched(df, name="table"):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return rows.setdefault(name, keep(df, name)) if name == "drawn" else keep(df, name)
+
+    monkeypatch.setattr(dense, "materialise", watched)
+    clusters = dense.cluster(chunks)
+    asked = chunks.filter("pos % 100 = 0").select(F.col("pos").alias("question_id"), "embedding")
+    assert dense.retrieve_pruned(clusters, asked, 2)[0].count() == 60
+    assert len(plans["best"]) == 2 and not any("BroadcastHashJoin [question_id" in p for p in plans["best"])
+    order = [r.v for r in chunks.orderBy(F.xxhash64("pos"), "pos").limit(55).select(dense.normalised(F.col("embedding")).alias("v")).collect()]
+    assert clusters.centres.tolist() == order and 55 <= rows["drawn"].count() < 300
