@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,20 @@ RULES: list[tuple[str, str]] = [
     ("psychiatric medication", r"\bantipsychotic\w*\b|\bantidepressant\w*\b"),
     ("mood stabilizer", r"\bmood\s+stabilizer\w*\b"),
 ]
+#: Lower-case letters of which every match of a rule holds one of these runs: a plain search for them is
+#: much cheaper than the rule, which then decides.
+STEMS: dict[str, tuple[str, ...]] = {
+    "psychiatry": ("psychiatr",), "mental health": ("mental",), "depression": ("depress",), "anxiety": ("anx",),
+    "schizophrenia": ("schizophren",), "psychosis": ("psychos",), "bipolar": ("bipolar",), "mania": ("manic", "mania"),
+    "obsessive compulsive": ("obsessive", "ocd"), "panic": ("panic",), "phobia": ("phobi",),
+    "post-traumatic stress": ("traumatic", "ptsd"), "personality disorder": ("personality",), "autism": ("autis",),
+    "attention deficit": ("adhd", "attention"), "delirium": ("deliri",), "suicide": ("suicid",), "hallucination": ("hallucination",),
+    "delusion": ("delusion",), "psychotherapy": ("psychotherap", "cognitive"),
+    "psychiatric medication": ("antipsychotic", "antidepressant"), "mood stabilizer": ("stabilizer",),
+}
+#: The letters outside ASCII that patterns without regard to case take for i, k or s; texts with one of
+#: them go to every rule.
+ODD = "\u0130\u0131\u017f\u212a"
 #: Fixed values of the two outcomes: scope, evidence expected, topic, reason.
 IN_SCOPE = ("psychiatry_relevant", True, "psychiatry", "Explicit psychiatry-related term matched in question or options")
 OUT_OF_SCOPE = ("out_of_corpus", False, "general_medical", "No explicit psychiatry-related term matched in question or options")
@@ -45,8 +61,20 @@ def question_text(question: Column, options: Column | None = None) -> Column:
 
 def matched_terms(text: Column, rules: list[tuple[str, str]] = RULES) -> Column:
     """Names of the rules that match, in rule order."""
-    named = [F.when(text.rlike(f"(?iU){pattern}"), F.lit(name)) for name, pattern in rules]
-    return F.filter(F.array(*named), lambda name: name.isNotNull())
+    either = lambda tests: reduce(Column.__or__, tests)
+
+    def hit(x: Column, name: str, pattern: str) -> Column:
+        found = x["text"].rlike(f"(?iU){pattern}")
+        if (name, pattern) not in RULES or name not in STEMS:
+            return found
+        return either([x["odd"], *[F.contains(x["low"], F.lit(stem)) for stem in STEMS[name]]]) & found
+
+    def named(x: Column) -> Column:
+        return F.filter(F.array(*[F.when(hit(x, name, pattern), F.lit(name)) for name, pattern in rules]), lambda n: n.isNotNull())
+
+    # Arrays of one element give a name to what all rules share, so that it is made once for a text.
+    known = lambda t: F.struct(t.alias("text"), F.lower(t).alias("low"), either([F.contains(t, F.lit(c)) for c in ODD]).alias("odd"))
+    return F.get(F.transform(F.transform(F.array(text), known), named), F.lit(0))
 
 
 def annotate(

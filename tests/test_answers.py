@@ -158,3 +158,16 @@ def test_a_failed_judge_call_is_no_score(spark):
     rows = spark.createDataFrame([("fails",), ("fine",)], "prompt string")
     got = {r.prompt: r.hallucination for r in judge(rows, {"hallucination": F.col("prompt")}, make).collect()}
     assert got == {"fails": None, "fine": 0.5}
+
+
+def test_stems_leave_every_match(spark):
+    """Each rule alone against the rules behind stems, on its own phrases, near misses and letters that fold to i, k and s."""
+    texts = ["pſychiatric", "anımal anİ MANİC manıa", "BIPOLAR bıpolar", "K panic ATTACK", "ptsd. OCD, ADHD", "post-TRAUMATIC stress", "maniac", "Cognitive-behavioral therapy",
+             "attention deficit", "mental", "", "straße Autism"] + adapters.PHRASES + [" ".join(adapters.PHRASES)]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    plain = F.filter(F.array(*[F.when(F.col("t").rlike(f"(?iU){p}"), F.lit(name)) for name, p in scope.RULES]), lambda n: n.isNotNull())
+    got = df.select("t", scope.matched_terms(F.col("t")).alias("got"), plain.alias("want")).collect()
+    assert all(r.got == r.want for r in got)
+    assert {n for r in got for n in r.got} == {name for name, _ in scope.RULES} == set(scope.STEMS)
+    folds = {chr(c) for c in range(128, 0x110000) if not 0xD800 <= c < 0xE000 and {chr(c).lower()[0], chr(c).upper().lower()[0]} & set("abcdefghijklmnopqrstuvwxyz") and len(chr(c).upper()) == 1}
+    assert folds == set(scope.ODD)
