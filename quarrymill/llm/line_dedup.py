@@ -28,9 +28,9 @@ from quarrymill.llm.sizes import sized
 from quarrymill.session import materialise, release, table
 
 PERCENT = 80
-#: The order by rarity takes its counts from one of so many documents, and from the words that are
-#: seen most there; words that are not among them count as rare. Any order gives the same result.
-SAMPLED, MOST_FREQUENT = 16, 100_000
+#: The order by rarity has the words that all documents have most, by their counts; all others count
+#: as rare and come first, by their hashes. Any order gives the same result.
+MOST_FREQUENT = 100_000
 #: Prefix tokens are dealt to so many fragments, which are joined one after another, so that only a
 #: part of all places is in shuffle files at a time.
 FRAGMENTS = 4
@@ -106,9 +106,11 @@ def line_dedup(docs: DataFrame, percent: int = PERCENT, text: str = "text", id_c
     rows = docs.select(own.alias("doc_id"), body.alias("body"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
-    seen = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).select("body").mapInArrow(_counts, "token bigint, n bigint")
-    top = seen.groupBy("token").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "token").limit(MOST_FREQUENT)
-    order = sorted(top.collect(), key=lambda r: (r["n"], r["token"]))
+    seen = rows.select("body").mapInArrow(_counts, "token bigint, n bigint")
+    counts = materialise(seen.groupBy("token").agg(F.sum("n").alias("n")).filter("n > 1"), "words")
+    sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).collect()  # a row for each count
+    fit = [r["n"] for r, held in zip(sizes, np.cumsum([r["words"] for r in sizes]), strict=True) if held <= MOST_FREQUENT]
+    order = sorted(counts.filter(F.col("n") >= fit[-1]).collect(), key=lambda r: (r["n"], r["token"])) if fit else []
     known = np.array([r["token"] for r in order], np.int64).view(np.uint64)
     frequent = spark.sparkContext.broadcast((np.sort(known), np.argsort(known)))  # each word and its place in the order
 

@@ -145,3 +145,16 @@ def test_lines_of_rows_that_repeat_an_id(spark):
     kept = line_dedup.remove(docs, line_dedup.line_dedup(docs))
     assert kept.columns == docs.columns and {r._id for r in kept.collect()} == {"i"}
     assert {r.text for r in kept.collect() if r.doc_id == 3} == {"new"} and [r.text for r in kept.collect() if r.doc_id == 4] == [""]
+
+
+def test_words_of_lines_are_counted_in_all_documents(spark, monkeypatch):
+    from quarrymill.llm import line_dedup
+
+    rows = [(i, f"common w{i} x{i} y{i} z{i}\nseldom{i // 2} a{i} b{i}") for i in range(60)] + [(60, "COMMON w3 x3 y3 z3")]
+    docs, kept, keep, got = spark.createDataFrame(rows, "doc_id bigint, text string"), {}, line_dedup.materialise, []
+    monkeypatch.setattr(line_dedup, "materialise", lambda df, name="table": kept.setdefault(name, keep(df, name)) if name == "words" else keep(df, name))
+    for most in (100_000, 3):
+        monkeypatch.setattr(line_dedup, "MOST_FREQUENT", most)
+        got.append(sorted((r.doc_id, r.removed) for r in line_dedup.line_dedup(docs).collect()))
+    assert got[0] == got[1] and [r for r in got[0] if r[1]] == [(60, [0])]
+    assert max(r.n for r in kept["words"].collect()) == 61
