@@ -289,3 +289,11 @@ def test_pruned_cosines_broadcast_no_pairs(spark, monkeypatch):
     assert len(plans["best"]) == 2 and not any("BroadcastHashJoin [question_id" in p for p in plans["best"])
     order = [r.v for r in chunks.orderBy(F.xxhash64("pos"), "pos").limit(55).select(dense.normalised(F.col("embedding")).alias("v")).collect()]
     assert clusters.centres.tolist() == order and 55 <= rows["drawn"].count() < 300
+
+
+def test_sweep_query_writes_no_postings(spark, monkeypatch, tmp_path):
+    spark.createDataFrame([(i, f"common word{i % 2}", "x") for i in range(50)], "doc_id bigint, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "common word1")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    names, keep = [], bm25.materialise
+    monkeypatch.setattr(bm25, "materialise", lambda df, name="table": names.append(name) or keep(df, name))
+    assert queries.topk_sweep(spark, str(tmp_path)).count() == 1 + 3 + 5 + 8 and "postings" not in names
