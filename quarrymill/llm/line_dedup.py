@@ -108,9 +108,8 @@ def line_dedup(docs: DataFrame, percent: int = PERCENT, text: str = "text", id_c
 
     seen = rows.select("body").mapInArrow(_counts, "token bigint, n bigint")
     counts = materialise(seen.groupBy("token").agg(F.sum("n").alias("n")).filter("n > 1"), "words")
-    sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).collect()  # a row for each count
-    fit = [r["n"] for r, held in zip(sizes, np.cumsum([r["words"] for r in sizes]), strict=True) if held <= MOST_FREQUENT]
-    order = sorted(counts.filter(F.col("n") >= fit[-1]).collect(), key=lambda r: (r["n"], r["token"])) if fit else []
+    top = counts.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT)
+    order = sorted(top.collect(), key=lambda r: (r["n"], r["token"]))
     known = np.array([r["token"] for r in order], np.int64).view(np.uint64)
     frequent = spark.sparkContext.broadcast((np.sort(known), np.argsort(known)))  # each word and its place in the order
 
