@@ -98,6 +98,15 @@ def names(found: np.ndarray, starts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(16), len(starts), [None, packed]).cast(pa.binary())
 
 
+def least(found: np.ndarray, starts: np.ndarray, k: int) -> pa.Array:
+    """For each set the least of its hashes, mixed in each of ``k`` ways."""
+    mixes = [mixed(found ^ mixed(np.array([i + 1], np.uint64) * STEP)) for i in range(k)]
+    lows = [np.minimum.reduceat(m, starts) if len(starts) else m[:0] for m in mixes]
+    # The same number by another way is another key.
+    keyed = [low - low % np.uint64(k) + np.uint64(i) for i, low in enumerate(lows)]
+    return listed(np.stack(keyed, axis=1).ravel(), np.full(len(starts), k))
+
+
 def flips(found: np.ndarray, starts: np.ndarray) -> list[pa.Array]:
     """128 bits, in two halves, of which each word of a set flips one."""
     at = found & np.uint64(127)

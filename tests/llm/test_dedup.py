@@ -158,3 +158,26 @@ def test_words_of_lines_are_counted_in_all_documents(spark, monkeypatch):
         got.append(sorted((r.doc_id, r.removed) for r in line_dedup.line_dedup(docs).collect()))
     assert got[0] == got[1] and [r for r in got[0] if r[1]] == [(60, [0])]
     assert max(r.n for r in kept["words"].collect()) == 61
+
+
+def test_near_copies_of_lines_meet_once(spark, monkeypatch):
+    """Lines that differ from one text in a few words, most pairs just above or below the threshold."""
+    import random
+
+    rng = random.Random(11)
+    base, lines = [f"common{k}" for k in range(60)], []
+    for i in range(120):
+        changed = {k: f"own{i}x{k}" for k in rng.sample(range(60), rng.choice([3, 4, 5, 6]))}
+        lines.append(" ".join(changed.get(k, w) for k, w in enumerate(base)))
+    sets, keep, rows = [set(x.split()) for x in lines], line_dedup.materialise, {}
+    want = [i for i, s in enumerate(sets) if any(100 * len(s & o) >= 80 * len(s | o) for o in sets[:i])]
+
+    def watched(df, name="table"):
+        found = keep(df, name)
+        rows[name] = rows.get(name, 0) + found.count()
+        return found
+
+    monkeypatch.setattr(line_dedup, "materialise", watched)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in line_dedup.line_dedup(docs).collect() if r.removed) == want and 10 < len(want) < 119
+    assert 100 < rows["pairs"] <= rows["pair-parts"] < 1.5 * rows["pairs"]
