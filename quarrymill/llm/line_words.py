@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-from quarrymill.llm.shingles import MIX_A, STEP, mixed
+from quarrymill.llm.shingles import MIX_A, MIX_B, STEP, mixed
 
 LONGEST = 64
 #: Bytes taken at a time, cut at white space: running sums are eight bytes for each.
@@ -99,10 +99,10 @@ def names(found: np.ndarray, starts: np.ndarray) -> pa.Array:
 
 
 def least(found: np.ndarray, starts: np.ndarray, k: int) -> pa.Array:
-    """For each set the least of its hashes, mixed in each of ``k`` ways."""
-    mixes = [mixed(found ^ mixed(np.array([i + 1], np.uint64) * STEP)) for i in range(k)]
+    """For each set the least of its hashes (mixed ones), times each of ``k`` odd numbers."""
+    mixes = [found * odd for odd in (STEP, MIX_A, MIX_B)[:k]]
     lows = [np.minimum.reduceat(m, starts) if len(starts) else m[:0] for m in mixes]
-    # The same number by another way is another key.
+    # The same number by another factor is another key.
     keyed = [low - low % np.uint64(k) + np.uint64(i) for i, low in enumerate(lows)]
     return listed(np.stack(keyed, axis=1).ravel(), np.full(len(starts), k))
 
