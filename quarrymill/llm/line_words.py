@@ -21,6 +21,8 @@ LONGEST = 64
 PIECE = 1 << 16
 SPACE = re.compile(rb"[\x09-\x0d\x20]")
 TOP = np.uint64(1 << 63)
+#: Hashes are dealt to so many buckets by their first bits; the bits that are left.
+BUCKETS, REST = 1 << 20, np.uint64(43)
 #: An odd base that is 5 modulo 8, and its inverse.
 BASE = MIX_A - MIX_A % np.uint64(8) + np.uint64(5)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -70,17 +72,21 @@ def words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(lines), np.concatenate(hashes)
 
 
-def word_sets(text: bytes, known: np.ndarray | None = None, place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """`words`, distinct within a line and sorted by line, then by hash. Hashes that are in ``known``
-    (ascending) come after all others of their line, in the order of their ``place``."""
+def buckets(found: np.ndarray) -> np.ndarray:
+    """The buckets of hashes."""
+    return (found >> REST).astype(np.int64)
+
+
+def word_sets(text: bytes, place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """`words`, distinct within a line and sorted by line, then by hash. Hashes of buckets that have a
+    ``place`` (not -1) come after all others of their line, in the order of their places, then by hash."""
     line, found = words(text)
-    order = np.argsort(found)  # equal hashes of a line are one, so that no order among them counts
+    key = found
+    if place is not None:
+        at = place[buckets(found)]
+        key = np.where(at >= 0, TOP | (at.astype(np.uint64) << REST) | (found & np.uint64((1 << int(REST)) - 1)), found)
+    order = np.argsort(key)  # equal hashes of a line are one, so that no order among them counts
     line, found = line[order], found[order]
-    if known is not None and len(known):
-        at = np.minimum(np.searchsorted(known, found), len(known) - 1)
-        key = np.where(known[at] == found, TOP + place[at].astype(np.uint64), found)
-        order = np.argsort(key)
-        line, found = line[order], found[order]
     # Sorting by 16 bits at a time is sorting by counting.
     order = np.argsort(line.astype(np.uint16), kind="stable")
     if len(line) and line.max() >= 1 << 16:
@@ -98,13 +104,12 @@ def names(found: np.ndarray, starts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(16), len(starts), [None, packed]).cast(pa.binary())
 
 
-def least(found: np.ndarray, starts: np.ndarray, k: int) -> pa.Array:
+def least(found: np.ndarray, starts: np.ndarray, k: int) -> list[pa.Array]:
     """For each set the least of its hashes (mixed ones), times each of ``k`` odd numbers."""
     mixes = [found * odd for odd in (STEP, MIX_A, MIX_B)[:k]]
     lows = [np.minimum.reduceat(m, starts) if len(starts) else m[:0] for m in mixes]
     # The same number by another factor is another key.
-    keyed = [low - low % np.uint64(k) + np.uint64(i) for i, low in enumerate(lows)]
-    return listed(np.stack(keyed, axis=1).ravel(), np.full(len(starts), k))
+    return [pa.array((low - low % np.uint64(k) + np.uint64(i)).view(np.int64)) for i, low in enumerate(lows)]
 
 
 def flips(found: np.ndarray, starts: np.ndarray) -> list[pa.Array]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,20 @@ def sizes_fit(n_a: Column, n_b: Column, percent: int) -> Column:
     return (100 * n_a >= percent * n_b) & (100 * n_b >= percent * n_a)
 
 
+#: Sizes of one step differ by less than this factor.
+STEP = 1.5
+
+
+def size_step(n: Column) -> Column:
+    """The step that sets of this size are in; larger sets are in the same or a higher one."""
+    return F.floor(F.log(n.cast("double")) / F.lit(math.log(STEP))).cast("int")
+
+
+def least_of_step(step: Column) -> Column:
+    """A size that no set of a step is below."""
+    return F.floor(F.pow(F.lit(STEP), step)) - 1
+
+
 def reach(a: str, b: str) -> Column:
     """The positional filter: the largest overlap of two sets that share the token of two places
     (``i`` tokens stand before it)."""

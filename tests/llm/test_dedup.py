@@ -181,3 +181,40 @@ def test_near_copies_of_lines_meet_once(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
     assert sorted(r.doc_id for r in line_dedup.line_dedup(docs).collect() if r.removed) == want and 10 < len(want) < 119
     assert 100 < rows["pairs"] <= rows["pair-parts"] < 1.5 * rows["pairs"]
+
+
+def test_sets_of_far_sizes_do_not_meet(spark):
+    """The smaller set of a pair comes to the larger one's step with enough of its words, and to few others."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    from quarrymill.llm import prefixes
+
+    for percent in (80, 95):
+        n, step = F.col("n"), F.col("step")
+        sets = spark.range(1, 400).select(F.col("id").alias("n"), prefixes.size_step(F.col("id")).alias("own"))
+        steps = F.explode(F.sequence("own", prefixes.size_step(F.floor(100 * n / percent)))).alias("step")
+        cut = n - prefixes.needed(n, F.greatest(n, prefixes.least_of_step(step)), percent) + 1
+        placed = {(r.n, r.step): r.cut for r in sets.select("n", steps).select("n", "step", cut.alias("cut")).collect()}
+        own = {r.n: r.own for r in sets.collect()}
+        for a in own:
+            for b in range(math.ceil(percent * a / 100), a + 1):
+                assert placed[b, own[a]] >= b - math.ceil(percent * (a + b) / (100 + percent)) + 1
+        assert max(sum(k == n for k, _ in placed) for n in own) == 2 and own[40] < own[100]
+
+
+def test_line_dedup_reads_each_text_twice_before_pairs(spark, monkeypatch):
+    """Words are counted in buckets, and lines are numbered where they are cut: no third pass, no table of names."""
+    kept, keep = {}, line_dedup.materialise
+
+    def watched(df, name="table"):
+        kept[name] = keep(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(line_dedup, "materialise", watched)
+    docs = spark.createDataFrame([(1, "a b c\n\nd e f"), (2, "d e f\n"), (2, "d e f\n"), (3, None)], "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.n_lines, r.removed) for r in line_dedup.line_dedup(docs).collect())
+    assert got == [(1, 3, []), (2, 2, [0]), (2, 2, [0]), (3, 1, [])]
+    assert "line-names" not in kept and kept["words"].columns == ["bucket", "n"]
+    assert sorted((r.n_lines, r.having) for r in kept["line-numbers"].collect()) == [(1, []), (2, [0]), (2, [0]), (3, [0, 2])]
