@@ -31,15 +31,15 @@ from pyspark.sql import functions as F
 
 from quarrymill.llm import prefixes
 from quarrymill.llm.batches import small
-from quarrymill.llm.line_words import BUCKETS, buckets, flips, least, listed, names, word_sets, words
+from quarrymill.llm.line_words import BUCKETS, buckets, flips, hashes, least, listed, names, word_sets
 from quarrymill.llm.sizes import sized
 from quarrymill.session import MOST_BROADCAST, materialise, release, table
 
 PERCENT = 80
-#: Words are counted in buckets of their hashes. The order by rarity has the buckets that all documents have
-#: most at its end, by their counts; all other words count as rare and come first, by their hashes. Any order
-#: gives the same result.
-MOST_FREQUENT = 100_000
+#: Words are counted in buckets of their hashes, over all documents. The order by rarity has so many buckets by
+#: their counts at its end (here all of them); others would come first, by their hashes. Any order gives the
+#: same result.
+MOST_FREQUENT = BUCKETS
 #: Counts of so many buckets are one row of the shuffle.
 SECTION = 1 << 10
 #: Steps of sizes are dealt to so many fragments, which are joined one after another, so that only a
@@ -49,12 +49,16 @@ FRAGMENTS = 2
 #: not what it finds.
 MINIMA = 3
 LEAST = [f"least{k}" for k in range(MINIMA)]
-#: Columns with the prefix tokens just before a place.
-BEFORE = ("before1", "before2")
+#: Prefix tokens just before a place by which pairs that met already are known.
+BEFORE = 2
 #: Columns with the bits that a set's words flip.
 BITS = ("low", "high")
 
 
+#: The lower half of 64 bits.
+LOW = (1 << 32) - 1
+
+
 #: Words that a task holds before it counts them: some tens of megabytes.
 MOST_HELD = 1 << 21
 
@@ -63,7 +67,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(body) to (section, counts), of the buckets of words in a task's texts."""
     counts, held, size = np.zeros(BUCKETS, np.int64), [], 0
     for batch in small(batches):
-        held.append(buckets(words(b"\n".join(batch.column(0).to_pylist()))[1]))
+        held.append(buckets(hashes(b"\n".join(batch.column(0).to_pylist()))))
         size += len(held[-1])
         if size > MOST_HELD:
             counts += np.bincount(np.concatenate(held), minlength=BUCKETS)
@@ -86,17 +90,27 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(at + section * SECTION, pa.int32()), pa.array(counts[at])], ["bucket", "n"])
 
 
+def _places(counts: pa.Table) -> np.ndarray:
+    """The place of each bucket in the order by rarity."""
+    n = np.ones(BUCKETS, np.int64)
+    n[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
+    n[np.argsort(n, kind="stable")[: max(0, BUCKETS - MOST_FREQUENT)]] = 0
+    place = np.empty(BUCKETS, np.uint32)
+    place[np.argsort(n, kind="stable")] = np.arange(BUCKETS, dtype=np.uint32)
+    return place
+
+
 #: What _lines returns of a line.
 LINE = {"line": pa.int32(), "n": pa.int64(), "name": pa.binary(), "prefix": pa.list_(pa.int32()), **{c: pa.int64() for c in (*LEAST, *BITS)}}
 
 
-def _lines(percent: int, frequent):
+def _lines(percent: int, order):
     """(doc_id, row, body) to (doc_id, row, line, n, name, prefix, least, bits), lines with words only. Prefixes
     of fewer than so many words that another set could be linked are empty. For each body there is also
     a row of line -1, with the number of all its lines for ``n`` and those that have words for ``prefix``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = frequent.value
+        place = order.value
         for batch in small(batches):
             bodies = batch.column(2).to_pylist()
             sizes = np.array([body.count(b"\n") + 1 for body in bodies], np.int64)
@@ -162,21 +176,18 @@ def line_dedup(docs: DataFrame, percent: int = PERCENT, text: str = "text", id_c
 
     seen = rows.select("body").mapInArrow(_counts, "section int, counts binary").repartition("section")
     counts = materialise(seen.mapInArrow(_summed, "bucket int, n bigint"), "words")
-    top = counts.orderBy(F.desc("n"), "bucket").limit(MOST_FREQUENT)
-    order = sorted(top.collect(), key=lambda r: (r["n"], r["bucket"]))
-    place = np.full(BUCKETS, -1, np.int32)  # of each bucket in the order
-    place[[r["bucket"] for r in order]] = np.arange(len(order))
-    frequent = spark.sparkContext.broadcast(place)
+    order = spark.sparkContext.broadcast(_places(counts.toArrow()))
 
     # The row tells rows apart that repeat id and text.
     numbered = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), "body")
     schema = f"doc_id {kind}, row bigint, line int, n bigint, name binary, prefix array<int>, " + ", ".join(f"{c} bigint" for c in (*LEAST, *BITS))
-    lines = materialise(numbered.mapInArrow(_lines(percent, frequent), schema), "lines")
+    lines = materialise(numbered.mapInArrow(_lines(percent, order), schema), "lines")
     found = lines.filter("line >= 0").groupBy("name").agg(F.min(F.struct("doc_id", "line", "row")).alias("pos"))
     # Classes are numbered in the order of their first lines: earlier means smaller, and such
     # numbers compress in shuffles, which names do not.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = found.select("pos").repartitionByRange(parts, "pos").sortWithinPartitions("pos")
+    by = "pos.doc_id.id", "pos.doc_id.text", "pos.line", "pos.row"  # one by one: structs are slow to sort
+    ordered = found.select("pos").repartitionByRange(parts, *by).sortWithinPartitions(*by)
     classes = materialise(ordered.withColumn("class", F.monotonically_increasing_id()), "classes")
     firsts = classes.select("pos.row", "pos.line", "class")
     whole = materialise(lines.join(firsts, ["row", "line"]).select("class", "n", "prefix", *LEAST, *BITS), "classes-whole")
@@ -184,7 +195,7 @@ def line_dedup(docs: DataFrame, percent: int = PERCENT, text: str = "text", id_c
     release(lines)
 
     n_a, n_b = F.col("a.n"), F.col("b.n")
-    near = (F.col("b.class") < F.col("a.class")) & prefixes.sizes_fit(n_a, n_b, percent) & prefixes.bits_fit("a", "b", BITS, percent)
+    near = (F.col("b.class") < F.col("a.class")) & prefixes.sizes_fit(n_a, n_b, percent) & prefixes.bits_fit("a", "b", n_a, n_b, BITS, percent)
 
     minima = whole.filter(F.size("prefix") > 0).select("class", "n", *BITS, F.explode(F.array(*LEAST)).alias("least"))
     others = [F.min_by(c, "class").alias(c) for c in ("n", *BITS)]
@@ -207,26 +218,35 @@ def line_dedup(docs: DataFrame, percent: int = PERCENT, text: str = "text", id_c
     cut = n - prefixes.needed(n, F.greatest(n, prefixes.least_of_step(F.col("size"))), percent) + 1
     smaller = smaller.withColumn("most", F.greatest(F.lit(0), cut).cast("int")).filter("most > 0")
 
-    def fragment(of: DataFrame, number: int, tokens) -> DataFrame:
+    # Tens of millions of places are shuffled and sorted, so a row has six numbers of 64 bits, some of them two in one.
+    two = lambda high, low: F.shiftleft(high.cast("bigint"), 32).bitwiseOR(low.cast("bigint").bitwiseAND(F.lit(LOW)))
+    high, low = (lambda x: F.shiftright(x, 32)), (lambda x: x.bitwiseAND(F.lit(LOW)))
+
+    def fragment(of: DataFrame, number: int, tokens, none: int) -> DataFrame:
+        """Places of sets: ``sizes`` of the set and of what is left of it from there, ``before`` the tokens before it
+        (or a number that is no token)."""
         of = of.filter(F.pmod("size", F.lit(FRAGMENTS)) == number)
         at = of.select("class", "n", *BITS, "open", "size", "prefix", F.posexplode(tokens).alias("i", "token"))
-        before = [F.get("prefix", F.col("i") - 1 - k).alias(c) for k, c in enumerate(BEFORE)]
-        key = (F.shiftleft(F.col("token").cast("bigint"), 8) + F.col("size")).alias("key")
-        return at.select("class", "n", *BITS, "open", "i", key, *before)
+        before = two(*(F.coalesce(F.get("prefix", F.col("i") - 1 - k), F.lit(none)) for k in range(BEFORE)))
+        key = F.shiftleft(F.col("token").cast("bigint"), 8) + F.col("size")
+        named = F.shiftleft("class", 1) + F.col("open").cast("int")
+        return at.select(key.alias("key"), named.alias("class"), two(n, n - F.col("i")).alias("sizes"), *BITS, before.alias("before"))
 
     def part(number: int) -> DataFrame:
         """Pairs that meet in a fragment: a later class that is not settled, and an earlier one."""
-        a = fragment(larger, number, F.col("prefix")).alias("a")
-        b = fragment(smaller, number, F.slice("prefix", F.lit(1), F.col("most"))).alias("b")
+        a = fragment(larger, number, F.col("prefix"), -1).alias("a")
+        b = fragment(smaller, number, F.slice("prefix", F.lit(1), F.col("most")), -2).alias("b")
+        n_a, n_b, left_a, left_b = (half(F.col(f"{side}.sizes")) for half in (high, low) for side in "ab")
         later = F.col("a.class") > F.col("b.class")
         sides = (n_b < n_a) | ((n_b == n_a) & later)
-        unsettled = F.when(later, F.col("a.open")).otherwise(F.col("b.open"))
-        new = [F.coalesce(F.col(f"a.{x}") != F.col(f"b.{y}"), F.lit(True)) for x in BEFORE for y in BEFORE]
-        enough = prefixes.left("a", "b") >= prefixes.needed(n_a, n_b, percent)
-        fit = prefixes.sizes_fit(n_a, n_b, percent) & prefixes.bits_fit("a", "b", BITS, percent)
-        met = a.join(b, reduce(and_, new, (F.col("a.key") == F.col("b.key")) & sides & fit & unsettled & enough))
-        pick = lambda x, y, name: F.when(later, F.col(x)).otherwise(F.col(y)).alias(name)
-        pair = pick("a.class", "b.class", "a"), pick("b.class", "a.class", "b"), pick("a.n", "b.n", "n_a"), pick("b.n", "a.n", "n_b")
+        unsettled = F.when(later, F.col("a.class")).otherwise(F.col("b.class")).bitwiseAND(F.lit(1)) == 1
+        new = [x(F.col("a.before")) != y(F.col("b.before")) for x in (high, low) for y in (high, low)]
+        enough = F.least(left_a, left_b) >= prefixes.needed(n_a, n_b, percent)
+        fit = prefixes.sizes_fit(n_a, n_b, percent) & prefixes.bits_fit("a", "b", n_a, n_b, BITS, percent)
+        met = a.join(b, reduce(and_, new, (F.col("a.key") == F.col("b.key")) & sides & fit & enough & unsettled))
+        met = met.select(F.shiftright("a.class", 1).alias("a"), F.shiftright("b.class", 1).alias("b"), n_a.alias("n_a"), n_b.alias("n_b"), later.alias("later"))
+        pick = lambda x, y, name: F.when(F.col("later"), F.col(x)).otherwise(F.col(y)).alias(name)
+        pair = pick("a", "b", "a"), pick("b", "a", "b"), pick("n_a", "n_b", "n_a"), pick("n_b", "n_a", "n_b")
         return materialise(met.select(*pair), "pair-parts")
 
     parts = [part(k) for k in range(FRAGMENTS)]
@@ -235,16 +255,17 @@ def line_dedup(docs: DataFrame, percent: int = PERCENT, text: str = "text", id_c
     more = _verified(pairs, rows, classes, percent)
 
     # Of the lines of a class only the first may stay.
-    gone = settled.unionByName(more).withColumnRenamed("a", "class")
-    stay = classes.join(gone, "class", "left_anti").select("pos.doc_id", "pos.line")
-    by_doc = stay.groupBy("doc_id").agg(F.collect_set("line").alias("stay"))  # a text's own lines
+    kinds = [classes.select("pos.doc_id", F.col("pos.line").alias("first"), F.lit(None).cast("int").alias("gone"))]
+    kinds += [t.select("doc_id", F.lit(None).cast("int").alias("first"), F.col("line").alias("gone")) for t in (settled, more)]
+    by_doc = reduce(DataFrame.unionByName, kinds).groupBy("doc_id").agg(*(F.collect_list(c).alias(c) for c in ("first", "gone")))  # a text's own lines
     found = texts.alias("c").join(by_doc.alias("d"), F.col("c.doc_id").eqNullSafe(F.col("d.doc_id")), "left")
-    removed = F.array_except("having", F.coalesce("stay", F.array().cast("array<int>")))
+    stay = F.array_except("first", "gone")
+    removed = F.array_except("having", F.coalesce(stay, F.array().cast("array<int>")))
     return found.select(F.col("c.doc_id.id").alias("doc_id"), "n_lines", F.array_sort(removed).alias("removed"))
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (``a, n_a, b, n_b``), the classes ``a`` of those that are linked."""
+    """Of pairs (``a, n_a, b, n_b``), the classes ``a`` of those that are linked, with ``doc_id, line`` of their first lines."""
     ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
     lines = classes.join(ends, "class").select("pos.doc_id", F.struct("pos.line", "class").alias("x"))
     wanted = sized(lines.groupBy("doc_id").agg(F.collect_list("x").alias("lines")), "wanted", F.size("lines"))  # a text's own lines
@@ -255,7 +276,8 @@ def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, percent: in
     both = both.join(sets.select(F.col("class").alias("b"), F.col("tokens").alias("y")), "b")
     same = F.size(F.array_intersect("x", "y"))
     linked = both.filter(100 * same >= percent * (F.col("n_a") + F.col("n_b") - same))
-    linked = materialise(linked.select("a").distinct(), "linked")
+    places = wanted.select("doc_id", F.explode("lines").alias("x")).select("doc_id", "x.line", F.col("x.class").alias("a"))
+    linked = materialise(linked.select("a").distinct().join(places, "a"), "linked")
     release(written)
     return linked
 

@@ -1,14 +1,13 @@
 """Words of lines as hashes, whole arrays at a time, for use inside tasks.
 
-A word's hash is the sum of its bytes times rising powers of an odd number, taken as a difference of
-running sums over the text and divided by the power at the word's start, then mixed with the word's
-length; 63 bits of it count. Words over ``LONGEST`` bytes, where such sums could be made to clash, are hashed
-one by one.
+A word's hash mixes its length with its bytes, eight at a time; 63 bits of it count. Words over
+``LONGEST`` bytes are hashed one by one.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,59 +16,69 @@ import xxhash
 from quarrymill.llm.shingles import MIX_A, MIX_B, STEP, mixed
 
 LONGEST = 64
-#: Bytes taken at a time, cut at white space: running sums are eight bytes for each.
+#: Bytes taken at a time, cut at white space.
 PIECE = 1 << 16
 SPACE = re.compile(rb"[\x09-\x0d\x20]")
+#: Bytes that stand in words.
+SOLID = bytes(c not in b"\t\n\v\f\r " for c in range(256))
 TOP = np.uint64(1 << 63)
 #: Hashes are dealt to so many buckets by their first bits; the bits that are left.
 BUCKETS, REST = 1 << 20, np.uint64(43)
-#: An odd base that is 5 modulo 8, and its inverse.
-BASE = MIX_A - MIX_A % np.uint64(8) + np.uint64(5)
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+#: What is left of eight bytes in a word of which so many are theirs.
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    found = np.full(n, base, np.uint64)
-    found[0] = 1
-    return np.cumprod(found)
+def words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """For each word of a text, in order, its line (from 0; line feeds end lines) and its hash: A-Z
+    lower-cased, split at ASCII white space."""
+    starts, found = [], []
+    for first, hashes in _pieces(text):
+        starts.append(first)
+        found.append(hashes)
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    ends = np.flatnonzero(np.frombuffer(text, np.uint8) == 10)
+    before = np.searchsorted(np.concatenate(starts), ends)  # words before each line feed
+    found = np.concatenate(found)
+    return np.repeat(np.arange(len(ends) + 1), np.diff(before, prepend=0, append=len(found))), found
 
 
-POWERS, INVERSES = _powers(BASE, PIECE), _powers(INVERSE, PIECE)
+def hashes(text: bytes) -> np.ndarray:
+    """The hashes that `words` returns."""
+    return np.concatenate([np.empty(0, np.uint64), *(found for _, found in _pieces(text))])
 
 
-def words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """For each word of a text, in order, its line (from 0; line feeds end lines) and its hash: A-Z
-    lower-cased, split at ASCII white space."""
+def _pieces(text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Where words of a piece of the text start in it, and their hashes."""
     text = text.lower()
-    lines, hashes, start, line = [], [], 0, 0
+    solids, padded = text.translate(SOLID), text + bytes(8)
+    eights = np.ndarray(len(text), "<u8", padded, strides=(1,))  # from each byte on
+    start = 0
     while start < len(text):
         stop = start + PIECE - 1
         if stop >= len(text):
             stop = len(text)
-        elif found := SPACE.search(text, stop):
-            stop = found.end()
+        elif at := SPACE.search(text, stop):
+            stop = at.end()
         else:
             stop = len(text)
-        piece = np.frombuffer(text, np.uint8, stop - start, start)
-        solid = np.zeros(len(piece) + 2, bool)
-        np.logical_and(piece - np.uint8(9) > 4, piece != 32, out=solid[1:-1])  # small bytes wrap round
+        solid = np.zeros(stop - start + 2, bool)
+        solid[1:-1] = np.frombuffer(solids, bool, stop - start, start)
         edges = np.flatnonzero(solid[1:] != solid[:-1])
-        first, end = edges[::2], edges[1::2]
-        up, down = (POWERS, INVERSES) if len(piece) <= PIECE else (_powers(BASE, len(piece)), _powers(INVERSE, len(piece)))
-        sums = np.zeros(len(piece) + 1, np.uint64)
-        np.cumsum(piece * up[: len(piece)], out=sums[1:])
-        found = (sums[end] - sums[first]) * down[first]
-        found = mixed(found + (end - first).astype(np.uint64) * STEP) % TOP
-        for i in np.flatnonzero(end - first > LONGEST):
-            found[i] = xxhash.xxh64_intdigest(text[start + first[i] : start + end[i]]) >> 1
-        ends = np.flatnonzero(piece == 10)
-        lines.append(np.searchsorted(ends, first) + line)
-        hashes.append(found)
-        line += len(ends)
+        first, length = edges[::2] + start, edges[1::2] - edges[::2]
+        found = mixed(length.view(np.uint64) * STEP + (eights[first] & MASKS[np.minimum(length, 8)]))
+        more = np.flatnonzero((length > 8) & (length <= LONGEST))
+        done = 8
+        while len(more):
+            rest = MASKS[np.minimum(length[more] - done, 8)]
+            found[more] = mixed(found[more] * STEP + (eights[first[more] + done] & rest))
+            done += 8
+            more = more[length[more] > done]
+        found &= TOP - np.uint64(1)
+        for i in np.flatnonzero(length > LONGEST):
+            found[i] = xxhash.xxh64_intdigest(text[first[i] : first[i] + length[i]]) >> 1
+        yield first, found
         start = stop
-    if not lines:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    return np.concatenate(lines), np.concatenate(hashes)
 
 
 def buckets(found: np.ndarray) -> np.ndarray:
@@ -78,14 +87,12 @@ def buckets(found: np.ndarray) -> np.ndarray:
 
 
 def word_sets(text: bytes, place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """`words`, distinct within a line and sorted by line, then by hash. Hashes of buckets that have a
-    ``place`` (not -1) come after all others of their line, in the order of their places, then by hash."""
+    """`words`, distinct within a line and sorted by line, then by hash. With a ``place`` for each bucket
+    it stands in the hashes in the bucket's stead, so that they are in the order of places."""
     line, found = words(text)
-    key = found
     if place is not None:
-        at = place[buckets(found)]
-        key = np.where(at >= 0, TOP | (at.astype(np.uint64) << REST) | (found & np.uint64((1 << int(REST)) - 1)), found)
-    order = np.argsort(key)  # equal hashes of a line are one, so that no order among them counts
+        found = place[buckets(found)].astype(np.uint64) << REST | found & np.uint64((1 << int(REST)) - 1)
+    order = np.argsort(found)  # equal hashes of a line are one, so that no order among them counts
     line, found = line[order], found[order]
     # Sorting by 16 bits at a time is sorting by counting.
     order = np.argsort(line.astype(np.uint16), kind="stable")
@@ -114,12 +121,10 @@ def least(found: np.ndarray, starts: np.ndarray, k: int) -> list[pa.Array]:
 
 def flips(found: np.ndarray, starts: np.ndarray) -> list[pa.Array]:
     """128 bits, in two halves, of which each word of a set flips one."""
-    at = found & np.uint64(127)
-    halves = []
-    for half in (0, 1):
-        one = np.where(at >> np.uint64(6) == half, np.uint64(1) << (at & np.uint64(63)), np.uint64(0))
-        halves.append(pa.array(np.bitwise_xor.reduceat(one, starts).view(np.int64) if len(starts) else [], pa.int64()))
-    return halves
+    one = np.uint64(1) << (found & np.uint64(63))
+    high = one * (found >> np.uint64(6) & np.uint64(1))
+    halves = [np.bitwise_xor.reduceat(x, starts).view(np.int64) if len(starts) else [] for x in (one ^ high, high)]
+    return [pa.array(half, pa.int64()) for half in halves]
 
 
 def listed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:

@@ -48,17 +48,10 @@ def reach(a: str, b: str) -> Column:
     return F.least(of(a, "i"), of(b, "i")) + F.least(of(a, "n") - of(a, "i"), of(b, "n") - of(b, "i"))
 
 
-def left(a: str, b: str) -> Column:
-    """The largest overlap of two sets whose first common token is that of these places."""
-    of = lambda side, name: F.col(f"{side}.{name}")
-    return F.least(of(a, "n") - of(a, "i"), of(b, "n") - of(b, "i"))
-
-
-def bits_fit(a: str, b: str, bits: tuple[str, ...], percent: int) -> Column:
+def bits_fit(a: str, b: str, n_a: Column, n_b: Column, bits: tuple[str, ...], percent: int) -> Column:
     """The bitmap filter: at least as many tokens as bits differ are in one of the two sets only."""
-    n = F.col(f"{a}.n") + F.col(f"{b}.n")
     apart = sum(F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in bits)
-    return apart + 2 * needed(F.col(f"{a}.n"), F.col(f"{b}.n"), percent) <= n
+    return apart + 2 * needed(n_a, n_b, percent) <= n_a + n_b
 
 
 def possible(percent: int) -> Column:

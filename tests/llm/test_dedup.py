@@ -218,3 +218,42 @@ def test_line_dedup_reads_each_text_twice_before_pairs(spark, monkeypatch):
     assert got == [(1, 3, []), (2, 2, [0]), (2, 2, [0]), (3, 1, [])]
     assert "line-names" not in kept and kept["words"].columns == ["bucket", "n"]
     assert sorted((r.n_lines, r.having) for r in kept["line-numbers"].collect()) == [(1, []), (2, [0]), (2, [0]), (3, [0, 2])]
+
+
+def test_hashes_of_words_depend_on_their_bytes_alone():
+    """Words of all lengths around eight bytes, at any place of a text, also across the pieces it is taken in."""
+    from quarrymill.llm import line_words
+
+    rows = ["ab", "abcdefgh", "abcdefghi", "abcdefgh\0", "é" * 8, "é" * 9, *("x" * k for k in (7, 16, 17, 63, 64, 65, 66, 70_000))]
+    one = {w: int(line_words.hashes(w.encode())[0]) for w in rows}
+    assert len(set(one.values())) == len(rows) and max(one.values()) < 1 << 63
+    lines = [[rows[(i * 7 + k) % len(rows)] for k in range(i % 4)] for i in range(200)]
+    line, found = line_words.words("\n".join("\t ".join(words).upper().replace("É", "é") for words in lines).encode())
+    assert list(found) == [one[w] for words in lines for w in words]
+    assert list(line) == [i for i, words in enumerate(lines) for _ in words]
+    assert len(line_words.hashes(b" \n")) == 0 and [len(x) for x in line_words.words(b"")] == [0, 0]
+
+
+def test_all_words_of_lines_are_ordered_by_rarity(spark, monkeypatch):
+    """Not a hundred thousand buckets only; and the join of places gets narrow rows."""
+    import numpy as np
+    import pyarrow as pa
+
+    counts = np.random.default_rng(3).permutation(200_000) + 2
+    place = line_dedup._places(pa.table({"bucket": pa.array(np.arange(200_000), pa.int32()), "n": counts}))
+    assert sorted(place) == list(range(len(place))) and (np.argsort(place[:200_000]) == np.argsort(counts)).all()
+    assert place[:200_000].min() == len(place) - 200_000
+    widths, keep = [], line_dedup.materialise
+
+    def watched(df, name="table"):
+        if name == "pair-parts":
+            plan = df._jdf.queryExecution().optimizedPlan()
+            while plan.nodeName() != "Join":
+                plan = plan.children().apply(0)
+            widths.extend(plan.children().apply(side).output().size() for side in (0, 1))
+        return keep(df, name)
+
+    monkeypatch.setattr(line_dedup, "materialise", watched)
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e g"), (3, "a b c d e")], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.removed) for r in line_dedup.line_dedup(docs).collect()) == [(1, []), (2, []), (3, [0])]
+    assert widths == [6] * 4
